@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, exact, mixing, neardup, sketch
+from . import bpe, chat, exact, langid, licenses, mixing, neardup, packing, quality, sketch
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -113,11 +113,53 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence phrases and notices of every document."""
+    found = licenses.scan(_read(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["exact"])
+    labels = lambda spans: F.array_join(F.array_sort(F.array_distinct(spans["label"])), ",")
+    return found.withColumn("base", base).select(
+        "doc_id",
+        "n_words",
+        F.size("base").cast("long").alias("n_base"),
+        F.array_min(F.col("base.start")).alias("first_word"),
+        F.array_max(F.col("base.start")).alias("last_word"),
+        labels(F.col("base")).alias("base_labels"),
+        labels(F.col("spans")).alias("labels"),
+        F.coalesce(F.array_max(F.col("spans.cover")), F.lit(0.0)).alias("score"),
+    )
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality; its source is the host, and the languages of a source are its paths."""
+    docs = _read(spark, sf_dir, "documents")
+    return quality.score(docs, _read(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
+
+
+def op7_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as packed rows of token ids."""
+    docs = _read(spark, sf_dir, "documents")
+    tokenize, end = packing.rank_file(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return packing.pack(docs, tokenize, end)
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, learned from the documents that are not held out."""
+    docs = _read(spark, sf_dir, "documents")
+    out = langid.held_out(F.col("doc_id"))
+    found = langid.predict(docs, langid.train(docs.filter(~out)))
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_source_mixing": op2_source_mixing,
     "op3_document_fingerprints": op3_document_fingerprints,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_license_scans": op5_license_scans,
+    "op6_quality_classifier": op6_quality_classifier,
+    "op7_token_packing": op7_token_packing,
+    "op8_language_id": op8_language_id,
     "op9_bpe": op9_bpe,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
