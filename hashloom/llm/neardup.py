@@ -3,10 +3,11 @@
 Signatures only propose pairs; a link is confirmed on the documents' full
 shingle sets. Documents with the same set are one node from the start. In
 each bucket one node, the one with most company, is the star's centre, and
-only its pairs are tried. Where confirmed links leave a bucket's nodes in
-several components, more centres are tried, four times as many each round,
-until every pair of nodes that share a bucket and are not yet connected has
-been tried: stars save pairs, but lose no link.
+only its pairs are tried. The nodes of buckets that then hold several
+components meet again under the rarest of their shingles, which similar sets
+must share and nodes with a common passage do not, and around more and more
+centres, until all pairs there that are not yet connected have been tried:
+stars save pairs, but lose no link.
 
 Defined cases: null and empty texts, and texts without words, have no
 shingles and are linked with nothing; a text of fewer than five words has one
@@ -123,41 +124,77 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.filter(F.col("i") * NUM >= DEN * (F.size("ga") + F.size("gb") - F.col("i"))).select("a", "b")
 
 
-def links(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Confirmed links (a, b) that connect all similar nodes of members (key, node, n).
+def prefixes(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(key, node, n, c): each node under the rarest of its shingles, so that similar nodes share a key.
 
-    members are the nodes of each bucket; every bucket has two at least.
+    Of two similar sets each has a shared shingle among its n - NUM/DEN n + 1
+    rarest. Shingles of one node alone are rarest and lead nowhere, so a node
+    with many of them has few keys or none; c counts its other shingles, the
+    most it can share with any node.
+    """
+    nodes = members.select("node", "n").distinct()
+    rows = sets.join(sized(materialize(nodes, "nodes")), "node").select("node", "n", F.explode("grams").alias("key"))
+    df = rows.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1")
+    rows = rows.join(df, "key")
+    rows = rows.withColumn("c", F.count("*").over(W.partitionBy("node"))).withColumn("at", F.row_number().over(W.partitionBy("node").orderBy("df", "key")))
+    most = F.floor(F.col("n") * (NUM - DEN) / NUM) + 1 - (F.col("n") - F.col("c"))
+    rows = materialize(rows.filter(F.col("at") <= most).select("key", "node", "n", "c"), "prefixes")
+    # a node may be too poor in shared shingles for even the smallest node of a key
+    least = rows.groupBy("key").agg(F.min("n").alias("m"))
+    rows = rows.join(least, "key").filter(F.col("c") * (NUM + DEN) >= DEN * (F.col("n") + F.greatest("m", F.ceil(F.col("n") * DEN / NUM))))
+    return materialize(rows.drop("m"), "postings")
+
+
+def links(members: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(links, parts): confirmed links (a, b) that connect all similar nodes of members, and their components (node, part).
+
+    members are the nodes of each bucket (key, node, n); every bucket has two
+    at least. A bucket's star comes first. The nodes of buckets that hold
+    several components then meet again under the rarest of their shingles,
+    where nodes that merely share a passage are apart, around more and more
+    centres.
     """
     counts = members.groupBy("key").agg(F.count("*").alias("size"))
     company = members.join(counts, "key").groupBy("node").agg(F.sum("size").alias("company"))
-    ranked = members.join(company, "node").select("key", "node", "n", F.struct((-F.col("company")).alias("c"), F.col("node").alias("id")).alias("rank"))
-    ranked = materialize(ranked, "ranked")
+    ranked = materialize(members.join(company, "node").withColumn("rank", F.struct((-F.col("company")).alias("c"), F.col("node").alias("id"))).drop("company"), "ranked")
     near = (F.least("n", "cn") * NUM >= F.greatest("n", "cn") * DEN) & (F.col("node") != F.col("centre"))
     first = ranked.groupBy("key").agg(F.min_by(F.struct("node", "n"), "rank").alias("x")).select("key", F.col("x.node").alias("centre"), F.col("x.n").alias("cn"))
     tried = materialize(ranked.join(first, "key").filter(near).select(*_pair("node", "centre")).distinct(), "pairs")
-    found, open_rows, centres = materialize(confirm(tried, sets), "links"), None, 1
+    found = materialize(confirm(tried, sets), "links")
+    parts = materialize(connected_components(found).withColumnRenamed("component", "part"), "parts")
+    rows = _open(ranked, parts).select("key", "node", "n")
+    if rows.isEmpty():
+        return found, parts
+    rows = prefixes(rows, sets).withColumn("rank", F.struct((F.col("n") - F.col("c")).alias("c"), F.col("node").alias("id")))
+    near = near & (F.least("c", "cc") * (NUM + DEN) >= DEN * (F.col("n") + F.col("cn")))
+    centres, again = 1, True
     while True:
-        if open_rows is None:
-            # buckets that hold several components still
-            parts = sized(materialize(connected_components(found).withColumnRenamed("component", "part"), "parts"))
-            parted = ranked.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
-            split = parted.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo <> hi").select("key")
-            open_rows = materialize(parted.join(split, "key", "left_semi"), "open")
-            largest = open_rows.groupBy("key").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-        if largest <= centres or not largest:
-            return found
+        if again:
+            left = materialize(_open(rows, parts), "open")
+            largest = left.groupBy("key").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+        if largest <= centres:
+            return found, parts
         centres *= 8
-        best = open_rows.withColumn("at", F.row_number().over(W.partitionBy("key").orderBy("rank"))).filter(F.col("at") <= centres)
-        best = best.select("key", F.col("node").alias("centre"), F.col("n").alias("cn"), F.col("part").alias("cpart"))
-        more = open_rows.join(best, "key").filter(near & (F.col("part") != F.col("cpart"))).select(*_pair("node", "centre")).distinct()
+        best = left.withColumn("at", F.row_number().over(W.partitionBy("key").orderBy("rank"))).filter(F.col("at") <= centres)
+        best = best.select("key", F.col("node").alias("centre"), F.col("n").alias("cn"), F.col("c").alias("cc"), F.col("part").alias("cpart"))
+        more = left.join(best, "key").filter(near & (F.col("part") != F.col("cpart"))).select(*_pair("node", "centre")).distinct()
         more = materialize(more.join(tried, ["a", "b"], "left_anti"), "pairs")
         new = materialize(confirm(more, sets), "links")
-        if not new.isEmpty():
-            found, open_rows = materialize(found.union(new), "links"), None
-            centres = 1 if largest > centres else centres
+        again = not new.isEmpty()
+        if again:
+            found = materialize(found.union(new), "links")
+            parts = materialize(connected_components(found).withColumnRenamed("component", "part"), "parts")
+            centres //= 8 if largest > centres else 1
         tried = materialize(tried.union(more), "tried")
 
 
+def _open(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """rows and part, of those keys whose nodes are in several components."""
+    parted = rows.join(sized(parts), "node", "left").withColumn("part", F.coalesce("part", "node"))
+    split = parted.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo <> hi").select("key")
+    return parted.join(split, "key", "left_semi")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row of docs."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -170,12 +207,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = materialize(rows.join(full, "key", "left_semi"), "members")
     wanted = sized(materialize(members.select(F.col("node").alias("doc_id")).distinct(), "wanted"))
     sets = materialize(base.join(wanted, "doc_id", "left_semi").withColumnRenamed("doc_id", "node").mapInArrow(_listed, "node long, grams array<long>"), "sets")
-    found = links(members, sets)
+    found, parts = links(members, sets)
     # an id that repeats with other texts joins their nodes
     of = own.join(nodes, "set_id")
-    several = of.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("hi")).filter("b <> hi").drop("hi")
-    parts = connected_components(found.union(of.join(several, "doc_id").select(F.col("node").alias("a"), "b")))
-    classes = sized(materialize(nodes.join(parts, "node", "left").select("set_id", F.coalesce("component", "node").alias("component_id")), "classes"))
+    several = materialize(of.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("hi")).filter("b <> hi").drop("hi"), "several")
+    if not several.isEmpty():
+        joins = of.join(several, "doc_id").select(F.col("node").alias("a"), "b")
+        parts = materialize(connected_components(found.union(joins)).withColumnRenamed("component", "part"), "parts")
+    classes = sized(materialize(nodes.join(sized(parts), "node", "left").select("set_id", F.coalesce("part", "node").alias("component_id")), "classes"))
     linked = signed.filter("set_id IS NOT NULL").join(classes, "set_id", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
     alone = signed.filter("set_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
