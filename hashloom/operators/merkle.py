@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.hashes import digest, of_children, rendered
 
-#: Stands for an unknown source file.
-NO_SOURCE = "imcczy"
+#: Stands for an unknown source file, unless told otherwise.
+NO_SOURCE = "unknown"
 
 
 def merkle(nodes: DataFrame, keys: list[str], hash_col: str = "hash", distinct: bool = False, algorithm: str = "md5", counts: dict[str, str] | None = None) -> DataFrame:
@@ -36,13 +36,13 @@ def unit_hash(packages: DataFrame, keys: list[str]) -> DataFrame:
     return made.withColumn("tree_hash", digest(F.col("tree")))
 
 
-def source_aware(units: DataFrame, app: str = "app_id", unit: str = "unit_id", cumulative: bool = False) -> DataFrame:
+def source_aware(units: DataFrame, app: str = "app_id", unit: str = "unit_id", cumulative: bool = False, no_source: str = NO_SOURCE) -> DataFrame:
     """app, unit, source_hash of units (app, unit, unit_hash, source_files) (AGG-15).
 
     Each unit has its own files; cumulative lets those of an app's units
     before it, in the order of their names, count too.
     """
-    files = F.transform(F.coalesce("source_files", F.array().cast("array<string>")), lambda f: F.coalesce(f, F.lit(NO_SOURCE)))
+    files = F.transform(F.coalesce("source_files", F.array().cast("array<string>")), lambda f: F.coalesce(f, F.lit(no_source)))
     if cumulative:
         so_far = W.partitionBy(app).orderBy(unit).rowsBetween(W.unboundedPreceding, 0)
         files = F.flatten(F.collect_list(files).over(so_far))

@@ -35,15 +35,15 @@ def candidate_units(profile: dict[str, DataFrame], split=None, split_prefixes: t
     return un.candidate_units(profile["packages"], classified, profile["apps"], split, split_prefixes)
 
 
-def cluster(profile: dict[str, DataFrame], cumulative: bool = False) -> DataFrame:
+def cluster(profile: dict[str, DataFrame], cumulative: bool = False, no_source: str = NO_SOURCE) -> DataFrame:
     """app_id, unit_id, unit_hash, tree, tree_hash, source_hash of every unit (CLUSTER)."""
     units = candidate_units(profile).select("app_id", "unit_id", F.explode("packages").alias("package"))
     packages = units.join(profile["packages"], ["app_id", "package"])
-    sources = profile["classes"].groupBy("app_id", "package").agg(F.collect_set(F.coalesce("source_file", F.lit(NO_SOURCE))).alias("files"))
+    sources = profile["classes"].groupBy("app_id", "package").agg(F.collect_set(F.coalesce("source_file", F.lit(no_source))).alias("files"))
     made = packages.join(sources, ["app_id", "package"], "left").groupBy("app_id", "unit_id").agg(
         of_children(F.collect_list("hash")).alias("unit_hash"), rendered(F.collect_list("package")).alias("tree"), F.array_distinct(F.flatten(F.collect_list("files"))).alias("source_files")
     )
-    return made.withColumn("tree_hash", digest(F.col("tree"))).join(source_aware(made, cumulative=cumulative), ["app_id", "unit_id"]).drop("source_files")
+    return made.withColumn("tree_hash", digest(F.col("tree"))).join(source_aware(made, cumulative=cumulative, no_source=no_source), ["app_id", "unit_id"]).drop("source_files")
 
 
 def store(libs: DataFrame, candidates: DataFrame, profile: dict[str, DataFrame]) -> DataFrame:
