@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 #: What a name without a dot has for a parent.
-NO_PARENT = "imcczyh"
+NO_PARENT = "<none>"
 # The primitive types of descriptors.
 PRIMITIVES = {"V": "void", "Z": "boolean", "B": "byte", "S": "short", "C": "char", "I": "int", "J": "long", "F": "float", "D": "double"}
 

@@ -18,7 +18,7 @@ _NAMES = r"""names AS (
 
 
 def _parent(x: str) -> str:
-    return f"CASE WHEN contains({x}, '.') THEN regexp_replace({x}, '[.][^.]*$', '') ELSE 'imcczyh' END"
+    return f"CASE WHEN contains({x}, '.') THEN regexp_replace({x}, '[.][^.]*$', '') ELSE '<none>' END"
 
 
 def _depth(x: str) -> str:
