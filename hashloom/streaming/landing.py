@@ -21,6 +21,6 @@ def match_landing(spark: SparkSession, folder: str, schema: str, index: DataFram
 
 def windowed_counts(events: DataFrame, ts: str = "ts", every: str = "1 hour", late: str = "2 hours", keys: tuple[str, ...] = ("event_type",)) -> DataFrame:
     """window_start, keys, n, total of event values; on a stream, rows later than late are dropped by the watermark."""
-    rows = events.withWatermark(ts, late) if events.isStreaming else events
+    rows = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late) if events.isStreaming else events
     grouped = rows.groupBy(F.window(ts, every).alias("w"), *keys).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return grouped.select(F.col("w.start").alias("window_start"), *keys, "n", "total")

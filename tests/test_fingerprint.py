@@ -1,0 +1,99 @@
+"""Golden hashes, invariance under renaming, edges."""
+
+import hashlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from hashloom.operators import edges as ed
+from hashloom.operators.fingerprint import fingerprint
+from hashloom.plans.tables import CODE
+
+CLASSES = "app_id string, class_desc string, super_desc string, access_flags int, source_file string"
+METHODS = f"app_id string, class_desc string, method_idx int, name string, access_flags int, param_types array<string>, return_type string, code {CODE}"
+
+
+def md5(s):
+    return hashlib.md5(s.encode() if isinstance(s, str) else s).hexdigest()
+
+
+def of(*hashes):
+    return md5(bytes.fromhex("".join(sorted(hashes))))
+
+
+def app(app_id, pkg, a, foo):
+    cls = f"L{pkg}/{a};"
+    code = [
+        (0, "const/4", "other", None, None, None),
+        (1, "invoke-virtual", "invoke", f"L{pkg}/{foo};", ["I", "V"], None),
+        (2, "iget-object", "getfield", f"L{pkg}/{foo};", None, "Ljava/lang/String;"),
+        (3, "return-object", "other", None, None, None),
+    ]
+    methods = [
+        (app_id, cls, 0, "f", 1, [f"L{pkg}/{foo};", "I"], "Ljava/lang/String;", code),
+        (app_id, cls, 1, "g", 0x401, [], "V", None),
+        (app_id, cls, 2, "<init>", 1, [], "V", code[:1]),
+        (app_id, cls, 3, "h", 0x1001, [], "V", code),
+    ]
+    return [(app_id, cls, "Ljava/lang/Object;", 1, "A.java"), (app_id, f"L{pkg}/R;", "Ljava/lang/Object;", 1, None)], methods
+
+
+@pytest.fixture(scope="module")
+def nodes(spark):
+    one, two = app("one", "com/x", "A", "Foo"), app("two", "org/yy/zzz", "Q", "B")
+    classes, methods = spark.createDataFrame(one[0] + two[0], CLASSES), spark.createDataFrame(one[1] + two[1], METHODS)
+    framework = spark.createDataFrame([("Ljava/lang/String;",), ("Ljava/lang/Object;",)], "type_desc string")
+    return {k: v.collect() for k, v in fingerprint(classes, methods, framework).items()}, classes, methods
+
+
+def test_golden(nodes):
+    found = {(r.app_id, r.method_idx): r for r in nodes[0]["methods"]}
+    f, g = md5("const/4invoke-virtual(IV)iget-object[Ljava/lang/String]return-object(XI)Ljava/lang/String"), md5("()V")
+    assert (found["one", 0].hash, found["one", 1].hash) == (f, g) == ("3d6e75a7ac45c5db7bf83449cef3e0c4", "62febe830a4a6764c634d9e263964cee")
+    assert found["one", 0].simple_hash == "51bb443c4af926fc729e3bbf46c59a0d"
+    assert found["one", 1].simple_hash == "c3aece59bb18d8f8113b0775f7feb3c5"
+    assert set(found) == {(a, i) for a in ("one", "two") for i in (0, 1)}
+    c = {r.app_id: r for r in nodes[0]["classes"]}
+    assert len(nodes[0]["classes"]) == 2 and c["one"].hash == of(f, g) == "6a4ee1724224816fd17c6a69b9db8e4d" and c["one"].n_methods == 2
+    assert {r.hash for r in nodes[0]["apps"]} == {of(of(of(f, g)))} == {"fbd1b827715ecece24549edf0664562a"}
+
+
+def test_renaming_changes_nothing(nodes):
+    for level in ("methods", "classes", "packages", "apps"):
+        by_app = {}
+        for r in nodes[0][level]:
+            by_app.setdefault(r.app_id, []).append(r.hash)
+        assert sorted(by_app["one"]) == sorted(by_app["two"])
+
+
+def test_edges_stay_inside_the_app(nodes):
+    assert all(r.dst == r.src for r in ed.dependency_edges(nodes[1], nodes[2]).collect())
+
+
+@pytest.mark.parametrize(
+    ("src", "dst", "rule"),
+    [
+        ("my.app.ui", "lib.a", 1),
+        ("lib.a", "my.app.ui", 2),
+        ("", "lib.a", 3),
+        ("com", "lib.a", 3),
+        ("lib.a", "", 4),
+        ("lib.a", "other.b", 5),
+        ("com.a.x", "com.b.x", 6),
+        ("com.a.x", "com.a.y", 7),
+        ("lib.a", "lib.b", 7),
+    ],
+)
+def test_edge_rules(spark, src, dst, rule):
+    e = spark.createDataFrame([("app", src, dst)], "app_id string, src string, dst string")
+    apps = spark.createDataFrame([("app", "my.app.main")], "app_id string, package_name string")
+    r = ed.classify(e, apps).first()
+    assert (r.rule, r.keep) == (rule, rule == 7)
+
+
+def test_order_of_children_does_not_matter(spark):
+    from hashloom.functions.hashes import of_children
+
+    hashes = [md5(str(i)) for i in range(20)]
+    df = spark.createDataFrame([(hashes,), (hashes[::-1],)], "h array<string>").select(of_children(F.col("h")).alias("x"))
+    assert {r.x for r in df.collect()} == {of(*hashes)}
