@@ -9,7 +9,8 @@ it. Texts are cut at white space, and each distinct piece is encoded once.
 Defined cases: a null text is empty and has no ids; the two added tokens are
 recognised in texts, as the library does by default; ids that the vocabulary
 lacks decode to nothing; repeated rows are encoded alike; an empty table gives
-an empty table; other columns of the input are ignored.
+an empty table; other columns of the input are ignored. Characters that later
+editions of Unicode than the library's made letters count as letters here.
 """
 
 from __future__ import annotations
@@ -37,8 +38,9 @@ SPACES = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u2
 NOT_SPACES = re.compile("[\x1c-\x1f]")
 END = "</w>"
 SHORT = (2, 1)
-#: A letter or digit, then a stop or comma before white space: always words of their own.
-STOP = re.compile(r"([^\W_])([.,](?=\s))")
+#: A digit or Latin letter, then a stop or comma before white space: always words of their own.
+#: (Letters whose normal form or lower case ends with a mark are left out: the mark goes with the stop.)
+STOP = re.compile(r"([0-9A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u024f])([.,](?=\s))")
 
 
 class Vocabulary:
