@@ -7,7 +7,9 @@ only its pairs are tried. The nodes of buckets that then hold several
 components meet again under the rarest of their shingles, which similar sets
 must share and nodes with a common passage do not, and around more and more
 centres, until all pairs there that are not yet connected have been tried:
-stars save pairs, but lose no link.
+stars save pairs, but lose no link. Maps of parities, which tell how many
+hashes two sets differ in at least, keep most pairs that just miss the
+threshold from being tried at all.
 
 Defined cases: null and empty texts, and texts without words, have no
 shingles and are linked with nothing; a text of fewer than five words has one
@@ -21,11 +23,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..operators.components import connected_components
 from ..storage import materialize, sized
@@ -37,6 +39,8 @@ NUM, DEN = 100, 85
 #: A pair at the threshold misses all bands with a chance of about (1 - 0.85 ** ROWS) ** BANDS = 2e-8.
 BANDS, ROWS = 30, 5
 BINS = BANDS * ROWS
+#: Words of 64 bits that a set's parity map has.
+PARITY_WORDS = 16
 
 
 def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
@@ -104,12 +108,29 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """A bit for each of 64 * PARITY_WORDS places: whether an odd number of s's hashes fall there.
+
+    Two sets' maps differ in at most as many bits as the sets in hashes, so a
+    pair whose maps differ in more bits than a link allows is no link.
+    """
+    places = (s >> np.uint64(32)).astype(np.int64) % (64 * PARITY_WORDS)
+    return np.packbits(np.bincount(places, minlength=64 * PARITY_WORDS) & 1 != 0).view(np.int64)
+
+
+def may_link(a: Column, b: Column, size: Column) -> Column:
+    """Whether sets with these parity maps, of size hashes together, can be similar enough; never false of a link."""
+    bits = reduce(lambda x, y: x + y, (F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(PARITY_WORDS)))
+    return bits * (NUM + DEN) <= (NUM - DEN) * size
+
+
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in chunks(batch, "text"):
-            sets = [s.view(np.int64) for s in shingle_sets(part.column("text"))]
+            sets = shingle_sets(part.column("text"))
             at = np.cumsum([0, *map(len, sets)], dtype=np.int32)
-            yield pa.record_batch([part.column("node"), pa.ListArray.from_arrays(at, np.concatenate(sets))], ["node", "grams"])
+            grams = pa.ListArray.from_arrays(at, np.concatenate(sets).view(np.int64))
+            yield pa.record_batch([part.column("node"), grams, pa.array([parities(s) for s in sets], pa.list_(pa.int64()))], ["node", "grams", "odd"])
 
 
 def _pair(a: str, b: str) -> list:
@@ -125,7 +146,7 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def prefixes(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """(key, node, n, c): each node under the rarest of its shingles, so that similar nodes share a key.
+    """(key, node, n, c, odd): each node under the rarest of its shingles, so that similar nodes share a key.
 
     Of two similar sets each has a shared shingle among its n - NUM/DEN n + 1
     rarest. Shingles of one node alone are rarest and lead nowhere, so a node
@@ -142,7 +163,7 @@ def prefixes(members: DataFrame, sets: DataFrame) -> DataFrame:
     # a node may be too poor in shared shingles for even the smallest node of a key
     least = rows.groupBy("key").agg(F.min("n").alias("m"))
     rows = rows.join(least, "key").filter(F.col("c") * (NUM + DEN) >= DEN * (F.col("n") + F.greatest("m", F.ceil(F.col("n") * DEN / NUM))))
-    return materialize(rows.drop("m"), "postings")
+    return materialize(rows.drop("m").join(sets.select("node", "odd"), "node"), "postings")
 
 
 def links(members: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -166,7 +187,7 @@ def links(members: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     if rows.isEmpty():
         return found, parts
     rows = prefixes(rows, sets).withColumn("rank", F.struct((F.col("n") - F.col("c")).alias("c"), F.col("node").alias("id")))
-    near = near & (F.least("c", "cc") * (NUM + DEN) >= DEN * (F.col("n") + F.col("cn")))
+    near = near & (F.least("c", "cc") * (NUM + DEN) >= DEN * (F.col("n") + F.col("cn"))) & may_link(F.col("odd"), F.col("codd"), F.col("n") + F.col("cn"))
     centres, again = 1, True
     while True:
         if again:
@@ -176,8 +197,8 @@ def links(members: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
             return found, parts
         centres *= 8
         best = left.withColumn("at", F.row_number().over(W.partitionBy("key").orderBy("rank"))).filter(F.col("at") <= centres)
-        best = best.select("key", F.col("node").alias("centre"), F.col("n").alias("cn"), F.col("c").alias("cc"), F.col("part").alias("cpart"))
-        more = left.join(best, "key").filter(near & (F.col("part") != F.col("cpart"))).select(*_pair("node", "centre")).distinct()
+        best = best.select("key", F.col("node").alias("centre"), F.col("n").alias("cn"), F.col("c").alias("cc"), F.col("odd").alias("codd"), F.col("part").alias("cpart"))
+        more = left.join(best, "key").filter((F.col("part") != F.col("cpart")) & near).select(*_pair("node", "centre")).distinct()
         more = materialize(more.join(tried, ["a", "b"], "left_anti"), "pairs")
         new = materialize(confirm(more, sets), "links")
         again = not new.isEmpty()
@@ -206,7 +227,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     full = rows.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
     members = materialize(rows.join(full, "key", "left_semi"), "members")
     wanted = sized(materialize(members.select(F.col("node").alias("doc_id")).distinct(), "wanted"))
-    sets = materialize(base.join(wanted, "doc_id", "left_semi").withColumnRenamed("doc_id", "node").mapInArrow(_listed, "node long, grams array<long>"), "sets")
+    sets = materialize(base.join(wanted, "doc_id", "left_semi").withColumnRenamed("doc_id", "node").mapInArrow(_listed, "node long, grams array<long>, odd array<long>"), "sets")
     found, parts = links(members, sets)
     # an id that repeats with other texts joins their nodes
     of = own.join(nodes, "set_id")

@@ -76,3 +76,20 @@ def test_chains_thresholds_and_shared_passages(spark):
     rng.shuffle(rows)
     df = spark.createDataFrame([(i * 3 % 1009, " ".join(r)) for i, r in enumerate(rows)], "doc_id long, text string")
     check(df.repartition(4))
+
+
+def test_parity_maps_never_deny_a_link(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    rng, rows = np.random.default_rng(3), []
+    for _ in range(300):
+        n = int(rng.integers(1, 800))
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
+        d = int(rng.integers(0, max(1, len(a) // 6)))
+        b = np.unique(np.concatenate([a[d:], rng.integers(0, 1 << 63, int(rng.integers(0, d + 1))).astype(np.uint64)]))
+        rows.append((neardup.parities(a).tolist(), neardup.parities(b).tolist(), len(a) + len(b), bool(100 * len(np.intersect1d(a, b)) >= 85 * len(np.union1d(a, b))), len(np.setxor1d(a, b))))
+    df = spark.createDataFrame(rows, "a array<long>, b array<long>, size long, link boolean, apart long")
+    got = df.withColumn("may", neardup.may_link(F.col("a"), F.col("b"), F.col("size"))).collect()
+    assert all(r.may for r in got if r.link) and any(r.link for r in got)
+    assert sum(r.may for r in got if not r.link) < sum(not r.link for r in got) / 2
