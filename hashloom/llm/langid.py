@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..storage import materialize, sized
 from .shingles import chunks, mix64, text_bytes
 
 N = (1, 2, 3, 4)
@@ -78,9 +79,13 @@ def held_out(doc_id: Column, fold: int = 2, folds: int = 4) -> Column:
 
 def train(docs: DataFrame, per_lang: int = PER_LANG) -> tuple[np.ndarray, np.ndarray, list[str]] | None:
     """The model of docs (doc_id, text, lang), None if no row teaches anything."""
-    ids = docs.filter("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").alias("k"), F.col("lang").cast("string").alias("lang"))
-    order = W.partitionBy("lang").orderBy(F.xxhash64("k"), "k")
-    sample = ids.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= per_lang).select("k", "lang").collect()
+    ids = docs.filter("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("k"), F.col("lang").cast("string").alias("lang"))
+    # about four times the sample passes a threshold on the hash, however many rows a language has
+    sizes = sized(materialize(ids.groupBy(F.col("lang").alias("l")).agg(F.count("*").alias("n")), "sizes"))
+    h = F.pmod(F.xxhash64("k"), F.lit(1 << 30))
+    few = ids.join(sizes, F.col("lang") == F.col("l")).filter(h.cast("double") * F.col("n") <= float((4 * per_lang) << 30)).select("k", "lang").distinct()
+    order = W.partitionBy("lang").orderBy(h, "k")
+    sample = few.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= per_lang).select("k", "lang").collect()
     if not sample:
         return None
     chosen = docs.sparkSession.createDataFrame([(r.k,) for r in sample], "k long").distinct()

@@ -83,7 +83,9 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> np.ndarray | None:
     """The weights learned from docs (doc_id, text) and labels (doc_id, quality)."""
     told = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").select(F.col("doc_id").cast("long").alias("k"), F.col("quality").cast("int").alias("y"))
-    told = told.orderBy(F.xxhash64("k"), "k", "y").limit(most)
+    # about twice the sample passes a threshold on the hash, however many labels there are
+    h = F.pmod(F.xxhash64("k"), F.lit(1 << 30))
+    told = told.filter(h.cast("double") * told.count() <= float((2 * most) << 30)).orderBy(h, "k", "y").limit(most)
     rows = docs.select(F.col("doc_id").cast("long").alias("k"), F.col("text").cast("string").alias("text")).join(F.broadcast(told), "k")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
