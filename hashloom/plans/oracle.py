@@ -182,5 +182,21 @@ SELECT src, dst, min(distance) AS distance FROM walk GROUP BY src, dst""",
     "df18_control_flow": """WITH c AS (SELECT l_orderkey, l_linenumber AS pc, max(l_returnflag) = 'R' AS ends, max(CASE WHEN l_linestatus = 'O' THEN l_quantity::INT % 7 END) AS target FROM lineitem GROUP BY ALL),
 n AS (SELECT l_orderkey, pc AS src, CASE WHEN NOT ends THEN lead(pc) OVER (PARTITION BY l_orderkey ORDER BY pc) END AS dst FROM c UNION SELECT l_orderkey, pc, target FROM c)
 SELECT * FROM n WHERE dst IS NOT NULL""",
+    "prj04_numbers": """SELECT r_name AS app_id, count(DISTINCT n_name) AS n_packages, count(DISTINCT c_custkey) AS n_classes, count(*) AS n_methods
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name""",
+    "prj05_library": """SELECT r_name AS app_id, min('com.' || n_name) AS name, string_agg(DISTINCT 'com.' || n_name, ',' ORDER BY 'com.' || n_name) AS packages, count(DISTINCT c_custkey) AS n_classes
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name""",
+    "gr04_class_components": """WITH RECURSIVE e AS (SELECT DISTINCT n_regionkey::VARCHAR AS app_id, 'com.c' || c_custkey AS src, 'org.s' || (l_suppkey * 1000 + l_partkey % 1000) AS dst
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE l_quantity >= 49 AND l_discount >= 0.09),
+k AS (SELECT * FROM e WHERE NOT starts_with(src, 'com.c' || app_id)),
+b AS (SELECT * FROM k UNION SELECT app_id, dst, src FROM k),
+walk AS (SELECT app_id, src AS x, src AS y FROM b UNION SELECT walk.app_id, x, dst FROM walk JOIN b ON walk.app_id = b.app_id AND y = src)
+SELECT app_id, x AS class_name, min(y) AS component FROM walk GROUP BY app_id, x""",
+    "fn26_lifecycle": """WITH p AS (SELECT p_partkey, ['Activity', 'Service', 'BroadcastReceiver', 'ContentProvider', 'Application', 'Fragment', 'OTHER'][p_partkey % 7 + 1] AS kind,
+  ['onCreate()V', 'onStart()V', 'onDestroy()V', 'onCreate()Z', 'run()V'][p_size % 5 + 1] AS method FROM part)
+SELECT *, CASE kind WHEN 'Activity' THEN method IN ('onStart()V', 'onDestroy()V') WHEN 'Fragment' THEN method IN ('onStart()V', 'onDestroy()V')
+  WHEN 'Service' THEN method IN ('onCreate()V', 'onDestroy()V') WHEN 'ContentProvider' THEN method = 'onCreate()Z' WHEN 'Application' THEN method = 'onCreate()V' ELSE false END AS lifecycle FROM p""",
+    "flt15_useful": """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'A$1' ELSE 'A$b' END AS name, p_size % 3 AS methods FROM part
+WHERE p_partkey % 4 IN (2, 3) OR (p_partkey % 4 = 0 AND p_size % 3 <> 0)""",
     "str00_windowed_counts": "SELECT epoch(time_bucket(INTERVAL 1 HOUR, ts))::BIGINT AS window_start, event_type, count(*) AS n, sum(round(value * 100)::BIGINT)::BIGINT AS total FROM events GROUP BY ALL",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import flags as fl, hashes as hs, names as nm, reports as rp
-from ..operators import components as cc, edges as ed, filters as ft, flow, hierarchy as hi, index as ix, match as mt, merkle as mk, sets as st, trie as tr
+from ..operators import components as cc, edges as ed, filters as ft, flow, hierarchy as hi, index as ix, match as mt, merkle as mk, projections as pj, sets as st, trie as tr
 from ..operators.fingerprint import fingerprint
 from ..storage import materialize
 from ..streaming.landing import windowed_counts
@@ -347,6 +347,40 @@ def df18_control_flow(spark, sf_dir):
     return flow.control_flow(li, ["l_orderkey"])
 
 
+def prj04_numbers(spark, sf_dir):
+    t = decoded_apps(spark, sf_dir)
+    return pj.numbers(fingerprint(t["classes"], t["methods"], t["framework_types"]))
+
+
+def prj05_library(spark, sf_dir):
+    t = decoded_apps(spark, sf_dir)
+    nodes = fingerprint(t["classes"], t["methods"], t["framework_types"])
+    return pj.library(nodes).select("app_id", "name", F.array_join("packages", ",").alias("packages"), "n_classes")
+
+
+def gr04_class_components(spark, sf_dir):
+    """Customers and the suppliers of their orders as classes of one app a region."""
+    li, o, c, s, n = (read(spark, sf_dir, t) for t in ("lineitem", "orders", "customer", "supplier", "nation"))
+    home = n.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_regionkey").cast("string").alias("app_id"))
+    e = li.filter("l_quantity >= 49 AND l_discount >= 0.09").join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).join(home, "c_nationkey")
+    e = e.select("app_id", F.concat(F.lit("com.c"), "c_custkey").alias("src"), F.concat(F.lit("org.s"), (F.col("l_suppkey") * 1000 + F.col("l_partkey") % 1000)).alias("dst")).distinct()
+    apps = home.select("app_id", F.concat(F.lit("com.c"), "app_id").alias("package_name")).distinct()
+    return pj.class_components(e, apps)
+
+
+def fn26_lifecycle(spark, sf_dir):
+    kinds = F.array(*map(F.lit, ("Activity", "Service", "BroadcastReceiver", "ContentProvider", "Application", "Fragment", "OTHER")))
+    methods = F.array(*map(F.lit, ("onCreate()V", "onStart()V", "onDestroy()V", "onCreate()Z", "run()V")))
+    rows = read(spark, sf_dir, "part").select("p_partkey", F.element_at(kinds, (F.col("p_partkey") % 7 + 1).cast("int")).alias("kind"), F.element_at(methods, (F.col("p_size") % 5 + 1).cast("int")).alias("method"))
+    return rows.withColumn("lifecycle", pj.is_lifecycle(F.col("kind"), F.col("method")))
+
+
+def flt15_useful(spark, sf_dir):
+    name = F.when(F.col("p_partkey") % 4 == 0, F.lit("A$1")).when(F.col("p_partkey") % 4 == 1, F.lit("R$id")).otherwise(F.lit("A$b"))
+    rows = read(spark, sf_dir, "part").select("p_partkey", name.alias("name"), (F.col("p_size") % 3).alias("methods"))
+    return rows.filter(pj.useful(F.col("name"), F.col("methods"), F.lit(0), F.lit(0)))
+
+
 def str00_windowed_counts(spark, sf_dir):
     out = windowed_counts(read(spark, sf_dir, "events").select("ts", "event_type", F.round(F.col("value") * 100).cast("long").alias("value")))
     return out.select(F.unix_timestamp("window_start").alias("window_start"), "event_type", "n", "total")
@@ -369,4 +403,4 @@ def program_match(spark, sf_dir):
     return programs.match(profile, {k: materialize(v, k) for k, v in index.items()})
 
 
-QUERIES = {k: v for k, v in globals().items() if callable(v) and k.split("_")[0].rstrip("0123456789") in ("agg", "fn", "flt", "gr", "jn", "top", "src", "set", "tr", "ch", "df", "str", "program") and getattr(v, "__module__", "") == __name__}
+QUERIES = {k: v for k, v in globals().items() if callable(v) and k.split("_")[0].rstrip("0123456789") in ("agg", "fn", "flt", "gr", "jn", "top", "src", "set", "prj", "tr", "ch", "df", "str", "program") and getattr(v, "__module__", "") == __name__}
