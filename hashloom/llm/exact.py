@@ -17,7 +17,6 @@ from ..storage import materialize
 
 #: A digest is hot if it holds this share of the indexed rows: at most HOT of them exist.
 HOT = 1000
-BUCKETS = 32
 
 
 def normalized(text: Column) -> Column:
@@ -30,15 +29,16 @@ class DigestIndex:
     It lies in the warehouse, which all executors share. A batch is
     aggregated to one row a digest before it is shuffled, compared with the
     index by a sort-merge anti-join that reads the index without an exchange,
-    and its new digests are appended. Give each index buckets of about 128 MB.
+    and its new digests are appended. A new index has as many buckets as the
+    session shuffles into, unless told otherwise; about 128 MB each is best.
     """
 
-    def __init__(self, spark: SparkSession, name: str | None = None, buckets: int = BUCKETS):
-        self.spark, self.buckets = spark, buckets
+    def __init__(self, spark: SparkSession, name: str | None = None, buckets: int | None = None):
+        self.spark, self.buckets = spark, buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.name = name or f"digests_{uuid.uuid4().hex}"
         spark.sql(
             f"CREATE TABLE IF NOT EXISTS {self.name} (text_sha256 STRING, keep_id BIGINT, group_size BIGINT, batch STRING)"
-            f" USING parquet CLUSTERED BY (text_sha256) SORTED BY (text_sha256) INTO {buckets} BUCKETS"
+            f" USING parquet CLUSTERED BY (text_sha256) SORTED BY (text_sha256) INTO {self.buckets} BUCKETS"
         )
 
     def table(self) -> DataFrame:
