@@ -34,12 +34,15 @@ class DigestIndex:
     """
 
     def __init__(self, spark: SparkSession, name: str | None = None, buckets: int | None = None):
-        self.spark, self.buckets = spark, buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.spark = spark
+        buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.name = name or f"digests_{uuid.uuid4().hex}"
         spark.sql(
             f"CREATE TABLE IF NOT EXISTS {self.name} (text_sha256 STRING, keep_id BIGINT, group_size BIGINT, batch STRING)"
-            f" USING parquet CLUSTERED BY (text_sha256) SORTED BY (text_sha256) INTO {self.buckets} BUCKETS"
+            f" USING parquet CLUSTERED BY (text_sha256) SORTED BY (text_sha256) INTO {buckets} BUCKETS"
         )
+        told = {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE EXTENDED {self.name}").collect()}
+        self.buckets = int(told["Num Buckets"])
 
     def table(self) -> DataFrame:
         return self.spark.table(self.name)

@@ -32,6 +32,8 @@ def test_second_batch_meets_the_index(spark, odd):
     got = {r.doc_id: (r.keep_id, r.kept) for r in exact.exact_dedup(batch, index).collect()}
     assert got == {0: (5, False), 100: (100, True), 101: (100, False), 102: (1, False)}
     assert index.table().count() == before + 1
+    again = exact.DigestIndex(spark, index.name)
+    assert again.buckets == 4 and exact.exact_dedup(batch, again).filter("kept").count() == 1
 
 
 def test_hot_groups(spark):
