@@ -51,6 +51,8 @@ class DigestIndex:
         """Append what is new in docs; returns the digests (doc_id, text_sha256) of all of docs."""
         digests = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(normalized(F.col("text")), 256).alias("text_sha256")), "digests")
         groups = digests.groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+        # written, as the optimizer would push the anti-join below the aggregate, and shuffle every row
+        groups = materialize(groups, "groups")
         fresh = groups.join(self.table().select("text_sha256").hint("merge"), "text_sha256", "left_anti")
         fresh = fresh.withColumn("batch", F.lit(uuid.uuid4().hex)).repartition(self.buckets, "text_sha256")
         fresh.select("text_sha256", "keep_id", "group_size", "batch").write.insertInto(self.name)
