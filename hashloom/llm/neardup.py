@@ -34,9 +34,9 @@ from ..storage import materialize, sized
 from .shingles import SPACED, chunks, mix64, shingles, words
 
 SHINGLE = 5
-#: Links have NUM * intersection >= DEN * union.
+#: Links have NUM * intersection >= least * union; DEN is least unless told otherwise.
 NUM, DEN = 100, 85
-#: A pair at the threshold misses all bands with a chance of about (1 - 0.85 ** ROWS) ** BANDS = 2e-8.
+#: A pair at the threshold misses all bands with a chance of about (1 - 0.85 ** ROWS) ** BANDS = 2e-8, at 0.8 of 7e-6.
 BANDS, ROWS = 30, 5
 BINS = BANDS * ROWS
 #: Words of 64 bits that a set's parity map has.
@@ -118,10 +118,10 @@ def parities(s: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount(places, minlength=64 * PARITY_WORDS) & 1 != 0).view(np.int64)
 
 
-def may_link(a: Column, b: Column, size: Column) -> Column:
+def may_link(a: Column, b: Column, size: Column, least: int = DEN) -> Column:
     """Whether sets with these parity maps, of size hashes together, can be similar enough; never false of a link."""
     bits = reduce(lambda x, y: x + y, (F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(PARITY_WORDS)))
-    return bits * (NUM + DEN) <= (NUM - DEN) * size
+    return bits * (NUM + least) <= (NUM - least) * size
 
 
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,18 +137,18 @@ def _pair(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def confirm(pairs: DataFrame, sets: DataFrame, least: int = DEN) -> DataFrame:
     """Those of pairs (a, b) whose sets (node, grams) are similar enough."""
     left = sets.select(F.col("node").alias("a"), F.col("grams").alias("ga"))
     right = sets.select(F.col("node").alias("b"), F.col("grams").alias("gb"))
     both = pairs.join(left, "a").join(right, "b").withColumn("i", F.size(F.array_intersect("ga", "gb")).cast("long"))
-    return both.filter(F.col("i") * NUM >= DEN * (F.size("ga") + F.size("gb") - F.col("i"))).select("a", "b")
+    return both.filter(F.col("i") * NUM >= least * (F.size("ga") + F.size("gb") - F.col("i"))).select("a", "b")
 
 
-def prefixes(members: DataFrame, sets: DataFrame) -> DataFrame:
+def prefixes(members: DataFrame, sets: DataFrame, least: int = DEN) -> DataFrame:
     """(key, node, n, c, odd): each node under the rarest of its shingles, so that similar nodes share a key.
 
-    Of two similar sets each has a shared shingle among its n - NUM/DEN n + 1
+    Of two similar sets each has a shared shingle among its n - least/NUM n + 1
     rarest. Shingles of one node alone are rarest and lead nowhere, so a node
     with many of them has few keys or none; c counts its other shingles, the
     most it can share with any node.
@@ -158,15 +158,15 @@ def prefixes(members: DataFrame, sets: DataFrame) -> DataFrame:
     df = rows.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1")
     rows = rows.join(df, "key")
     rows = rows.withColumn("c", F.count("*").over(W.partitionBy("node"))).withColumn("at", F.row_number().over(W.partitionBy("node").orderBy("df", "key")))
-    most = F.floor(F.col("n") * (NUM - DEN) / NUM) + 1 - (F.col("n") - F.col("c"))
+    most = F.floor(F.col("n") * (NUM - least) / NUM) + 1 - (F.col("n") - F.col("c"))
     rows = materialize(rows.filter(F.col("at") <= most).select("key", "node", "n", "c"), "prefixes")
     # a node may be too poor in shared shingles for even the smallest node of a key
-    least = rows.groupBy("key").agg(F.min("n").alias("m"))
-    rows = rows.join(least, "key").filter(F.col("c") * (NUM + DEN) >= DEN * (F.col("n") + F.greatest("m", F.ceil(F.col("n") * DEN / NUM))))
+    smallest = rows.groupBy("key").agg(F.min("n").alias("m"))
+    rows = rows.join(smallest, "key").filter(F.col("c") * (NUM + least) >= least * (F.col("n") + F.greatest("m", F.ceil(F.col("n") * least / NUM))))
     return materialize(rows.drop("m").join(sets.select("node", "odd"), "node"), "postings")
 
 
-def links(members: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+def links(members: DataFrame, sets: DataFrame, least: int = DEN) -> tuple[DataFrame, DataFrame]:
     """(links, parts): confirmed links (a, b) that connect all similar nodes of members, and their components (node, part).
 
     members are the nodes of each bucket (key, node, n); every bucket has two
@@ -178,16 +178,16 @@ def links(members: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     counts = members.groupBy("key").agg(F.count("*").alias("size"))
     company = members.join(counts, "key").groupBy("node").agg(F.sum("size").alias("company"))
     ranked = materialize(members.join(company, "node").withColumn("rank", F.struct((-F.col("company")).alias("c"), F.col("node").alias("id"))).drop("company"), "ranked")
-    near = (F.least("n", "cn") * NUM >= F.greatest("n", "cn") * DEN) & (F.col("node") != F.col("centre"))
+    near = (F.least("n", "cn") * NUM >= F.greatest("n", "cn") * least) & (F.col("node") != F.col("centre"))
     first = ranked.groupBy("key").agg(F.min_by(F.struct("node", "n"), "rank").alias("x")).select("key", F.col("x.node").alias("centre"), F.col("x.n").alias("cn"))
     tried = materialize(ranked.join(first, "key").filter(near).select(*_pair("node", "centre")).distinct(), "pairs")
-    found = materialize(confirm(tried, sets), "links")
+    found = materialize(confirm(tried, sets, least), "links")
     parts = materialize(connected_components(found).withColumnRenamed("component", "part"), "parts")
     rows = _open(ranked, parts).select("key", "node", "n")
     if rows.isEmpty():
         return found, parts
-    rows = prefixes(rows, sets).withColumn("rank", F.struct((F.col("n") - F.col("c")).alias("c"), F.col("node").alias("id")))
-    near = near & (F.least("c", "cc") * (NUM + DEN) >= DEN * (F.col("n") + F.col("cn"))) & may_link(F.col("odd"), F.col("codd"), F.col("n") + F.col("cn"))
+    rows = prefixes(rows, sets, least).withColumn("rank", F.struct((F.col("n") - F.col("c")).alias("c"), F.col("node").alias("id")))
+    near = near & (F.least("c", "cc") * (NUM + least) >= least * (F.col("n") + F.col("cn"))) & may_link(F.col("odd"), F.col("codd"), F.col("n") + F.col("cn"), least)
     centres, again = 1, True
     while True:
         if again:
@@ -200,7 +200,7 @@ def links(members: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
         best = best.select("key", F.col("node").alias("centre"), F.col("n").alias("cn"), F.col("c").alias("cc"), F.col("odd").alias("codd"), F.col("part").alias("cpart"))
         more = left.join(best, "key").filter((F.col("part") != F.col("cpart")) & near).select(*_pair("node", "centre")).distinct()
         more = materialize(more.join(tried, ["a", "b"], "left_anti"), "pairs")
-        new = materialize(confirm(more, sets), "links")
+        new = materialize(confirm(more, sets, least), "links")
         again = not new.isEmpty()
         if again:
             found = materialize(found.union(new), "links")
@@ -216,8 +216,8 @@ def _open(rows: DataFrame, parts: DataFrame) -> DataFrame:
     return parted.join(split, "key", "left_semi")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of each row of docs."""
+def near_duplicates(docs: DataFrame, least: int = DEN) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of each row of docs; links are least hundredths similar or more."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = materialize(base.mapInArrow(_signed, "doc_id long, n_shingles long, set_id binary, keys array<long>"), "signed")
     own = signed.filter("set_id IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "set_id")
@@ -228,7 +228,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = materialize(rows.join(full, "key", "left_semi"), "members")
     wanted = sized(materialize(members.select(F.col("node").alias("doc_id")).distinct(), "wanted"))
     sets = materialize(base.join(wanted, "doc_id", "left_semi").withColumnRenamed("doc_id", "node").mapInArrow(_listed, "node long, grams array<long>, odd array<long>"), "sets")
-    found, parts = links(members, sets)
+    found, parts = links(members, sets, least)
     # an id that repeats with other texts joins their nodes
     of = own.join(nodes, "set_id")
     several = materialize(of.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("hi")).filter("b <> hi").drop("hi"), "several")
