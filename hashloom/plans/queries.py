@@ -342,6 +342,24 @@ def df11_pruned_calls(spark, sf_dir):
     return flow.prune(_calls(spark, sf_dir), spark.sql("SELECT CAST(400 AS BIGINT) AS node"))
 
 
+def _trade(spark, sf_dir):
+    """All order lines as edges: the customer to the supplier, and of returned lines the supplier back to the customer.
+
+    Customers are their keys, suppliers theirs negated.
+    """
+    li, o = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "orders")
+    e = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("c"), (-F.col("l_suppkey")).alias("s"), "l_returnflag")
+    return e.select(F.col("c").alias("src"), F.col("s").alias("dst")).union(e.filter("l_returnflag = 'R'").select("s", "c")).distinct()
+
+
+def df13_whole_forward_slice(spark, sf_dir):
+    return flow.reachable(_trade(spark, sf_dir), spark.sql("SELECT CAST(-1 AS BIGINT) AS node"))
+
+
+def df11_whole_pruned_calls(spark, sf_dir):
+    return flow.prune(_trade(spark, sf_dir), spark.sql("SELECT CAST(-1 AS BIGINT) AS node"))
+
+
 def df18_control_flow(spark, sf_dir):
     li = read(spark, sf_dir, "lineitem").groupBy("l_orderkey", F.col("l_linenumber").alias("pc")).agg((F.max("l_returnflag") == "R").alias("ends"), F.max(F.when(F.col("l_linestatus") == "O", F.col("l_quantity") % 7)).cast("int").alias("target"))
     return flow.control_flow(li, ["l_orderkey"])
@@ -368,6 +386,15 @@ def gr04_class_components(spark, sf_dir):
     return pj.class_components(e, apps)
 
 
+def gr04_whole_class_components(spark, sf_dir):
+    """All customers and all suppliers of their orders as classes of one app a region."""
+    li, o, c, n = (read(spark, sf_dir, t) for t in ("lineitem", "orders", "customer", "nation"))
+    home = n.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_regionkey").cast("string").alias("app_id"))
+    e = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).join(home, "c_nationkey")
+    e = e.select("app_id", F.concat(F.lit("com.c"), "c_custkey").alias("src"), F.concat(F.lit("org.s"), "l_suppkey").alias("dst")).distinct()
+    return pj.class_components(e, home.select("app_id", F.lit("com.own").alias("package_name")).distinct())
+
+
 def fn26_lifecycle(spark, sf_dir):
     kinds = F.array(*map(F.lit, ("Activity", "Service", "BroadcastReceiver", "ContentProvider", "Application", "Fragment", "OTHER")))
     methods = F.array(*map(F.lit, ("onCreate()V", "onStart()V", "onDestroy()V", "onCreate()Z", "run()V")))
