@@ -99,12 +99,25 @@ def scan(docs: DataFrame) -> DataFrame:
     )
     votes = votes.filter((F.col("template") == EVERY) | F.when(F.col("exact"), F.bit_count("mask") == F.col("n")).otherwise(F.bit_count("mask") >= F.least(F.lit(VOTES), "n")))
     # neighbouring diagonals of a notice; each place of a phrase is its own
-    by = W.partitionBy(*row, "template").orderBy("first", "diagonal")
+    key = [*row, "template", "n", "label", "exact"]
+    by, across = W.partitionBy(*row, "template").orderBy("first", "diagonal"), W.partitionBy(*row, "template").orderBy("diagonal")
+    upto = W.unboundedPreceding
+    # diagonals that others, elsewhere in the range, may stand between
+    jump = F.col("exact") | F.lag("diagonal").over(across).isNull() | (F.col("diagonal") - F.lag("diagonal").over(across) > SLACK)
+    spans = votes.withColumn("jump", jump.cast("int")).withColumn("near", F.sum("jump").over(across.rowsBetween(upto, 0)))
+    within = W.partitionBy(*row, "template", "near").orderBy("first", "diagonal")
+    reached = F.max("last").over(within.rowsBetween(upto, -1))
+    spans = spans.withColumn("gap", (reached.isNull() | (F.col("first") - reached > GAP)).cast("int")).withColumn("whole", F.sum("gap").over(within.rowsBetween(upto, 0)))
+    # parts of these: rows that follow each other on neighbouring diagonals
     apart = F.col("exact") | F.lag("diagonal").over(by).isNull() | (F.abs(F.col("diagonal") - F.lag("diagonal").over(by)) > SLACK) | (F.col("first") - F.lag("last").over(by) > GAP)
-    spans = votes.withColumn("apart", apart.cast("int")).withColumn("span", F.sum("apart").over(by.rowsBetween(W.unboundedPreceding, 0)))
-    spans = spans.groupBy(*row, "template", "n", "label", "exact", "span").agg(F.max("votes").alias("votes"), F.min("first").alias("start"), (F.max("last") + PAIR).alias("end"), F.bit_or("mask").alias("mask"))
+    spans = spans.withColumn("apart", apart.cast("int")).withColumn("span", F.sum("apart").over(by.rowsBetween(upto, 0)))
+    spans = spans.groupBy(*key, "near", "whole", "span").agg(F.max("votes").alias("votes"), F.min("first").alias("start"), (F.max("last") + PAIR).alias("end"), F.bit_or("mask").alias("mask"))
+    part = F.struct("votes", "start", "end", "mask")
+    spans = spans.groupBy(*key, "near", "whole").agg(F.struct(F.max("votes").alias("votes"), F.min("start").alias("start"), F.max("end").alias("end"), F.bit_or("mask").alias("mask")).alias("all"), F.collect_list(part).alias("parts"))
+    holds = lambda x: (F.col("template") == EVERY) | F.col("exact") | ((F.bit_count(x["mask"]) / F.col("n") >= COVER) & (x["end"] - x["start"] <= STRETCH * (F.col("n") + 1)))
+    # the parts stand for a span that does not hold
+    spans = spans.select(*key, F.inline(F.when(holds(F.col("all")), F.array("all")).otherwise(F.filter("parts", holds))))
     spans = spans.withColumn("cover", F.bit_count("mask") / F.col("n"))
-    spans = spans.filter((F.col("template") == EVERY) | F.col("exact") | ((F.col("cover") >= COVER) & (F.col("end") - F.col("start") <= STRETCH * (F.col("n") + 1))))
     found = F.struct("label", "exact", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "cover")
     out = spans.groupBy(*row).agg(F.sort_array(F.collect_list(F.when(F.col("template") != EVERY, found))).alias("spans"), F.max(F.when(F.col("template") == EVERY, F.col("votes"))).alias("copies"))
     return out.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select("doc_id", "n_words", "spans")

@@ -49,6 +49,17 @@ def test_edited_notice(spark):
     assert len(got[1]) == 1 and got[1][0][0] == "mit-notice" and got[1][0][1] == 3 and abs(got[1][0][2] - 3 - len(notice)) <= 1
 
 
+def test_one_word_added_anywhere_in_a_notice(spark):
+    """Pairs that the notice repeats vote for diagonals between those of its two halves."""
+    notice = licenses.NOTICES[1][0].split()
+    rows = [(at, " ".join(["some", "code", *notice[:at], "really", *notice[at:], "more"])) for at in range(1, len(notice))]
+    found = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        whole = [s for s in r.spans if s.label == "apache-2.0" and s.end - s.start > len(notice) - 3]
+        assert len(whole) == 1 and whole[0].cover > 0.9, (r.doc_id, r.spans)
+
+
 def test_query_columns(spark, sf_dir):
     for r in op5_license_scans(spark, sf_dir).collect():
         base = set(filter(None, r.base_labels.split(",")))
