@@ -206,6 +206,12 @@ def top02_top6_per_name(spark, sf_dir):
     return mt.shortlist(_cascade(spark, sf_dir), libs, ["doc_id"], 2).withColumnRenamed("lib_hash", "item_id")
 
 
+def top02_whole_top6_per_name(spark, sf_dir):
+    """As many versions of each name as match_apps keeps."""
+    libs = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("lib_hash"), F.concat(F.lit("lib"), (F.col("item_id") % 3).cast("string")).alias("name"))
+    return mt.shortlist(_cascade(spark, sf_dir), libs, ["doc_id"]).withColumnRenamed("lib_hash", "item_id")
+
+
 def _distinct_sentences(spark, sf_dir, table, key):
     return sentences(read(spark, sf_dir, table), key).select(key, F.md5("sentence").alias("s"))
 
