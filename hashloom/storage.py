@@ -2,30 +2,114 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: A side of a join is broadcast only when it has no more rows than this.
 BROADCAST_ROWS = 100_000
 
+#: Rows of a batch that goes to a Python worker.
+ARROW_ROWS = 500
+
+_scopes: list[list[DataFrame]] = []
+_shipped: set[str] = set()
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, else one beside the warehouse."""
+    """The folder that all executors see: spark.checkpoint.dir, else, in local mode, one beside the warehouse."""
     told = spark.conf.get("spark.checkpoint.dir", None)
-    return told.rstrip("/") if told else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_hashloom"
+    if told:
+        return told.rstrip("/")
+    if not is_local(spark):
+        raise ValueError("spark.checkpoint.dir is not set: on a cluster it has to name a folder that all executors share")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_hashloom"
+
+
+def is_local(spark: SparkSession) -> bool:
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors of a cluster, once a session's context; in local mode workers find it as the driver does."""
+    context = spark.sparkContext
+    if is_local(spark) or context.applicationId in _shipped:
+        return
+    _shipped.add(context.applicationId)
+    root = os.path.dirname(os.path.abspath(__file__))
+    at = os.path.join(tempfile.mkdtemp(), "hashloom.zip")  # the driver serves it from there
+    with zipfile.ZipFile(at, "w") as z:
+        for folder, _, names in os.walk(root):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    z.write(os.path.join(folder, n), os.path.join("hashloom", os.path.relpath(os.path.join(folder, n), root)))
+    context.addPyFile(at)
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back.
 
     Cuts the lineage: what follows is recomputed from files, not from the plan,
-    when executors are lost. Unlike checkpoint() the plan runs once only.
+    when executors are lost. Unlike checkpoint() the plan runs once only. The
+    files stay until discard() or the end of a scope().
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/hashloom/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    if _scopes:
+        _scopes[-1].append(out)
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of materialized tables; nothing may read them any more."""
+    for table in tables:
+        if path := vars(table).get("written_to"):
+            jvm = table.sparkSession._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+            table.written_to = None
+
+
+@contextmanager
+def scope() -> Iterator[None]:
+    """Tables materialized inside are deleted at the end, so results have to be written or collected within."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        discard(*_scopes.pop())
+
+
+def tidy(tag: str) -> Callable:
+    """Of an operator whose result is narrow: it is materialized, and what it was made from is deleted."""
+
+    def wrap(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        @wraps(operator)
+        def run(*args, **kwargs) -> DataFrame:
+            _scopes.append([])
+            try:
+                made = operator(*args, **kwargs)
+            except BaseException:
+                discard(*_scopes.pop())
+                raise
+            inside = _scopes.pop()
+            out = materialize(made, tag)
+            discard(*inside)
+            return out
+
+        return run
+
+    return wrap
 
 
 def sized(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -38,6 +122,23 @@ def sized(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= max_rows else df
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, whose texts go to Python workers by ARROW_ROWS rows at most, unless the session has a number of its own.
+
+    An executor holds a batch several times for each of its tasks, outside
+    the heap as well, and Spark's default of 10,000 texts can be any size.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key) == "10000":
+        conf.set(key, str(ARROW_ROWS))
+    return df
+
+
+def quoted(name: str) -> str:
+    """A column's name as an expression, whatever is in it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def same(left: DataFrame, right: DataFrame, *names: str) -> Column:
     """Null-safe equality of the named columns of both sides."""
     out = F.lit(True)
