@@ -1,96 +1,107 @@
-"""Class lists of archives: dex files in app packages, and framework jars (SRC-01..05, SRC-19).
+"""Classes and methods of archives: dex files in app packages, and framework jars (SRC-01..05, SRC-19).
 
-Archives are read by Spark as binary files, one a row, and only names and
-flags are decoded, in the tasks. Code comes as the decoded tables that
-fingerprint.py describes.
+Archives are read by Spark as binary files, one a row, and decoded in the
+tasks, one at a time. An archive that cannot be read gives one row with what
+was wrong, and the others go on.
 """
 
 from __future__ import annotations
 
+import hashlib
 import io
-import struct
 import zipfile
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
+from . import manifest
+from .bytecode import DEX, NONE, ODEX, Dex  # noqa: F401
 from .lists import files
 
-CLASSES = "path string, entry string, class_desc string, super_desc string, access_flags int, source_file string"
-NONE = 0xFFFFFFFF
-# What dex files, and dex files optimized for a device, begin with.
-DEX, ODEX = b"dex\n", b"dey\n"
-
-
-def _uleb(data: bytes, at: int) -> tuple[int, int]:
-    value = shift = 0
-    while True:
-        b = data[at]
-        at += 1
-        value |= (b & 0x7F) << shift
-        shift += 7
-        if b < 0x80:
-            return value, at
-
-
-def _strings(data: bytes) -> list[str]:
-    n, off = struct.unpack_from("<II", data, 56)
-    out = []
-    for at in struct.unpack_from(f"<{n}I", data, off):
-        _, begin = _uleb(data, at)
-        # modified UTF-8: surrogates are written one by one, and NUL as two bytes
-        raw = data[begin : data.index(b"\0", begin)].replace(b"\xc0\x80", b"\0")
-        out.append(raw.decode("utf-8", "surrogatepass").encode("utf-16", "surrogatepass").decode("utf-16", "replace"))
-    return out
+CODE = "array<struct<pc:int,opcode:string,kind:string,ref_class:string,arg_types:array<string>,field_type:string>>"
+METHODS = f"array<struct<method_idx:int,name:string,access_flags:int,param_types:array<string>,return_type:string,code:{CODE}>>"
+SCANNED = f"path string, app_id string, entry string, class_desc string, super_desc string, access_flags int, source_file string, methods {METHODS}, error string"
+#: Classes that go to Spark at once.
+CLASSES_AT_ONCE = 200
 
 
 def dex_classes(data: bytes) -> list[tuple[str, str | None, int, str | None]]:
     """(descriptor, super, flags, source file) of the class definitions of a dex file."""
-    if data[:4] == ODEX:
-        begin, length = struct.unpack_from("<II", data, 8)
-        data = data[begin : begin + length]
-    if data[:4] != DEX:
-        raise ValueError("not a dex file")
-    strings = _strings(data)
-    n, off = struct.unpack_from("<II", data, 64)
-    types = [strings[i] for i in struct.unpack_from(f"<{n}I", data, off)]
-    n, off = struct.unpack_from("<II", data, 96)
-    out = []
-    for i in range(n):
-        cls, flags, sup, _, source, *_ = struct.unpack_from("<8I", data, off + 32 * i)
-        out.append((types[cls], None if sup == NONE else types[sup], flags, None if source == NONE else strings[source]))
-    return out
-
-
-def archive_classes(path: str, content: bytes) -> Iterator[tuple]:
-    """CLASSES rows of an app package, a jar or a dex file; of two classes with one name the first stays."""
+    return [c[:4] for c in Dex(data).classes()]
+
+
+def archive_classes(content: bytes, code: bool = False) -> Iterator[dict]:
+    """The classes of an app package, a jar or a dex file, with their methods on demand; of two classes with one name the first stays."""
     seen: set[str] = set()
     if content[:4] in (DEX, ODEX):
-        entries = [("", content)]
+        entries, z = [""], None
     else:
-        with zipfile.ZipFile(io.BytesIO(content)) as z:
-            names = sorted(z.namelist())
-            entries = [(n, z.read(n)) for n in names if n.endswith(".dex") and "/" not in n]
-            for n in names:
-                if n.endswith(".class"):
-                    yield path, n, f"L{n[: -len('.class')]};", None, 0, None
-    for entry, data in entries:
-        for row in dex_classes(data):
-            if row[0] not in seen:
-                seen.add(row[0])
-                yield (path, entry, *row)
+        z = zipfile.ZipFile(io.BytesIO(content))
+        names = sorted(z.namelist())
+        entries = [n for n in names if n.endswith(".dex") and "/" not in n]
+        for n in names:
+            if n.endswith(".class"):
+                yield {"entry": n, "class_desc": f"L{n[: -len('.class')]};", "access_flags": 0}
+    for entry in entries:
+        dex = Dex(z.read(entry) if z else content)
+        for cls, above, flags, source, members in dex.classes():
+            if cls not in seen:
+                seen.add(cls)
+                yield {"entry": entry, "class_desc": cls, "super_desc": above, "access_flags": flags, "source_file": source, "methods": dex.class_methods(members) if code else None}
+
+
+def scan(spark: SparkSession, path: str, suffix: str = ".apk", deep: bool = False, code: bool = False) -> DataFrame:
+    """SCANNED rows: the classes of all archives below path, or a row with the error of one that cannot be read.
+
+    app_id is the archive's SHA-256. An error anywhere in an archive leaves
+    out all of it.
+    """
+    schema = to_arrow_schema(StructType.fromDDL(SCANNED))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, content in zip(batch.column("path"), batch.column("content"), strict=True):
+                data = content.as_py()
+                told = {"path": at.as_py(), "app_id": hashlib.sha256(data).hexdigest()}
+                try:
+                    rows = [told | c for c in archive_classes(data, code)]
+                except Exception as e:  # noqa: BLE001  whatever a broken file leads to
+                    rows = [told | {"error": f"{type(e).__name__}: {e}"}]
+                for lo in range(0, len(rows), CLASSES_AT_ONCE):
+                    yield pa.RecordBatch.from_pylist(rows[lo : lo + CLASSES_AT_ONCE], schema)
+
+    return files(spark, path, suffix, deep, content=True).select("path", "content").mapInArrow(run, SCANNED)
 
 
 def classes(spark: SparkSession, path: str, suffix: str = ".apk", deep: bool = False) -> DataFrame:
-    """CLASSES of all archives below path."""
+    """path, app_id, entry, class_desc, super_desc, access_flags, source_file of the archives that can be read."""
+    return scan(spark, path, suffix, deep).filter("error IS NULL").drop("methods", "error")
+
+
+def failures(scanned: DataFrame) -> DataFrame:
+    """path, app_id, error of the archives that cannot be read."""
+    return scanned.filter("error IS NOT NULL").select("path", "app_id", "error")
+
+
+def methods(scanned: DataFrame) -> DataFrame:
+    """app_id, class_desc and the columns of each method of archives that were scanned with their code."""
+    return scanned.filter("error IS NULL").select("app_id", "class_desc", F.inline("methods"))
+
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [r for p, c in zip(pdf.path, pdf.content, strict=True) for r in archive_classes(p, bytes(c))]
-            yield pd.DataFrame(rows, columns=[x.split()[0] for x in CLASSES.split(", ")])
+def decoded_apps(spark: SparkSession, path: str, framework: DataFrame, suffix: str = ".apk", deep: bool = False) -> dict[str, DataFrame]:
+    """The tables apps, classes, methods and framework_types that PARSE takes, from app packages and framework types (type_desc).
 
-    return files(spark, path, suffix, deep, content=True).mapInPandas(run, CLASSES)
+    An app without a readable manifest has a null package name, which no
+    package belongs to.
+    """
+    scanned = scan(spark, path, suffix, deep, code=True)
+    told = manifest.apps(spark, path, suffix, deep).select("path", "package_name", "version_code", "version_name", "main_activity")
+    apps = scanned.filter("error IS NULL").select("path", "app_id").distinct().join(told, "path", "left").drop("path").dropDuplicates(["app_id"])
+    own = scanned.filter("error IS NULL").select("app_id", "class_desc", "super_desc", "access_flags", "source_file")
+    return {"apps": apps, "classes": own.dropDuplicates(["app_id", "class_desc"]), "methods": methods(scanned).dropDuplicates(["app_id", "class_desc", "method_idx"]), "framework_types": framework}
 
 
 def framework_types(spark: SparkSession, path: str, suffix: str = ".jar") -> DataFrame:

@@ -22,6 +22,7 @@ REFERENCE, ATTRIBUTE, STRING, FLOAT, DECIMAL, HEX, BOOLEAN = 1, 2, 3, 4, 16, 17,
 COLOURS = range(28, 32)
 UTF8 = 1 << 8
 MAIN, LAUNCHER = "android.intent.action.MAIN", "android.intent.category.LAUNCHER"
+STARTS = {"action": MAIN, "category": LAUNCHER}
 
 
 def string_pool(data: bytes, at: int) -> list[str]:
@@ -88,7 +89,7 @@ def manifest(data: bytes) -> tuple[str | None, str | None, str | None, str | Non
         elif begins and name == "activity":
             activity, inside = attributes.get("name"), dict.fromkeys(inside, False)
         elif begins and name in inside and activity:
-            inside[name] |= attributes.get("name") in (MAIN, LAUNCHER)
+            inside[name] |= attributes.get("name") == STARTS[name]
         elif not begins and name == "activity" and all(inside.values()):
             break
     if activity and package:
@@ -96,15 +97,23 @@ def manifest(data: bytes) -> tuple[str | None, str | None, str | None, str | Non
     return package, code, version, activity
 
 
-def apps(spark: SparkSession, path: str, suffix: str = ".apk") -> DataFrame:
-    """APPS of all archives below path."""
+def scan(spark: SparkSession, path: str, suffix: str = ".apk", deep: bool = True) -> DataFrame:
+    """APPS and error of all archives below path; one without a manifest that can be read has a row with what was wrong."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for p, c in zip(pdf.path, pdf.content, strict=True):
-                with zipfile.ZipFile(io.BytesIO(bytes(c))) as z:
-                    rows.append((p, *manifest(z.read("AndroidManifest.xml"))))
-            yield pd.DataFrame(rows, columns=[x.split()[0] for x in APPS.split(", ")])
+                try:
+                    with zipfile.ZipFile(io.BytesIO(bytes(c))) as z:
+                        rows.append((p, *manifest(z.read("AndroidManifest.xml")), None))
+                except Exception as e:  # noqa: BLE001  whatever a broken file leads to
+                    rows.append((p, None, None, None, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=[*(x.split()[0] for x in APPS.split(", ")), "error"])
 
-    return files(spark, path, suffix, deep=True, content=True).mapInPandas(run, APPS)
+    return files(spark, path, suffix, deep, content=True).mapInPandas(run, f"{APPS}, error string")
+
+
+def apps(spark: SparkSession, path: str, suffix: str = ".apk", deep: bool = True) -> DataFrame:
+    """APPS of all archives below path whose manifest can be read."""
+    return scan(spark, path, suffix, deep).filter("error IS NULL").drop("error")
