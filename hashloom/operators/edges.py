@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import names as nm
-from .filters import TOP_LEVEL, app_classes, app_methods, app_prefix, is_top_level, known_destinations
+from .filters import app_classes, app_methods, app_prefix, is_top_level, known_destinations
 
 
 def dependency_edges(classes: DataFrame, methods: DataFrame) -> DataFrame:
@@ -37,7 +37,7 @@ def classify(edges: DataFrame, apps: DataFrame) -> DataFrame:
     two-segment prefixes differ: a called edge; 7 kept for components.
     """
     short = F.col("vertex").isin("com", "net", "io", "me")
-    vertices = edges.select("app_id", F.col("src").alias("vertex")).union(edges.select("app_id", "dst")).distinct().filter(~short & F.col("vertex").isin(*TOP_LEVEL))
+    vertices = edges.select("app_id", F.col("src").alias("vertex")).union(edges.select("app_id", "dst")).distinct().filter(~short & is_top_level(F.col("vertex")))
     rows = edges.join(apps.select("app_id", app_prefix(F.col("package_name")).alias("own")), "app_id", "left") if "own" not in edges.columns else edges
     rows = rows.withColumn("first", nm.first_segments(F.col("src"), 1))
     rows = rows.join(vertices.withColumnRenamed("vertex", "first").withColumn("is_vertex", F.lit(True)), ["app_id", "first"], "left")

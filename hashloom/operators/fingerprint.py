@@ -9,6 +9,7 @@ do not change when identifiers do.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -21,6 +22,8 @@ from .merkle import merkle
 
 UNKNOWN = "X"
 METHOD = ["app_id", "class_desc", "method_idx"]
+#: So many framework types may stand in an expression.
+INLINE_TYPES = 20_000
 
 
 @dataclass(frozen=True)
@@ -54,13 +57,50 @@ def fuzzy(type_name: Column, known: Column, field: bool | Column = False) -> Col
     return F.when(own | known, bare(type_name)).otherwise(F.lit(UNKNOWN))
 
 
-def method_nodes(methods: DataFrame, framework: DataFrame, config: FingerprintConfig = FingerprintConfig()) -> DataFrame:
+def method_nodes(methods: DataFrame, framework: DataFrame, config: FingerprintConfig = FingerprintConfig(), inline: int = INLINE_TYPES) -> DataFrame:
     """app_id, class_desc, package, class_name, method_idx, access_flags, hash, simple_hash.
 
+    Up to so many framework types are a set in the expression, and each
+    method's hashes are made within its row; more types are joined.
+    """
+    rows = hashed_methods(app_methods(methods, config.public_only))
+    types = framework.select(element(F.col("type_desc")).alias("known_type")).filter("known_type IS NOT NULL").distinct()
+    few = [r.known_type for r in types.limit(inline + 1).collect()]
+    made = _within_rows(rows, few) if len(few) <= inline else _by_join(rows, types)
+    name = nm.dotted(F.col("class_desc"))
+    return made.select(
+        "app_id",
+        "class_desc",
+        nm.package(name).alias("package"),
+        nm.simple_name(name).alias("class_name"),
+        "method_idx",
+        "access_flags",
+        digest(F.concat("code_text", "descriptor"), config.algorithm).alias("hash"),
+        digest(F.concat("descriptor", rendered(F.col("calls"))), config.algorithm).alias("simple_hash"),
+    )
+
+
+def _within_rows(rows: DataFrame, known: list[str]) -> DataFrame:
+    """METHOD, access_flags, descriptor, code_text, calls of methods, with these framework types."""
+    is_known = lambda t: F.coalesce(element(t).isin(known), F.lit(False)) if known else F.lit(False)
+    args = lambda ts: F.concat(F.lit("("), F.array_join(F.transform(F.coalesce(ts, F.array().cast("array<string>")), lambda t: fuzzy(t, is_known(t))), ""), F.lit(")"))
+    code = F.coalesce(F.col("code"), F.array().cast(rows.schema["code"].dataType))
+
+    def text(i: Column) -> Column:
+        read = F.concat(F.lit("["), fuzzy(i["field_type"], is_known(i["field_type"]), True), F.lit("]"))
+        return F.concat(F.coalesce(i["opcode"], F.lit(UNKNOWN)), F.when(i["kind"] == "invoke", args(i["arg_types"])).when(i["kind"] == "getfield", read).otherwise(F.lit("")))
+
+    calls = F.array_distinct(F.transform(F.filter(code, lambda i: i["kind"] == "invoke"), lambda i: args(i["arg_types"])))
+    descriptor = F.concat(args(F.col("param_types")), fuzzy(F.col("return_type"), is_known(F.col("return_type"))))
+    return rows.select(*METHOD, "access_flags", descriptor.alias("descriptor"), F.array_join(F.transform(code, text), "").alias("code_text"), calls.alias("calls"))
+
+
+def _by_join(rows: DataFrame, types: DataFrame) -> DataFrame:
+    """The same with any number of framework types.
+
     Code is exploded to tokens; each token that is a type meets the framework
     types once, and tokens are put together again within the same partitions.
     """
-    rows = hashed_methods(app_methods(methods, config.public_only))
     text = lambda s: F.struct(F.lit(s).alias("text"), F.lit(None).cast("string").alias("type"), F.lit(False).alias("field"))
     typed = lambda t, field: F.struct(F.lit(None).cast("string").alias("text"), t.alias("type"), F.lit(field).alias("field"))
     empty = F.array().cast("array<struct<text:string,type:string,field:boolean>>")
@@ -72,12 +112,12 @@ def method_nodes(methods: DataFrame, framework: DataFrame, config: FingerprintCo
         read = F.array(text("["), typed(i["field_type"], True), text("]"))
         return F.concat(F.array(word), F.when(i["kind"] == "invoke", invoke).when(i["kind"] == "getfield", read).otherwise(empty))
 
-    # the descriptor is part -1, before the code's parts
+    # the descriptor is part 0, before the code's parts
     descriptor = F.concat(F.array(text("(")), F.transform("param_types", lambda t: typed(t, False)), F.array(text(")"), typed(F.col("return_type"), False)))
-    parts = F.concat(F.array(F.struct(F.lit(False).alias("invoke"), descriptor.alias("tokens"))), F.transform(F.coalesce(F.col("code"), F.array().cast(methods.schema["code"].dataType)), lambda i: F.struct((i["kind"] == "invoke").alias("invoke"), tokens(i).alias("tokens"))))
+    code = F.coalesce(F.col("code"), F.array().cast(rows.schema["code"].dataType))
+    parts = F.concat(F.array(F.struct(F.lit(False).alias("invoke"), descriptor.alias("tokens"))), F.transform(code, lambda i: F.struct((i["kind"] == "invoke").alias("invoke"), tokens(i).alias("tokens"))))
     rows = rows.repartition(*METHOD).select(*METHOD, "access_flags", F.posexplode(parts).alias("part", "x"))
     rows = rows.select(*METHOD, "access_flags", "part", F.col("x.invoke").alias("invoke"), F.posexplode("x.tokens").alias("at", "t"))
-    types = framework.select(element(F.col("type_desc")).alias("known_type")).distinct()
     rows = rows.join(sized(types), element(F.col("t.type")) == F.col("known_type"), "left")
     word = F.coalesce(F.col("t.text"), fuzzy(F.col("t.type"), F.col("known_type").isNotNull(), F.col("t.field")))
     by_part = rows.groupBy(*METHOD, "access_flags", "part", "invoke").agg(F.array_sort(F.collect_list(F.struct("at", word.alias("w")))).alias("ws"))
@@ -88,27 +128,23 @@ def method_nodes(methods: DataFrame, framework: DataFrame, config: FingerprintCo
         F.array_sort(F.collect_list(F.when(F.col("part") > 0, F.struct("part", "text")))).alias("code"),
         F.collect_set("call").alias("calls"),
     )
-    name = nm.dotted(F.col("class_desc"))
-    return made.select(
-        "app_id",
-        "class_desc",
-        nm.package(name).alias("package"),
-        nm.simple_name(name).alias("class_name"),
-        "method_idx",
-        "access_flags",
-        digest(F.concat(F.array_join(F.col("code.text"), ""), "descriptor"), config.algorithm).alias("hash"),
-        digest(F.concat("descriptor", rendered(F.col("calls"))), config.algorithm).alias("simple_hash"),
-    )
+    return made.select(*METHOD, "access_flags", "descriptor", F.array_join(F.col("code.text"), "").alias("code_text"), "calls")
 
 
-def fingerprint(classes: DataFrame, methods: DataFrame, framework: DataFrame, config: FingerprintConfig = FingerprintConfig()) -> dict[str, DataFrame]:
-    """methods, classes, packages, apps: nodes with hashes, classes without methods left out (FLT-08)."""
+def fingerprint(classes: DataFrame, methods: DataFrame, framework: DataFrame, config: FingerprintConfig = FingerprintConfig(), keep: Callable[[DataFrame, str], DataFrame] = lambda df, _: df) -> dict[str, DataFrame]:
+    """methods, classes, packages, apps: nodes with hashes, classes without methods left out (FLT-08).
+
+    Each level is made of the one below; with materialize as keep, levels are
+    written one after the other and none is computed twice.
+    """
     kept = app_classes(classes, config.inner_classes, config.support_classes)
     own = methods.join(kept.select("app_id", "class_desc"), ["app_id", "class_desc"], "left_semi")
-    m = method_nodes(own, framework, config)
+    m = keep(method_nodes(own, framework, config), "methods")
     one = m.withColumn("n_methods", F.lit(1).cast("long"))
     c = merkle(one, ["app_id", "package", "class_name", "class_desc"], "hash", config.distinct, config.algorithm, {"n_methods": "n_methods"})
     c = c.join(kept.select("app_id", "class_desc", "access_flags", "source_file"), ["app_id", "class_desc"]).withColumn("n_classes", F.lit(1).cast("long"))
+    c = keep(c, "classes")
     p = merkle(c, ["app_id", "package"], "hash", config.distinct, config.algorithm, {"n_classes": "n_classes", "n_methods": "n_methods"})
+    p = keep(p, "packages")
     a = merkle(p, ["app_id"], "hash", config.distinct, config.algorithm, {"n_classes": "n_classes", "n_methods": "n_methods"})
     return {"methods": m, "classes": c.drop("n_classes"), "packages": p, "apps": a}

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.flags import candidate_class, candidate_method
+from ..storage import materialize, sized
 from .filters import named
 
 #: Versions of one name that are verified, and the least shares of a class, of a library, and of a unit for stopping.
@@ -26,10 +27,13 @@ def vote_cascade(levels: list[DataFrame], indexes: list[DataFrame], keys: list[l
             rows = rows.join(above, k, "left_anti")
         if once is not None and i == len(levels) - 1:
             rows = rows.dropDuplicates([*once, "hash"])
-        found = rows.join(index, "hash").select(*unit, "lib_hash", "weight")
-        votes = found if votes is None else votes.unionByName(found)
         k = list(dict.fromkeys([*unit, *keys[i]]))
-        hits.append((rows.join(index, "hash", "left_semi").select(*k).distinct(), k))
+        found = rows.join(index, "hash").groupBy(*k, "lib_hash").agg(F.sum("weight").alias("weight"))
+        if i < len(levels) - 1:  # written, as the levels below ask what was hit
+            found = materialize(found, "hits")
+            hits.append((sized(materialize(found.select(*k).distinct(), "above")), k))
+        found = found.select(*unit, "lib_hash", "weight")
+        votes = found if votes is None else votes.unionByName(found)
     return votes.groupBy(*unit, "lib_hash").agg(F.sum("weight").alias("votes"))
 
 
@@ -59,13 +63,20 @@ def overlap(left: DataFrame, right: DataFrame, a: str, b: str, element: str) ->
 def containment(left: DataFrame, right: DataFrame, a: str, b: str, element: str, least: float, where: Column | None = None) -> DataFrame:
     """a, b, shared, ratio: the share of a's distinct elements that b has, at least least (JN-08, AGG-19).
 
-    Pairs come from an equi-join on elements, never from all pairs; where may
-    restrict them before they are counted.
+    If b has that share, it has one of a's rarest elements: the first of so
+    many that the rest alone would not do. Only pairs that share one of those
+    are counted, so that common elements make no pairs of their own. where may
+    restrict the pairs.
     """
-    size = left.groupBy(a).agg(F.count("*").alias("size"))
-    pairs = left.join(right, element)
-    pairs = pairs.filter(where) if where is not None else pairs
-    both = pairs.groupBy(a, b).agg(F.count("*").alias("shared")).join(size, a)
+    df = right.groupBy(element).agg(F.count("*").alias("df"))
+    of = W.partitionBy(a)
+    ranked = left.join(df, element, "left").select(a, element, "df", F.count("*").over(of).alias("size"), F.row_number().over(of.orderBy(F.coalesce("df", F.lit(0)), element)).alias("at"))
+    ranked = materialize(ranked, "ranked")
+    size = ranked.filter("at = 1").select(a, "size")
+    rare = ranked.filter((F.col("at") <= F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1) & F.col("df").isNotNull())
+    pairs = rare.select(a, element).join(right, element)
+    pairs = (pairs.filter(where) if where is not None else pairs).select(a, b).distinct()
+    both = pairs.join(left, a).join(right, [b, element]).groupBy(a, b).agg(F.count("*").alias("shared")).join(size, a)
     return both.withColumn("ratio", F.col("shared") / F.col("size")).filter(F.col("ratio") >= least).drop("size")
 
 

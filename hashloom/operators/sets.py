@@ -66,6 +66,11 @@ def completion(table: DataFrame, name: str, prefix: str) -> DataFrame:
     return ends.select(F.when(F.col("lo").isNotNull(), F.substring(F.col("lo"), F.lit(1), cut)).alias("completion"))
 
 
+def delete(table: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """table without the rows whose key gone has (TR-07: delete)."""
+    return table.join(gone.select(key).distinct(), key, "left_anti")
+
+
 def upsert(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     """table with rows replaced or added by changes' (TR-07: insert, replace)."""
     return table.join(changes, key, "left_anti").unionByName(changes)

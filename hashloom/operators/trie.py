@@ -34,6 +34,13 @@ def root_of(names: DataFrame, roots: DataFrame, name: str = "name") -> DataFrame
     return hit.groupBy(name).agg(F.min_by("root", F.length("root")).alias("root"))
 
 
+def siblings(names: DataFrame, name: str = "name") -> DataFrame:
+    """name, sibling: other names of the same parent (JN-11)."""
+    rows = names.select(F.col(name).alias("name")).distinct().withColumn("p", nm.parent(F.col("name")))
+    pairs = rows.join(rows.withColumnRenamed("name", "sibling"), "p")
+    return pairs.filter((F.col("name") != F.col("sibling")) & nm.near_depth(F.col("name"), F.col("sibling"))).select("name", "sibling")
+
+
 def contained(small: DataFrame, large: DataFrame, group: str) -> DataFrame:
     """a, b: trees of small all of whose relative prefixes tree b of large has (TR-04)."""
     n = small.groupBy(group).agg(F.countDistinct("prefix").alias("n"))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .components import connected_components
 from .edges import called
-from .filters import TOP_LEVEL
+from .filters import is_top_level
 
 UNITS = "app_id string, unit_id string, packages array<string>"
 
@@ -130,7 +130,7 @@ def candidate_units(packages: DataFrame, classified: DataFrame, apps: DataFrame,
     hit = called(classified).withColumn("called", F.lit(True))
     rows = packages.select("app_id", "package").distinct().join(of, ["app_id", "package"], "left").join(hit, ["app_id", "package"], "left")
     own = F.array_join(F.slice(F.split("package_name", r"\."), 1, 2), ".")
-    rows = rows.join(apps.select("app_id", own.alias("own")), "app_id").filter("package <> '' AND NOT startswith(package, own)").filter(~F.col("package").isin(*TOP_LEVEL))
+    rows = rows.join(apps.select("app_id", own.alias("own")), "app_id").filter("package <> '' AND NOT startswith(package, own)").filter(~is_top_level(F.col("package")))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         inside = pdf[pdf.component.notna()]

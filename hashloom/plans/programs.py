@@ -10,7 +10,7 @@ from ..operators.fingerprint import FingerprintConfig, fingerprint
 from ..operators.index import build_index
 from ..operators.merkle import NO_SOURCE, source_aware
 from ..sources.sinks import write_profile, write_provenance, write_report, write_unit_hashes
-from ..storage import materialize
+from ..storage import materialize, scope
 
 INPUT = ("apps", "classes", "methods", "framework_types")
 
@@ -21,12 +21,13 @@ def read_input(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 
 def parse(tables: dict[str, DataFrame], done: DataFrame | None = None, config: FingerprintConfig = FingerprintConfig()) -> dict[str, DataFrame]:
-    """Node tables, apps and edges of apps that are not done yet (PARSE)."""
+    """Node tables, apps and edges of apps that are not done yet (PARSE), each level written once and read by the next."""
     apps = filters.not_yet_done(tables["apps"], "app_id", done) if done is not None else tables["apps"]
     mine = lambda n: tables[n].join(apps.select("app_id"), "app_id", "left_semi")
-    nodes = fingerprint(mine("classes"), mine("methods"), tables["framework_types"], config)
+    classes, methods = mine("classes"), mine("methods")
+    nodes = fingerprint(classes, methods, tables["framework_types"], config, materialize)
     hashed = apps.join(nodes["apps"].select("app_id", "hash"), "app_id")
-    return {"apps": hashed, "packages": nodes["packages"], "classes": nodes["classes"], "methods": nodes["methods"], "edges": ed.dependency_edges(mine("classes"), mine("methods"))}
+    return {"apps": hashed, "packages": nodes["packages"], "classes": nodes["classes"], "methods": nodes["methods"], "edges": ed.dependency_edges(classes, methods)}
 
 
 def candidate_units(profile: dict[str, DataFrame], split=None, split_prefixes: tuple[str, ...] = ()) -> DataFrame:
@@ -80,7 +81,8 @@ def run(spark: SparkSession, mode: str, source: str, target: str, **options) ->
     mode = mode.upper()
     if mode == "PARSE":
         done = spark.read.parquet(f"{target}/apps") if options.get("resume") else None
-        write_profile(parse(read_input(spark, source), done), target)
+        with scope():
+            write_profile(parse(read_input(spark, source), done), target)
         return
     profile = {n: spark.read.parquet(f"{source}/{n}") for n in ("apps", "packages", "classes", "methods", "edges")}
     if mode == "CLUSTER":

@@ -227,9 +227,7 @@ def jn08_containment(spark, sf_dir):
 
 
 def jn11_siblings(spark, sf_dir):
-    rows = page_names(spark, sf_dir).select(F.col("name")).distinct().select("name", nm.parent(F.col("name")).alias("p"))
-    other = rows.select(F.col("name").alias("sibling"), F.col("p"))
-    return rows.join(other, "p").filter((F.col("name") != F.col("sibling")) & nm.near_depth(F.col("name"), F.col("sibling"))).select("name", "sibling")
+    return tr.siblings(page_names(spark, sf_dir))
 
 
 def jn13_first_app(spark, sf_dir):
@@ -325,7 +323,7 @@ def df06_call_targets(spark, sf_dir):
 
 
 def fn25_categories(spark, sf_dir):
-    return hi.category(hi.closure(_types(spark, sf_dir)), {"com.example": "Com", "net.example": "Net", "com.example.thth": "Other"})
+    return hi.category(hi.closure(_types(spark, sf_dir)), {"com.example": "Com", "net.example": "Net", "com.example.thth": "Other"}, "OTHER")
 
 
 def _calls(spark, sf_dir):
@@ -424,7 +422,8 @@ def program_cluster(spark, sf_dir):
 
 
 def _profile(spark, sf_dir):
-    return {k: materialize(v, k) for k, v in programs.parse(decoded_apps(spark, sf_dir)).items()}
+    made = programs.parse({k: materialize(v, k) for k, v in decoded_apps(spark, sf_dir).items()})
+    return {k: v if k in ("methods", "classes", "packages") else materialize(v, k) for k, v in made.items()}
 
 
 def program_match(spark, sf_dir):
