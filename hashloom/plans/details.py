@@ -12,7 +12,7 @@ from ..operators.fingerprint import fingerprint
 from ..sources.sinks import node_statistics
 from ..storage import materialize
 from . import programs
-from .oracle import _CLOSURE, _METHODS, _NAMES, _TRIE, ORACLES as CORE
+from .oracle import _CLOSURE, _METHODS, _TRADE, _TRIE, ORACLES as CORE, walk
 from .tables import decoded_apps, page_names, read
 
 QUERIES: dict[str, Callable] = {}
@@ -185,17 +185,7 @@ def jn12_enrich(spark, sf_dir):
     return made["classes"].join(made["apps"].select("app_id", "main_activity"), "app_id").select("app_id", "package", "class_name", "source_file", "main_activity")
 
 
-# all order lines as edges: the customer to the supplier, and of returned lines the supplier back; suppliers are negated
-_TRADE = """trade AS (SELECT DISTINCT o_custkey AS src, -l_suppkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-  UNION SELECT -l_suppkey, o_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R')"""
-
-
-def _walk(edges: str, start: str, most: int = 12) -> str:
-    return f"""walk AS (SELECT {start} AS node, 0::BIGINT AS distance UNION SELECT dst, distance + 1 FROM walk JOIN {edges} ON node = src WHERE distance < {most}),
-reach AS (SELECT node, min(distance) AS distance FROM walk GROUP BY node)"""
-
-
-@_query(f"WITH RECURSIVE {_TRADE}, back AS (SELECT dst AS src, src AS dst FROM trade), {_walk('back', '1::BIGINT')} SELECT node FROM reach")
+@_query(f"WITH RECURSIVE {_TRADE}, back AS (SELECT dst AS src, src AS dst FROM trade), {walk('back', '1::BIGINT')} SELECT node FROM reach")
 def df03_backward_slice(spark, sf_dir):
     from .queries import _trade
 
@@ -221,7 +211,7 @@ def df12_effects(spark, sf_dir):
     return flow.effects(reach, reads).select("method", F.array_join("fields", ",").alias("fields"))
 
 
-@_query(f"WITH RECURSIVE {_TRADE}, thin AS (SELECT * FROM trade WHERE (src + dst) % 7 <> 0), {_walk('thin', '(-1)::BIGINT')} SELECT node FROM reach")
+@_query(f"WITH RECURSIVE {_TRADE}, thin AS (SELECT * FROM trade WHERE (src + dst) % 7 <> 0), {walk('thin', '(-1)::BIGINT')} SELECT node FROM reach")
 def df14_thin_slice(spark, sf_dir):
     """The slice along some dependences only, as a thin slice has it."""
     from .queries import _trade
@@ -229,8 +219,8 @@ def df14_thin_slice(spark, sf_dir):
     return flow.forward_slice(_trade(spark, sf_dir).filter("(src + dst) % 7 <> 0"), spark.sql("SELECT CAST(-1 AS BIGINT) AS node"))
 
 
-ORACLES["df13_whole_forward_slice"] = f"WITH RECURSIVE {_TRADE}, {_walk('trade', '(-1)::BIGINT')} SELECT * FROM reach"
-ORACLES["df11_whole_pruned_calls"] = f"WITH RECURSIVE {_TRADE}, {_walk('trade', '(-1)::BIGINT')} SELECT DISTINCT src, dst FROM trade JOIN reach ON src = node"
+for _name in ("df13_forward_slice", "df11_pruned_calls", "gr04_class_components"):
+    ORACLES[_name.replace("_", "_whole_", 1)] = CORE[_name]
 ORACLES["top02_whole_top6_per_name"] = CORE["top02_top6_per_name"].replace("<= 2)", "<= 6)")
 
 

@@ -67,13 +67,18 @@ m2 AS (SELECT DISTINCT doc_id, hash FROM d2 WHERE doc_id NOT IN (SELECT doc_id F
 v AS (SELECT doc_id, item_id, d0.weight FROM d0 JOIN b0 USING (hash) UNION ALL SELECT doc_id, item_id, m1.weight FROM m1 JOIN b1 USING (hash)
   UNION ALL SELECT doc_id, item_id, 1 FROM m2 JOIN b2 USING (hash)),
 votes AS (SELECT doc_id, item_id, sum(weight)::BIGINT AS votes FROM v GROUP BY ALL)"""
-_CALLS = """calls AS (
-  SELECT c_custkey % 400 AS src, s_suppkey + 395 AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
-    JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity = 50 AND l_discount = 0.1 AND l_returnflag = 'R'
-  UNION SELECT s_suppkey + 395, s_suppkey * 7 % 400 FROM supplier)"""
-_FLOOD = f"""WITH RECURSIVE {_CALLS},
-walk AS (SELECT 400::BIGINT AS node, 0::BIGINT AS distance UNION SELECT dst, distance + 1 FROM walk JOIN calls ON node = src WHERE distance < 60),
+# all order lines as edges: the customer to the supplier, and of returned lines the supplier back; suppliers are negated
+_TRADE = """trade AS (SELECT DISTINCT o_custkey AS src, -l_suppkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+  UNION SELECT -l_suppkey, o_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R')"""
+
+
+def walk(edges: str, start: str, most: int = 12) -> str:
+    """reach(node, distance): what edges lead to from start, in so many steps."""
+    return f"""walk AS (SELECT {start} AS node, 0::BIGINT AS distance UNION SELECT dst, distance + 1 FROM walk JOIN {edges} ON node = src WHERE distance < {most}),
 reach AS (SELECT node, min(distance) AS distance FROM walk GROUP BY node)"""
+
+
+_FLOOD = f"WITH RECURSIVE {_TRADE}, {walk('trade', '(-1)::BIGINT')}"
 _METHODS = """c AS (SELECT c_custkey, r_name AS app_id, 'com.' || n_name AS package, 'C' || c_custkey AS class_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
 l AS (SELECT l_orderkey, l_linenumber, l_linestatus, l_returnflag, s_suppkey, 'com.' || n_name AS dst, CASE WHEN l_returnflag = 'R' THEN 'X' ELSE 'L' || l_returnflag END AS t
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey),
@@ -174,11 +179,11 @@ SELECT p.a, p.b, arg_min(x.super_name, x.distance + y.distance) AS least FROM q
     "ch08_resolve": f"{_RESOLVED} SELECT * FROM resolved",
     "df06_call_targets": f"""{_RESOLVED} SELECT * FROM resolved UNION SELECT r.super_name AS type_name, 'run' AS selector, r.type_name AS target FROM reach r JOIN declared d ON r.type_name = d.type_name""",
     "fn25_categories": f"""{_CLOSURE} SELECT type_name, coalesce(arg_min(CASE super_name WHEN 'com.example' THEN 'Com' WHEN 'net.example' THEN 'Net' WHEN 'com.example.thth' THEN 'Other' END, distance), 'OTHER') AS category FROM reach GROUP BY type_name""",
-    "df10_call_closure": f"""WITH RECURSIVE {_CALLS}, n AS (SELECT src AS x FROM calls UNION SELECT dst FROM calls),
-walk AS (SELECT x AS src, x AS dst, 0::BIGINT AS distance FROM n UNION SELECT walk.src, calls.dst, distance + 1 FROM walk JOIN calls ON walk.dst = calls.src WHERE distance < 30)
-SELECT src, dst, min(distance) AS distance FROM walk GROUP BY src, dst""",
+    "df10_call_closure": """WITH RECURSIVE e AS (SELECT 'o' || o_orderkey AS src, 'c' || o_custkey AS dst FROM orders UNION SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation),
+walk AS (SELECT x AS src, x AS dst, 0::BIGINT AS distance FROM (SELECT src AS x FROM e UNION SELECT dst FROM e) UNION ALL SELECT walk.src, e.dst, distance + 1 FROM walk JOIN e ON walk.dst = e.src)
+SELECT * FROM walk""",
     "df13_forward_slice": f"{_FLOOD} SELECT * FROM reach",
-    "df11_pruned_calls": f"{_FLOOD} SELECT DISTINCT src, dst FROM calls JOIN reach ON src = node",
+    "df11_pruned_calls": f"{_FLOOD} SELECT DISTINCT src, dst FROM trade JOIN reach ON src = node",
     "df18_control_flow": """WITH c AS (SELECT l_orderkey, l_linenumber AS pc, max(l_returnflag) = 'R' AS ends, max(CASE WHEN l_linestatus = 'O' THEN l_quantity::INT % 7 END) AS target FROM lineitem GROUP BY ALL),
 n AS (SELECT l_orderkey, pc AS src, CASE WHEN NOT ends THEN lead(pc) OVER (PARTITION BY l_orderkey ORDER BY pc) END AS dst FROM c UNION SELECT l_orderkey, pc, target FROM c)
 SELECT * FROM n WHERE dst IS NOT NULL""",
@@ -186,10 +191,9 @@ SELECT * FROM n WHERE dst IS NOT NULL""",
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name""",
     "prj05_library": """SELECT r_name AS app_id, min('com.' || n_name) AS name, string_agg(DISTINCT 'com.' || n_name, ',' ORDER BY 'com.' || n_name) AS packages, count(DISTINCT c_custkey) AS n_classes
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name""",
-    "gr04_class_components": """WITH RECURSIVE e AS (SELECT DISTINCT n_regionkey::VARCHAR AS app_id, 'com.c' || c_custkey AS src, 'org.s' || (l_suppkey * 1000 + l_partkey % 1000) AS dst
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE l_quantity >= 49 AND l_discount >= 0.09),
-k AS (SELECT * FROM e WHERE NOT starts_with(src, 'com.c' || app_id)),
-b AS (SELECT * FROM k UNION SELECT app_id, dst, src FROM k),
+    "gr04_class_components": """WITH RECURSIVE e AS (SELECT DISTINCT n_regionkey::VARCHAR AS app_id, 'com.c' || c_custkey AS src, 'org.s' || l_suppkey AS dst
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
+b AS (SELECT * FROM e UNION SELECT app_id, dst, src FROM e),
 walk AS (SELECT app_id, src AS x, src AS y FROM b UNION SELECT walk.app_id, x, dst FROM walk JOIN b ON walk.app_id = b.app_id AND y = src)
 SELECT app_id, x AS class_name, min(y) AS component FROM walk GROUP BY app_id, x""",
     "fn26_lifecycle": """WITH p AS (SELECT p_partkey, ['Activity', 'Service', 'BroadcastReceiver', 'ContentProvider', 'Application', 'Fragment', 'OTHER'][p_partkey % 7 + 1] AS kind,

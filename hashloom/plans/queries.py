@@ -326,24 +326,11 @@ def fn25_categories(spark, sf_dir):
     return hi.category(hi.closure(_types(spark, sf_dir)), {"com.example": "Com", "net.example": "Net", "com.example.thth": "Other"}, "OTHER")
 
 
-def _calls(spark, sf_dir):
-    """Nations that call each other: a customer's nation its supplier's, where that is large."""
-    li, o, c, s = (read(spark, sf_dir, t) for t in ("lineitem", "orders", "customer", "supplier"))
-    e = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey"))
-    e = e.filter("l_quantity = 50 AND l_discount = 0.1 AND l_returnflag = 'R'")
-    return e.select((F.col("c_custkey") % 400).alias("src"), (F.col("s_suppkey") + 395).alias("dst")).union(s.select((F.col("s_suppkey") + 395).alias("src"), (F.col("s_suppkey") * 7 % 400).alias("dst"))).distinct()
-
-
 def df10_call_closure(spark, sf_dir):
-    return hi.closure(_calls(spark, sf_dir), "src", "dst")
-
-
-def df13_forward_slice(spark, sf_dir):
-    return flow.reachable(_calls(spark, sf_dir), spark.sql("SELECT CAST(400 AS BIGINT) AS node"))
-
-
-def df11_pruned_calls(spark, sf_dir):
-    return flow.prune(_calls(spark, sf_dir), spark.sql("SELECT CAST(400 AS BIGINT) AS node"))
+    """All that stands above each order, customer, nation and region."""
+    o, c, n = read(spark, sf_dir, "orders"), read(spark, sf_dir, "customer"), read(spark, sf_dir, "nation")
+    up = lambda df, a, low, b, high: df.select(F.concat(F.lit(a), low).alias("src"), F.concat(F.lit(b), high).alias("dst"))
+    return hi.closure(up(o, "o", "o_orderkey", "c", "o_custkey").union(up(c, "c", "c_custkey", "n", "c_nationkey")).union(up(n, "n", "n_nationkey", "r", "n_regionkey")), "src", "dst")
 
 
 def _trade(spark, sf_dir):
@@ -356,6 +343,14 @@ def _trade(spark, sf_dir):
     return e.select(F.col("c").alias("src"), F.col("s").alias("dst")).union(e.filter("l_returnflag = 'R'").select("s", "c")).distinct()
 
 
+def df13_forward_slice(spark, sf_dir):
+    return df13_whole_forward_slice(spark, sf_dir)
+
+
+def df11_pruned_calls(spark, sf_dir):
+    return df11_whole_pruned_calls(spark, sf_dir)
+
+
 def df13_whole_forward_slice(spark, sf_dir):
     return flow.reachable(_trade(spark, sf_dir), spark.sql("SELECT CAST(-1 AS BIGINT) AS node"))
 
@@ -381,13 +376,7 @@ def prj05_library(spark, sf_dir):
 
 
 def gr04_class_components(spark, sf_dir):
-    """Customers and the suppliers of their orders as classes of one app a region."""
-    li, o, c, s, n = (read(spark, sf_dir, t) for t in ("lineitem", "orders", "customer", "supplier", "nation"))
-    home = n.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_regionkey").cast("string").alias("app_id"))
-    e = li.filter("l_quantity >= 49 AND l_discount >= 0.09").join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).join(home, "c_nationkey")
-    e = e.select("app_id", F.concat(F.lit("com.c"), "c_custkey").alias("src"), F.concat(F.lit("org.s"), (F.col("l_suppkey") * 1000 + F.col("l_partkey") % 1000)).alias("dst")).distinct()
-    apps = home.select("app_id", F.concat(F.lit("com.c"), "app_id").alias("package_name")).distinct()
-    return pj.class_components(e, apps)
+    return gr04_whole_class_components(spark, sf_dir)
 
 
 def gr04_whole_class_components(spark, sf_dir):
