@@ -19,24 +19,32 @@ import json
 import re
 import unicodedata
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
+from ..storage import small_batches
 from .shingles import chunks
 
-#: Distinct pieces and words that a worker remembers; more are encoded again.
-REMEMBERED = 500_000
+#: Bytes of pieces and words that a task remembers; beyond them it forgets and encodes again.
+REMEMBERED = 48 << 20
+#: What an entry weighs besides its own bytes, and the longest piece worth remembering.
+ENTRY, LONGEST = 200, 64
+#: Pairs of tokens whose meeting a task remembers.
+MEETINGS = 200_000
 # What the vocabulary's file names as its splitting of words, and white space.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 SPACES = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 NOT_SPACES = re.compile("[\x1c-\x1f]")
 END = "</w>"
+#: Bytes of texts or ids that are worked on at a time.
+SLICE = 1 << 20
 SHORT = (2, 1)
 #: A digit or Latin letter, then a stop or comma before white space: always words of their own.
 #: (Letters whose normal form or lower case ends with a mark are left out: the mark goes with the stop.)
@@ -112,7 +120,7 @@ class Vocabulary:
             key = states[begin] << 20 | t
             ok = goes.get(key)
             if ok is None:
-                if len(goes) > REMEMBERED:
+                if len(goes) > MEETINGS:
                     goes.clear()
                 ok = goes[key] = self.adjoin(states[begin], t)
             if ok:
@@ -189,12 +197,6 @@ def vocabulary(text: str) -> Vocabulary:
     return Vocabulary(text)
 
 
-@lru_cache(2)
-def encoder(text: str) -> Encoder:
-    """One a worker, so that later tasks know what it has encoded."""
-    return Encoder(vocabulary(text))
-
-
 def words_of(piece: str) -> list[bytes]:
     """The words of a piece without white space, in the vocabulary's normal form."""
     if piece.isascii():
@@ -210,13 +212,48 @@ def pieces_of(text: str) -> list[str]:
     return [p for p in SPACES.split(text) if p] if NOT_SPACES.search(text) else text.split()
 
 
+class Memory:
+    """What was made of short texts, up to so many bytes: the older half goes, but for what was asked for since."""
+
+    def __init__(self, most: int):
+        self.most = most // 2
+        self.forget()
+
+    def forget(self) -> None:
+        self.young: dict = {}
+        self.old: dict = {}
+        self.weight = 0
+
+    def put(self, key: str | bytes, ids: bytes) -> None:
+        if len(key) <= LONGEST:
+            self.young[key] = ids
+            self.weight += ENTRY + len(key) + len(ids)
+
+    def unknown(self, keys: Iterable) -> dict:
+        """The distinct keys that are not remembered; the others are in young."""
+        if self.weight > self.most:
+            self.old, self.young, self.weight = self.young, {}, 0
+        young, old, new = self.young, self.old, {}
+        for k in keys:
+            if k not in young and k not in new:
+                if k in old:
+                    self.put(k, old[k])
+                else:
+                    new[k] = None
+        return new
+
+
 class Encoder:
-    """Encodes batches of texts; remembers pieces and words up to REMEMBERED."""
+    """Encodes batches of texts for one task; remembers short pieces and words up to REMEMBERED bytes."""
 
-    def __init__(self, vocabulary: Vocabulary):
+    def __init__(self, vocabulary: Vocabulary, remembered: int = REMEMBERED):
         self.v = vocabulary
-        self.pieces: dict[str, bytes] = {}
-        self.words: dict[bytes, bytes] = {}
+        self.pieces, self.words = Memory(remembered // 2), Memory(remembered // 2)
+
+    def forget(self) -> None:
+        self.pieces.forget()
+        self.words.forget()
+        self.v.goes.clear()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
@@ -224,19 +261,36 @@ class Encoder:
         for t in texts:
             parts = self.v.find_added.split(t) if self.v.find_added and "<|" in t else [t]
             cut.append([p if i % 2 else pieces_of(p) for i, p in enumerate(parts)])
-        if len(self.pieces) > REMEMBERED:
-            self.pieces.clear()
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
-        new = {p: None for parts in cut for own in parts[::2] for p in own if p not in self.pieces}
+        new = self.pieces.unknown(p for parts in cut for own in parts[::2] for p in own)
         spelled = {p: words_of(p) for p in new}
-        unknown = {w for ws in spelled.values() for w in ws if w not in self.words}
-        self.words |= self.v.encode_words(list(unknown))
+        made = self.v.encode_words(list(self.words.unknown(w for ws in spelled.values() for w in ws)))
+        known = self.words.young
         for p, ws in spelled.items():
-            self.pieces[p] = self.words[ws[0]] if len(ws) == 1 else b"".join([self.words[w] for w in ws])
-        get = self.pieces.__getitem__
+            new[p] = b"".join([made[w] if w in made else known[w] for w in ws])
+            self.pieces.put(p, new[p])
+        for w, ids in made.items():
+            self.words.put(w, ids)
+        known = self.pieces.young
         added = {t: np.array([i], "<u4").tobytes() for t, i in self.v.added.items()}
-        return [b"".join(added[own] if i % 2 else b"".join(map(get, own)) for i, own in enumerate(parts)) for parts in cut]
+        return [b"".join(added[own] if i % 2 else b"".join([known[p] if p in known else new[p] for p in own]) for i, own in enumerate(parts)) for parts in cut]
+
+
+def encoder(text: str) -> Encoder:
+    """An encoder of a vocabulary's file."""
+    return Encoder(vocabulary(text))
+
+
+class Decoder:
+    """Names of ids: the tokens with a space between, word ends included."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        names = vocabulary.names
+        self.table = np.array([names.get(i) for i in range(max(names) + 1)], object)
+
+    def decode(self, ids: bytes | None) -> str:
+        at = np.frombuffer(ids or b"", "<u4")
+        found = self.table[at if not len(at) or at.max() < len(self.table) else at[at < len(self.table)]].tolist()
+        return " ".join(found if None not in found else [t for t in found if t is not None])
 
 
 def _shared_vocabulary(df: DataFrame, path: str):
@@ -245,38 +299,54 @@ def _shared_vocabulary(df: DataFrame, path: str):
         return df.sparkSession.sparkContext.broadcast(f.read())
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def _encoded(batches: Iterator[pa.RecordBatch], own: Encoder) -> Iterator[tuple[pa.Array, list[bytes]]]:
+    """(doc_ids, ids) of about a MB of texts at a time."""
+    try:
+        for batch in batches:
+            for part in chunks(batch, "text", SLICE):
+                yield part.column("doc_id"), own.encode([t or "" for t in part.column("text").to_pylist()])
+    finally:  # the worker outlives the task
+        own.forget()
+
+
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids of each row: ids are little-endian unsigned 32-bit integers."""
     shared = _shared_vocabulary(docs, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(shared.value)
-        for batch in batches:
-            for part in chunks(batch, "text"):
-                ids = own.encode([t or "" for t in part.column("text").to_pylist()])
-                yield pa.record_batch([part.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
+        for doc_id, ids in _encoded(batches, Encoder(vocabulary(shared.value))):
+            yield pa.record_batch([doc_id, pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    return _rows(docs).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 
 
-def decode(encoded: DataFrame, path: str, keep_ids: bool = True) -> DataFrame:
+def decode(encoded: DataFrame, path: str) -> DataFrame:
     """encoded's columns and decoded: the tokens' names with a space between, word ends included."""
     shared = _shared_vocabulary(encoded, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = vocabulary(shared.value).names
-        table = np.array([names.get(i) for i in range(max(names) + 1)], object)
+        own = Decoder(vocabulary(shared.value))
         for batch in batches:
-            for lo in range(0, len(batch), 500):
-                part = batch.slice(lo, 500)
-                texts = []
-                for x in part.column("ids").to_pylist():
-                    ids = np.frombuffer(x or b"", "<u4")
-                    ids = ids if not len(ids) or ids.max() < len(table) else ids[ids < len(table)]
-                    found = table[ids].tolist()
-                    texts.append(" ".join(found if None not in found else [t for t in found if t is not None]))
-                columns = [*part.columns, pa.array(texts, pa.string())]
+            for part in chunks(batch, "ids", SLICE):
+                columns = [*part.columns, pa.array([own.decode(x) for x in part.column("ids").to_pylist()], pa.string())]
                 yield pa.record_batch(columns, [*part.schema.names, "decoded"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
-    return encoded.mapInArrow(run, f"{schema}, decoded string")
+    return small_batches(encoded).mapInArrow(run, StructType([*encoded.schema.fields, StructField("decoded", StringType())]))
+
+
+def round_trip(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, n_tokens, ids, decoded of each row: encode and decode in one pass, so that a task needs one worker."""
+    shared = _shared_vocabulary(docs, path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = vocabulary(shared.value)
+        back = Decoder(v)
+        for doc_id, ids in _encoded(batches, Encoder(v)):
+            columns = [doc_id, pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(map(back.decode, ids), pa.string())]
+            yield pa.record_batch(columns, ["doc_id", "n_tokens", "ids", "decoded"])
+
+    return _rows(docs).mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded string")

@@ -104,7 +104,7 @@ def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded, and its ids decoded."""
     path = public_tokenizers.path("word_bpe_49k.json")
-    done = bpe.decode(bpe.encode(_read(spark, sf_dir, "documents"), path), path)
+    done = bpe.round_trip(_read(spark, sf_dir, "documents"), path)
     return done.select("doc_id", "n_tokens", F.sha2(F.col("ids"), 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
 
 
