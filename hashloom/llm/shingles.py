@@ -7,12 +7,14 @@ values modulo 2**64, mixed; shingle hashes combine k word hashes the same way.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 
-PIECE = 1 << 21
+#: Bytes that are hashed at a time: a worker holds some ten arrays of eight times as many.
+PIECE = 1 << 19
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _P_INV = np.uint64(pow(int(_P), -1, 1 << 64))
 
@@ -50,8 +52,9 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts and the offset of each; nulls are empty."""
-    texts = texts.fill_null("") if texts.null_count else texts
-    kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    if texts.null_count:
+        texts = texts.fill_null(b"" if pa.types.is_binary(texts.type) or pa.types.is_large_binary(texts.type) else "")
+    kind = np.int64 if pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type) else np.int32
     _, offsets, data = texts.buffers()
     at = np.frombuffer(offsets, kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
     raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
@@ -68,9 +71,9 @@ def _cut(buf: np.ndarray, docs: np.ndarray, is_word: np.ndarray, lo: int) -> int
     end = int(docs[np.searchsorted(docs, lo, "right")])
     hi = lo + PIECE
     while hi < end:
-        gaps = np.flatnonzero(~is_word[buf[lo:hi]])
+        gaps = np.flatnonzero(~is_word[buf[hi - PIECE : hi]])
         if len(gaps):
-            return lo + int(gaps[-1]) + 1
+            return hi - PIECE + int(gaps[-1]) + 1
         hi += PIECE
     return end
 
@@ -120,12 +123,17 @@ def shingles(h: np.ndarray, at: np.ndarray, k: int, short: bool = True) -> tuple
     return mix64(acc + length.astype(np.uint64) * _K[0]), off
 
 
-def chunks(batch: pa.RecordBatch, column: str, most: int = PIECE):
-    """Slices of a batch whose texts have about `most` bytes; a longer text comes alone."""
-    texts = batch.column(column)
-    _, at = text_bytes(texts) if pa.types.is_string(texts.type) or pa.types.is_large_string(texts.type) else (None, np.arange(len(texts) + 1))
+def cuts(texts: pa.Array, most: int = PIECE) -> Iterator[tuple[int, int]]:
+    """(begin, number) of slices whose texts have about `most` bytes; a longer text comes alone."""
+    _, at = text_bytes(texts)
     lo = 0
     while lo < len(texts):
         hi = max(lo + 1, int(np.searchsorted(at, at[lo] + most, "right")) - 1)
-        yield batch.slice(lo, hi - lo)
+        yield lo, hi - lo
         lo = hi
+
+
+def chunks(batch: pa.RecordBatch, column: str, most: int = PIECE) -> Iterator[pa.RecordBatch]:
+    """The slices of a batch by its texts in a column."""
+    for lo, n in cuts(batch.column(column), most):
+        yield batch.slice(lo, n)
