@@ -13,8 +13,8 @@ by a hash of the id. Everything else covers all rows.
 Defined cases: a null text is empty; null site names are a site of their own;
 without labels of both kinds every document's evidence is 0.5; documents below
 KEEP are rejected; repeated rows are scored alike; of several labels of one id
-each counts; an empty table gives an empty table; other columns pass through
-score() unless their names clash with its own.
+each counts; of several texts of a labelled id one teaches; an empty table gives an empty table; score() ignores other
+columns, accepted() returns them, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,10 +23,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from ..storage import materialize, sized
-from .shingles import SPACED, chunks, text_bytes, words
+from ..storage import materialize, quoted, sized, small_batches
+from .shingles import SPACED, chunks, cuts, text_bytes, words
 
 #: Bound of the labelled sample.
 LABELLED = 20_000
@@ -35,6 +37,8 @@ RIDGE = 1e-3
 KEEP = 0.5
 #: Evidence is held within these, so that no document is beyond its site's help.
 LEAST, MOST = 1e-3, 1 - 1e-3
+#: Bytes of texts that are worked on at a time.
+SLICE = 1 << 20
 #: Bounds of the prior's weight in documents.
 WEIGHT = (1.0, 1e4)
 
@@ -50,7 +54,7 @@ def features(texts: pa.Array) -> np.ndarray:
     for i, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
         part, own = raw[a:b], h[w[i] : w[i + 1]]
         n, m = max(1, len(part)), max(1, len(own))
-        count = np.bincount(part, minlength=256)
+        count = sum((np.bincount(part[lo : lo + SLICE], minlength=256) for lo in range(0, len(part), SLICE)), np.zeros(256, np.int64))
         out[i, :96] = np.sqrt(count[32:128] / n)
         letters = count[_LETTERS].sum()
         out[i, 96:] = (
@@ -85,35 +89,38 @@ def train(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> np.ndarra
     told = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").select(F.col("doc_id").cast("long").alias("k"), F.col("quality").cast("int").alias("y"))
     # about twice the sample passes a threshold on the hash, however many labels there are
     h = F.pmod(F.xxhash64("k"), F.lit(1 << 30))
-    told = told.filter(h.cast("double") * told.count() <= float((2 * most) << 30)).orderBy(h, "k", "y").limit(most)
-    rows = docs.select(F.col("doc_id").cast("long").alias("k"), F.col("text").cast("string").alias("text")).join(F.broadcast(told), "k")
+    told = told.filter(h.cast("double") * told.select("k").distinct().count() <= float((2 * most) << 30)).orderBy(h, "k", "y").limit(most)
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("k"), F.col("text").cast("string").alias("text")).join(F.broadcast(told), "k")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part in chunks(batch, "text", SLICE):
                 x = [r.tobytes() for r in features(part.column("text"))]
                 yield pa.record_batch([part.column("k"), part.column("y"), pa.array(x, pa.binary())], ["k", "y", "x"])
 
-    got = sorted(rows.mapInArrow(run, "k long, y int, x binary").collect(), key=lambda r: (r.k, r.y, bytes(r.x)))
+    # one row an id and label, so that no more than the sample comes to the driver
+    told = rows.mapInArrow(run, "k long, y int, x binary").groupBy("k", "y").agg(F.min("x").alias("x"))
+    got = sorted(told.collect(), key=lambda r: (r.k, r.y))
     y = np.array([float(r.y > 0) for r in got])
     if not len(got) or y.min() == y.max():
         return None
     return fit(np.frombuffer(b"".join(bytes(r.x) for r in got), np.float32).reshape(len(got), -1), y)
 
 
-def evidence(docs: DataFrame, weights: np.ndarray | None) -> DataFrame:
-    """docs and p_doc, what its text says of each document."""
+def evidence(docs: DataFrame, weights: np.ndarray | None, within: tuple[str, int] | None = None) -> DataFrame:
+    """docs and p_doc, what its text says of each document; within names the struct and the field that hold the text, if no column does."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = shared.value
         for batch in batches:
-            for part in chunks(batch, "text"):
-                w = shared.value
-                p = np.full(len(part), 0.5) if w is None else 1 / (1 + np.exp(-np.clip(features(part.column("text")) @ w[:-1] + w[-1], -30, 30)))
+            texts = batch.column("text") if within is None else pc.struct_field(batch.column(within[0]), [within[1]])
+            for lo, n in cuts(texts, SLICE):
+                part = batch.slice(lo, n)
+                p = np.full(n, 0.5) if w is None else 1 / (1 + np.exp(-np.clip(features(texts.slice(lo, n)) @ w[:-1] + w[-1], -30, 30)))
                 yield pa.record_batch([*part.columns, pa.array(np.clip(p, LEAST, MOST))], [*part.schema.names, "p_doc"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{schema}, p_doc double")
+    return small_batches(docs).mapInArrow(run, StructType([*docs.schema.fields, StructField("p_doc", DoubleType())]))
 
 
 def _weight(mean: Column, spread: Column) -> Column:
@@ -144,8 +151,8 @@ def _odds(p: Column) -> Column:
     return F.ln(p / (1 - p))
 
 
-def posterior(scored: DataFrame, keep: float = KEEP) -> DataFrame:
-    """scored (doc_id, host, path, p_doc) and p_host, p_path, quality, kept.
+def posterior(scored: DataFrame, keep: float = KEEP, all_scored: DataFrame | None = None) -> DataFrame:
+    """scored (host, path, p_doc and more) and p_host, p_path, quality, kept; sites are those of all_scored, else of scored.
 
     Site tables are written, then broadcast if their size allows; else a
     shuffle join is split where a host holds many rows.
@@ -168,3 +175,19 @@ def score(docs: DataFrame, labels: DataFrame, host: Column, path: Column, keep:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), host.cast("string").alias("host"), path.cast("string").alias("path"), F.col("text").cast("string").alias("text"))
     scored = materialize(evidence(rows, weights).drop("text"), "evidence")
     return posterior(scored, keep)
+
+
+def accepted(docs: DataFrame, labels: DataFrame, host: Column, path: Column, keep: float = KEEP) -> DataFrame:
+    """The rows of docs that score() keeps, all columns as they are.
+
+    Texts are read twice, first for the sites' sums and then for the
+    decision on each row, so that none of them is shuffled: a row meets only
+    its site.
+    """
+    weights = train(docs, labels)
+    site = (host.cast("string").alias("host"), path.cast("string").alias("path"))
+    own = F.struct(*[(docs[c].cast("string") if c == "text" else docs[quoted(c)]).alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    scored = materialize(evidence(docs.select(*site, F.col("text").cast("string").alias("text")), weights).drop("text"), "evidence")
+    rows = evidence(docs.select(*site, own.alias("own")), weights, ("own", docs.columns.index("text")))
+    kept = posterior(rows, keep, scored).filter("kept")
+    return kept.select(*[F.col("own")[f"c{i}"].alias(c) for i, c in enumerate(docs.columns)])
