@@ -93,3 +93,91 @@ def test_parity_maps_never_deny_a_link(spark):
     got = df.withColumn("may", neardup.may_link(F.col("a"), F.col("b"), F.col("size"))).collect()
     assert all(r.may for r in got if r.link) and any(r.link for r in got)
     assert sum(r.may for r in got if not r.link) < sum(not r.link for r in got) / 2
+
+
+def counted(monkeypatch):
+    """The pairs that were confirmed, added up while the test runs."""
+    tried, own = [], neardup.confirm
+
+    def confirm(pairs, sets, *args):
+        tried.append(pairs.count())
+        return own(pairs, sets, *args)
+
+    monkeypatch.setattr(neardup, "confirm", confirm)
+    return tried
+
+
+def test_template_pages_try_few_pairs(spark, monkeypatch):
+    """Long pages of the same blocks, most pairs of which just miss the threshold."""
+    rng, tried = random.Random(8), counted(monkeypatch)
+    blocks = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(250)) for _ in range(40)]
+    rows = [(i, " ".join(b for j, b in enumerate(blocks) if j not in gone)) for i, gone in enumerate(set(rng.sample(range(40), 6)) for _ in range(80))]
+    check(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert sum(tried) < 80 * 79 / 2 / 10
+
+
+def test_common_passages_try_few_pairs(spark, monkeypatch):
+    """A passage in every text, nearly but not quite enough to link them, around copies of some."""
+    rng, tried = random.Random(9), counted(monkeypatch)
+    words = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    passage = words(150)
+    rows = [(i, f"{words(15)} {passage} {words(15)}") for i in range(200)]
+    rows += [(1000 + i, rows[i][1] + " tail") for i in range(0, 200, 5)]
+    check(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert sum(tried) < 240 * 239 / 2 / 4
+
+
+def test_hot_centres_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "CROWD", 5)
+    rng = random.Random(10)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    rows = [(i, " ".join(base[:k] + [f"x{i}"] + base[k + 1 :])) for i, k in enumerate(rng.choices(range(5, 145), k=60))]
+    check(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+
+
+def test_large_parity_maps_never_deny_a_link(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    rng, rows = np.random.default_rng(7), []
+    for _ in range(150):
+        n = int(rng.integers(900, 9000))
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
+        d = int(rng.integers(0, n // 4))
+        b = np.unique(np.concatenate([a[d:], rng.integers(0, 1 << 63, int(rng.integers(0, d + 1))).astype(np.uint64)]))
+        link = bool(100 * len(np.intersect1d(a, b)) >= 85 * len(np.union1d(a, b)))
+        rows.append((*(neardup.parities(s, neardup.map_words(len(s))).tolist() for s in (a, b)), len(a) + len(b), link))
+    df = spark.createDataFrame(rows, "a array<long>, b array<long>, size long, link boolean")
+    got = df.withColumn("may", neardup.may_link_large(F.col("a"), F.col("b"), F.col("size"))).collect()
+    assert all(r.may for r in got if r.link) and any(r.link for r in got)
+    assert sum(r.may for r in got if not r.link) < sum(not r.link for r in got) / 2
+    assert any(len(r.a) != len(r.b) for r in got)
+
+
+def test_pieces_of_any_size_give_the_same_words(monkeypatch):
+    """Texts far longer than a piece are cut, between words and within long ones, without a trace."""
+    import numpy as np
+    import pyarrow as pa
+    from hashloom.llm import shingles
+
+    rng = random.Random(12)
+    texts = ["".join(rng.choice("ab \n") for _ in range(rng.randrange(300))) for _ in range(60)] + ["x" * 500, "", " " * 200, "é" * 90 + " y"]
+    want = shingles.words(pa.array(texts), shingles.SPACED)
+    for size in (4, 16, 64):
+        monkeypatch.setattr(shingles, "PIECE", size)
+        got = shingles.words(pa.array(texts), shingles.SPACED)
+        assert all(np.array_equal(a, b) for a, b in zip(got, want, strict=True))
+
+
+def test_rows_are_decided_one_by_one(spark, odd, nobody):
+    from pyspark.sql import functions as F
+
+    key = lambda text: F.md5(F.coalesce(F.concat(F.lit("="), text), F.lit("")).cast("binary"))
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(9, "a text of its own that no other has"), (9, long), (3, long + " tail"), (None, long), (None, "another text without an id at all"), (9, long)]
+    df = odd.unionByName(nobody).select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string")).withColumn("k", key(F.col("text")))
+    got = {(r.doc_id, r.row_key): r.kept for r in neardup.row_decisions(df, key).collect()}
+    texts = {(r.doc_id, r.k): r.text for r in df.collect()}
+    own = sorted(texts, key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+    classes = brute([(i, texts[x]) for i, x in enumerate(own)])
+    assert got == {own[i]: kept for i, _, _, kept in classes}
