@@ -3,19 +3,21 @@
 Defined cases: a null text counts as empty, so null and empty texts form one
 group; within a batch the smallest doc_id of equal texts stays (a null doc_id
 only where the group has no other); against earlier batches the row indexed
-first stays; rows that repeat a doc_id share its decision and count in
-group_size; an empty table gives an empty table; other columns are ignored.
+first stays, and group_size counts the rows of all batches so far; rows that
+repeat a doc_id share its decision and count in group_size; an empty table
+gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..storage import materialize
+from ..storage import discard, materialize
 
-#: A digest is hot if it holds this share of the indexed rows: at most HOT of them exist.
+#: A digest is hot if it holds this share of a batch's rows: at most HOT of them exist.
 HOT = 1000
 
 
@@ -24,13 +26,15 @@ def normalized(text: Column) -> Column:
 
 
 class DigestIndex:
-    """A table (text_sha256, keep_id, group_size, batch), bucketed and sorted by text_sha256.
+    """A table (text_sha256, keep_id, keep_key, n, first, batch), bucketed and sorted by text_sha256.
 
     It lies in the warehouse, which all executors share. A batch is
-    aggregated to one row a digest before it is shuffled, compared with the
-    index by a sort-merge anti-join that reads the index without an exchange,
-    and its new digests are appended. A new index has as many buckets as the
-    session shuffles into, unless told otherwise; about 128 MB each is best.
+    aggregated to one row a digest before it is shuffled and compared with the
+    index by a sort-merge anti-join that reads the index without an exchange.
+    What is new is appended with the row that stays (first); of digests that
+    the index has, the batch's count is appended, so that sizes are sums. A
+    new index has as many buckets as the session shuffles into, unless told
+    otherwise; about 128 MB each is best.
     """
 
     def __init__(self, spark: SparkSession, name: str | None = None, buckets: int | None = None):
@@ -38,42 +42,76 @@ class DigestIndex:
         buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.name = name or f"digests_{uuid.uuid4().hex}"
         spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {self.name} (text_sha256 STRING, keep_id BIGINT, group_size BIGINT, batch STRING)"
+            f"CREATE TABLE IF NOT EXISTS {self.name} (text_sha256 STRING, keep_id BIGINT, keep_key STRING, n BIGINT, first BOOLEAN, batch STRING)"
             f" USING parquet CLUSTERED BY (text_sha256) SORTED BY (text_sha256) INTO {buckets} BUCKETS"
         )
         told = {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE EXTENDED {self.name}").collect()}
         self.buckets = int(told["Num Buckets"])
 
-    def table(self) -> DataFrame:
+    def rows(self) -> DataFrame:
         return self.spark.table(self.name)
 
-    def add(self, docs: DataFrame) -> DataFrame:
-        """Append what is new in docs; returns the digests (doc_id, text_sha256) of all of docs."""
-        digests = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(normalized(F.col("text")), 256).alias("text_sha256")), "digests")
-        groups = digests.groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    def table(self) -> DataFrame:
+        """text_sha256, keep_id, keep_key, group_size: one row a digest; nothing is shuffled."""
+        return _summed(self.rows())
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
+    def add(self, docs: DataFrame, key: Callable[[Column], Column] | None = None) -> tuple[DataFrame, DataFrame]:
+        """Append docs; returns (doc_id, row_key, text_sha256) of each row, and its digests (text_sha256, keep_id, keep_key, n)."""
+        row_key = key(F.col("text")) if key else F.lit("")
+        digests = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key.alias("row_key"), F.sha2(normalized(F.col("text")), 256).alias("text_sha256"))
+        digests = materialize(digests, "digests")
+        least = F.min(F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id").alias("id"), F.col("row_key").alias("key")))
         # written, as the optimizer would push the anti-join below the aggregate, and shuffle every row
-        groups = materialize(groups, "groups")
-        fresh = groups.join(self.table().select("text_sha256").hint("merge"), "text_sha256", "left_anti")
-        fresh = fresh.withColumn("batch", F.lit(uuid.uuid4().hex)).repartition(self.buckets, "text_sha256")
-        fresh.select("text_sha256", "keep_id", "group_size", "batch").write.insertInto(self.name)
+        groups = materialize(digests.groupBy("text_sha256").agg(least.alias("x"), F.count("*").alias("n")).select("text_sha256", F.col("x.id").alias("keep_id"), F.col("x.key").alias("keep_key"), "n"), "groups")
+        known = self.rows().filter("first").select("text_sha256").hint("merge")
+        new = groups.join(known, "text_sha256", "left_anti").withColumn("first", F.lit(True))
+        if not self.rows().isEmpty():
+            new = new.unionByName(groups.join(known, "text_sha256", "left_semi").withColumn("first", F.lit(False)))
+        new = new.withColumn("batch", F.lit(uuid.uuid4().hex)).repartition(self.buckets, "text_sha256")
+        new.select("text_sha256", "keep_id", "keep_key", "n", "first", "batch").write.insertInto(self.name)
         self.spark.catalog.refreshTable(self.name)
-        return digests
+        return digests, groups
 
-    def decide(self, digests: DataFrame) -> DataFrame:
-        """doc_id, keep_id, group_size, kept, text_sha256 of each row of digests.
+    def decide(self, digests: DataFrame, groups: DataFrame) -> DataFrame:
+        """doc_id, row_key, keep_id, keep_key, group_size, text_sha256 of each row of a batch that was added.
 
-        Rows of hot digests, at most HOT of them, are answered by a broadcast;
-        the others meet the index in a sort-merge join, where no key is large.
+        Rows of the batch's hot digests, at most HOT of them, are answered by
+        a broadcast; the others meet the index in a sort-merge join, where no
+        key is large.
         """
-        index = self.table().select("text_sha256", "keep_id", "group_size")
-        total = index.agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0]
-        hot = index.filter(F.col("group_size") * HOT >= F.lit(total)) if total > HOT else index.limit(0)
-        cold = digests.join(F.broadcast(hot.select("text_sha256")), "text_sha256", "left_anti").join(index.hint("merge"), "text_sha256")
-        rows = digests.join(F.broadcast(hot), "text_sha256").unionByName(cold)
-        return rows.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+        total = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        hot = F.broadcast(groups.filter(F.col("n") * HOT >= F.lit(total)).select("text_sha256") if total > HOT else groups.limit(0).select("text_sha256"))
+        cold = digests.join(hot, "text_sha256", "left_anti").join(self.table().hint("merge"), "text_sha256")
+        rows = digests.join(F.broadcast(_summed(self.rows().join(hot, "text_sha256", "left_semi"))), "text_sha256").unionByName(cold)
+        return rows.select("doc_id", "row_key", "keep_id", "keep_key", "group_size", "text_sha256")
+
+
+def _summed(rows: DataFrame) -> DataFrame:
+    keep = F.max(F.when(F.col("first"), F.struct("keep_id", "keep_key")))
+    return rows.groupBy("text_sha256").agg(keep.alias("x"), F.sum("n").alias("group_size")).select("text_sha256", F.col("x.keep_id").alias("keep_id"), F.col("x.keep_key").alias("keep_key"), "group_size")
+
+
+def _decided(docs: DataFrame, index: DigestIndex | None, key: Callable[[Column], Column] | None) -> DataFrame:
+    own = index or DigestIndex(docs.sparkSession)
+    digests, groups = own.add(docs, key)
+    found = own.decide(digests, groups)
+    if index is None:  # an index for this call alone goes with it
+        found = materialize(found, "decided")
+        own.drop()
+        discard(digests, groups)
+    return found
 
 
 def exact_dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
-    """One row for each row of docs with its decision; a new index unless one is given."""
-    index = index or DigestIndex(docs.sparkSession)
-    return index.decide(index.add(docs))
+    """doc_id, keep_id, group_size, kept, text_sha256 of each row of docs; a new index unless one is given."""
+    found = _decided(docs, index, None)
+    return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+
+
+def row_decisions(docs: DataFrame, key: Callable[[Column], Column], index: DigestIndex | None = None) -> DataFrame:
+    """doc_id, row_key, kept of each row of docs, where key tells apart texts of one doc_id: one (doc_id, row_key) of a group is kept."""
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("row_key") == F.col("keep_key"))
+    return _decided(docs, index, key).select("doc_id", "row_key", kept.alias("kept"))

@@ -45,3 +45,27 @@ def test_hot_groups(spark):
 
 def test_empty(empty):
     assert exact.exact_dedup(empty).count() == 0
+
+
+def test_counts_and_hot_digests_over_batches(spark, monkeypatch):
+    monkeypatch.setattr(exact, "HOT", 10)
+    index = exact.DigestIndex(spark, buckets=4)
+    batches = [[(i, "same" if i % 3 == 0 else f"t{i}") for i in range(60)], [(100 + i, "t1" if i < 40 else f"u{i}") for i in range(60)], [(5, "same"), (200, "t1"), (201, "new")], []]
+    seen = defaultdict(list)
+    for batch in batches:
+        for d, t in batch:
+            seen[t].append(d)
+        got = exact.exact_dedup(spark.createDataFrame(batch, "doc_id long, text string"), index).collect()
+        first = {t: next(min(d for d, x in b if x == t) for b in batches if any(x == t for _, x in b)) for _, t in batch}
+        want = [(d, first[t], len(seen[t]), d == first[t], digest(t)) for d, t in batch]
+        assert sorted(map(tuple, got)) == sorted(want)
+    assert {r.text_sha256: r.group_size for r in index.table().collect()} == {digest(t): len(ids) for t, ids in seen.items()}
+    name = index.name
+    index.drop()
+    assert not spark.catalog.tableExists(name)
+
+
+def test_an_index_for_one_call_goes_with_it(spark, odd):
+    before = {t.name for t in spark.catalog.listTables()}
+    exact.exact_dedup(odd).collect()
+    assert {t.name for t in spark.catalog.listTables()} == before
