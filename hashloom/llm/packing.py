@@ -6,6 +6,9 @@ in by decreasing length, each into the fullest row that still has room; the row
 is found by a segment tree over capacities. A document longer than a row is
 cut into full rows and a rest, so no token is lost.
 
+Texts may be of any length and kind: white space runs too long for the
+tokenizer's splitter are cut out as the words that they are.
+
 Defined cases: a null or empty text is its end mark alone; a null doc_id is
 kept as null; repeated rows are packed each; a shard holds one document at
 least, however long; an empty table gives an empty table; other columns are
@@ -15,6 +18,7 @@ ignored. The same files and split sizes give the same rows.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -24,6 +28,7 @@ import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from ..storage import small_batches
 from .shingles import chunks
 
 LENGTH = 2048
@@ -112,6 +117,26 @@ def ranked(text: bytes, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("ranked", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+#: Maximal runs of white space that are split by hand, as the splitter keeps a state for each of their characters.
+LONG_RUN = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{10000,}")
+
+
+def encode_text(own: tiktoken.Encoding, text: str) -> list[int]:
+    """The ids of any text, for a pattern that leaves the last space of a run to the word that follows.
+
+    What stands before a run, and the run without its last character, are
+    split from the rest by the pattern anyway; at the end of a text the whole
+    run is one piece.
+    """
+    ids, at = [], 0
+    for run in LONG_RUN.finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        ids += own.encode_ordinary(text[at : run.start()])
+        ids += own._encode_single_piece(text[run.start() : end])
+        at = end
+    return ids + own.encode_ordinary(text[at:])
+
+
 def rank_file(df: DataFrame, path: str, pattern: str) -> tuple[Callable[[list[str]], list[np.ndarray]], int]:
     """(tokenize, size of the vocabulary); the file, a few MB, is broadcast."""
     with open(path, "rb") as f:
@@ -120,7 +145,7 @@ def rank_file(df: DataFrame, path: str, pattern: str) -> tuple[Callable[[list[st
 
     def tokenize(texts: list[str]) -> list[np.ndarray]:
         own = ranked(shared.value, pattern)
-        return [np.array(own.encode_ordinary(t), np.uint32) for t in texts]
+        return [np.array(encode_text(own, t), np.uint32) for t in texts]
 
     return tokenize, len(text.splitlines())
 
@@ -147,9 +172,51 @@ def pack(docs: DataFrame, tokenize: Callable[[list[str]], list[np.ndarray]], end
         if held:
             yield pack_shard(part_id << 32 | n, held, length, end, dtype)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PACKED)
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PACKED)
+
+
+FLAT = "shard long, first_pack long, n_rows int, matrix binary, segments array<int>, cu_seqlens array<int>, doc_ids array<long>, doc_starts array<long>"
+
+
+def flat(packed: DataFrame) -> DataFrame:
+    """FLAT rows of packed rows: adjoining packs of a shard as one matrix of ids, row after row.
+
+    segments counts the segments of each row; cu_seqlens, doc_ids and
+    doc_starts follow each other for all rows, cu_seqlens with one more value
+    a row than it has segments. A matrix is a shard's at most; one that a
+    partition boundary cuts comes in two.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+
+        def made() -> pa.RecordBatch:
+            joined = lambda name: [x for r in held for x in r[name]]
+            row = (held[0]["shard"], held[0]["pack"], len(held), b"".join(r["ids"] for r in held), [len(r["doc_ids"]) for r in held], joined("cu_seqlens"), joined("doc_ids"), joined("doc_starts"))
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            return pa.record_batch([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], [x.split()[0] for x in FLAT.split(", ")])
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                if held and (r["shard"], r["pack"]) != (held[-1]["shard"], held[-1]["pack"] + 1):
+                    yield made()
+                    held = []
+                held.append(r)
+        if held:
+            yield made()
+
+    return packed.mapInArrow(run, FLAT)
+
+
+def unflat(row, length: int, dtype: str) -> list[tuple[np.ndarray, list[int], list[int | None], list[int]]]:
+    """(ids, cu_seqlens, doc_ids, doc_starts) of each packed row of a FLAT row."""
+    ids, out, at = np.frombuffer(bytes(row.matrix), dtype).reshape(row.n_rows, length), [], 0
+    for k, n in enumerate(row.segments):
+        out.append((ids[k], row.cu_seqlens[at + k : at + k + n + 1], row.doc_ids[at : at + n], row.doc_starts[at : at + n]))
+        at += n
+    return out
 
 
 def write_packed(packed: DataFrame, path: str) -> None:
-    """A Parquet folder whose ids column, row after row, is the id matrix."""
-    packed.write.mode("overwrite").parquet(path)
+    """A Parquet folder of flat id matrices with their segments (FLAT)."""
+    flat(packed).write.mode("overwrite").parquet(path)

@@ -65,3 +65,27 @@ def test_best_fit():
 
 def test_positions():
     assert packing.position_ids(6, [0, 2, 5]).tolist() == [0, 1, 0, 1, 2, 0]
+
+
+def test_long_runs():
+    rng, path = np.random.default_rng(4), public_tokenizers.path("byte_bpe_50k.tiktoken")
+    with open(path, "rb") as f:
+        own = packing.ranked(f.read(), public_tokenizers.PATTERN)
+    for n in (9_999, 10_000, 10_001, 20_000):  # the same as the tokenizer, where that can do it
+        for kind in (" ", "\n", "　", "\n ", "\x1c"):
+            for before, after in (("", ""), ("a", ""), ("", "b"), ("a'", "'s b"), (" . ", "1"), ("a", "\x1cb")):
+                t = before + kind * n + after
+                assert packing.encode_text(own, t) == own.encode_ordinary(t), (n, kind, before, after)
+    for kind in ("a", " ", "\n", "\n ", "\U0001f642", "1", ".", "".join(map(chr, rng.integers(97, 123, 1000)))):
+        t = kind * (4_000_000 // len(kind.encode()))
+        assert own.decode(packing.encode_text(own, t)) == t
+
+
+def test_flat_matrices_come_back(spark, documents, tmp_path):
+    tokenize, end = packing.rank_file(documents, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    packed = packing.pack(documents, tokenize, end, 256, 10_000)
+    packing.write_packed(packed, str(tmp_path / "packed"))
+    rows = spark.read.parquet(str(tmp_path / "packed")).collect()
+    got = {(r.shard, r.first_pack + k): (ids.tobytes(), cu, ids_of, starts) for r in rows for k, (ids, cu, ids_of, starts) in enumerate(packing.unflat(r, 256, "<u2"))}
+    assert got == {(r.shard, r.pack): (bytes(r.ids), r.cu_seqlens, r.doc_ids, r.doc_starts) for r in packed.collect()}
+    assert len(rows) < len(got)
