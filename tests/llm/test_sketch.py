@@ -70,3 +70,45 @@ def test_odd(odd, nobody, spark):
 
 def test_empty(empty):
     assert sketch.edit_likeness(empty).count() == 0 and sketch.fingerprints(empty).count() == 0
+
+
+def test_short_texts_have_fingerprints(spark, documents, texts):
+    def likeness(a, b):
+        return len(a & b) / len(a | b)
+
+    for r in sketch.edit_likeness(documents).collect():
+        assert bool(r.fingerprint) == bool(grams(texts[r.doc_id]))
+    # over all lengths: unbiased, and with the error that so many hashes allow
+    rng, error = np.random.default_rng(9), {5: [], 50: [], 500: []}
+    for n, own in error.items():
+        for _ in range(300):
+            words = [f"w{i}" for i in rng.integers(0, 10**6, n + 4)]
+            other = words[: 2 * n // 3] + [f"v{i}" for i in rng.integers(0, 10**6, n // 3)]
+            a, b = sketch.sketches(pa.array([" ".join(words), " ".join(other)]))
+            assert len(a) and len(b)
+            own.append(sketch.resemblance(a, b) - likeness(grams(" ".join(words)), grams(" ".join(other))))
+    assert all(abs(np.mean(e)) < 0.06 for e in error.values())
+    assert np.abs(error[50]).mean() < 0.15 and np.abs(error[500]).mean() < 0.05
+
+
+def test_merging_keeps_the_rule_of_the_smallest_hash():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        parts = [" ".join(f"w{i}" for i in rng.integers(0, 10**6, rng.integers(1, 9))) for _ in range(2)]
+        a, b = sketch.sketches(pa.array(parts))
+        h = [np.unique(np.concatenate([s for s in sketch.sketches(pa.array([p]), fraction=1)])) for p in parts]
+        both = np.union1d(*h)
+        below = both[both <= sketch._threshold(sketch.FRACTION)]
+        assert np.array_equal(sketch.merge(a, b), below if len(below) else both[:1])
+
+
+def test_null_and_repeated_ids_are_dealt_over_ranges(spark):
+    rows = [(None if i % 2 else 7 if i % 3 else i, f"text {i} with a few words of its own {i * i}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    sizes = [r["count"] for r in sketch.in_sequence(df).groupBy("range").count().collect()]
+    assert max(sizes) < 3 * 3000 / (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))) and sum(sizes) == 3000 + len(sizes)
+    hashes = {r.text: r.h for r in df.selectExpr("text", "xxhash64(text) AS h").collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashes[r[1]]))
+    want = [(d, hashlib.sha256(edit(t, order[(i + 1) % 3000][1]).encode()).hexdigest()) for i, (d, t) in enumerate(order)]
+    got = [(r.doc_id, r.edited_sha256) for r in sketch.edit_likeness(df).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
