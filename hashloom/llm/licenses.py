@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
+from ..storage import small_batches
 from .shingles import ALNUM, chunks, shingles, words
 
 PAIR = 2
@@ -43,11 +44,17 @@ NOTICES = (
     ("licensed under a creative commons attribution 4 0 international license", "cc-by-4.0"),
     ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "bsd"),
     ("this source code form is subject to the terms of the mozilla public license v 2 0", "mpl-2.0"),
+    ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice", "isc"),
+    ("this program and the accompanying materials are made available under the terms of the eclipse public license", "epl"),
+    ("to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", "cc0"),
+    ("this is free and unencumbered software released into the public domain", "unlicense"),
 )
 #: Diagonals of a notice that differ by at most SLACK words, with gaps of at most GAP, are one span.
 SLACK, GAP = 3, 12
 #: A diagonal of a notice needs VOTES hits, a span COVER of the template's pairs in at most STRETCH times its words.
 VOTES, COVER, STRETCH = 2, 0.75, 2
+#: The pairs that a template may have: what a diagonal has seen of it is a bit each.
+MOST_PAIRS = 63
 #: The template that every row meets once, so that rows without hits stay, and rows are counted.
 EVERY = -1
 
@@ -62,6 +69,8 @@ def templates(spark: SparkSession) -> DataFrame:
     rows = [(EVERY, 0, 0, 1, "", True)]
     for i, (text, label) in enumerate([*PHRASES, *NOTICES]):
         grams = _pairs(text)
+        if len(grams) > MOST_PAIRS:
+            raise ValueError(f"a template of {len(grams)} pairs; {MOST_PAIRS} is the most")
         rows += [(i, g, at, len(grams), label, i < len(PHRASES)) for at, g in enumerate(grams)]
     return spark.createDataFrame(rows, "template int, gram long, at int, n int, label string, exact boolean")
 
@@ -85,7 +94,7 @@ def scan(docs: DataFrame) -> DataFrame:
     spans are (label, exact, start, end, cover) in order: words start to
     end - 1 hold the phrase (exact) or a copy of the notice.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"))
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"))
     grams = rows.mapInArrow(_grams, "doc_id long, text_key long, n_words long, grams array<long>")
     hits = grams.select("doc_id", "text_key", "n_words", F.posexplode("grams").alias("p", "gram")).withColumn("pos", F.col("p") - 1)
     hits = hits.join(F.broadcast(templates(docs.sparkSession)), "gram")

@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..storage import materialize, same, sized
+from ..storage import materialize, quoted, same, sized
 
 HASH_BITS = 60
 #: Bits that each histogram resolves: the first leaves one row in 4096 to the rest.
@@ -118,7 +118,7 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS) -> DataFrame:
     _, limits = mix(docs, weights)
     small = sized(limits.select(F.col("source").alias("__mix_source"), F.col("copies").alias("__mix_copies"), F.col("upto").alias("__mix_upto")))
     repeats = (F.col("__mix_copies") + (doc_hash(F.col("doc_id")) <= F.col("__mix_upto")).cast("long")).cast("int")
-    names = [f"`{c}`" for c in docs.columns]
+    names = [quoted(c) for c in docs.columns]
     out = docs.join(small, F.col("source").cast("string").eqNullSafe(F.col("__mix_source"))).withColumn("__mix_row", F.explode(F.array_repeat(F.lit(0), repeats)))
     return out.select(*names)
 
