@@ -1,48 +1,67 @@
 """A corpus from raw documents: scored, deduplicated, mixed and encoded.
 
 Each stage takes (spark, docs, sf_dir), where docs has the columns of
-documents, and all but the last return those columns for what they keep. A row
-without doc_id cannot be named by a decision on doc_ids and stays.
+documents, and all but the last return those columns for what they keep.
+
+Decisions are on rows, not on doc_ids: a row is known by its doc_id and its
+whole text. Defined cases: rows that share a doc_id but not the text are
+decided one by one; a null doc_id is an id like others, the last in order; of
+rows equal in both, each dedup stage keeps one, that whose other columns sort
+first; a null text is empty and, having no words, is near to nothing; texts may
+be of any length; other columns are kept, whatever their names; an empty table
+gives an empty table.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from hashloom.llm import bpe, exact, mixing, neardup, quality
-from hashloom.storage import materialize, sized
+from hashloom.storage import materialize, quoted, sized
 
 #: The quality model, the signatures and the vocabulary are not SQL.
 ORACLE_SQL = None
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs but for the rows of these doc_ids; few ids are broadcast, many are joined by a shuffle."""
-    gone = sized(materialize(ids.select(F.col("doc_id").alias("__gone")).distinct(), "gone"))
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+def _row_key(text: Column) -> Column:
+    return F.md5(F.coalesce(F.concat(F.lit("="), text.cast("string")), F.lit("")).cast("binary"))
+
+
+def _kept_rows(docs: DataFrame, decisions: DataFrame) -> DataFrame:
+    """The rows of docs that decisions (doc_id, row_key, kept) keep, one of those equal in id and text.
+
+    Rows that go, and those that repeat, are narrow tables, broadcast if they
+    are small.
+    """
+    own = F.struct(*[F.col(quoted(n)).alias(f"c{i}") for i, n in enumerate(docs.columns)])
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), _row_key(F.col("text")).alias("key"), own.alias("own"))
+    found = decisions.select(F.col("doc_id").alias("g_id"), F.col("row_key").alias("g_key"), "kept")
+    gone = sized(materialize(found.filter("NOT kept").select("g_id", "g_key").distinct(), "gone"))
+    again = materialize(found.filter("kept").groupBy("g_id", "g_key").agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "again")
+    same = F.col("id").eqNullSafe(F.col("g_id")) & (F.col("key") == F.col("g_key"))
+    left = rows.join(gone, same, "left_anti")
+    if not again.isEmpty():
+        plain = [f"c{i}" for i, (_, t) in enumerate(docs.dtypes) if "map<" not in t and "variant" not in t]
+        few = sized(again)
+        least = F.min_by("own", F.struct(*[F.col("own")[c] for c in plain])).alias("own")
+        left = left.join(few, same, "left_anti").unionByName(left.join(few, same, "left_semi").groupBy("id", "key").agg(least))
+    return left.select(*[F.col("own")[f"c{i}"].alias(n) for i, n in enumerate(docs.columns)])
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return _without(docs, quality.score(docs, labels, docs["source"], docs["lang"]).filter("NOT kept"))
+    return quality.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), docs["source"], docs["lang"])
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the smallest doc_id stays, once even if its row is repeated."""
-    found = exact.exact_dedup(docs)
-    stay = materialize(found.filter("kept").groupBy("doc_id", "text_sha256").agg(F.count("*").alias("n")).filter("n > 1 AND doc_id IS NOT NULL"), "repeated")
-    left = _without(docs, found.filter("NOT kept"))
-    if stay.isEmpty():
-        return left
-    again = sized(stay.select("doc_id").distinct())
-    return left.join(again, "doc_id", "left_anti").select(left.columns).unionByName(left.join(again, "doc_id", "left_semi").select(left.columns).dropDuplicates(["doc_id"]))
+    """Of equal texts the row with the smallest doc_id stays."""
+    return _kept_rows(docs, exact.row_decisions(docs, _row_key))
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
-    return _without(docs, neardup.near_duplicates(docs).filter("NOT kept"))
+    """One document of each near-duplicate group stays: that with the smallest doc_id."""
+    return _kept_rows(docs, neardup.row_decisions(docs, _row_key))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,8 +71,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, and digests of the ids and of their decoding."""
-    path = public_tokenizers.path("word_bpe_49k.json")
-    done = bpe.decode(bpe.encode(docs, path), path)
+    done = bpe.round_trip(docs, public_tokenizers.path("word_bpe_49k.json"))
     return done.select("doc_id", "n_tokens", "ids", F.sha2(F.col("ids"), 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
 
 
