@@ -126,7 +126,7 @@ def candidate_units(packages: DataFrame, classified: DataFrame, apps: DataFrame,
     key = lambda p: F.concat("app_id", F.lit("\0"), p)
     kept = classified.filter("keep")
     parts = connected_components(kept.select(key("src").alias("a"), key("dst").alias("b")))
-    of = parts.select(F.split("node", "\0")[0].alias("app_id"), F.split("node", "\0")[1].alias("package"), F.col("component"))
+    of = parts.select(F.split("node", "\0")[0].alias("app_id"), F.split("node", "\0")[1].alias("package"), F.split("component", "\0")[1].alias("component"))
     hit = called(classified).withColumn("called", F.lit(True))
     rows = packages.select("app_id", "package").distinct().join(of, ["app_id", "package"], "left").join(hit, ["app_id", "package"], "left")
     own = F.array_join(F.slice(F.split("package_name", r"\."), 1, 2), ".")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.hashes import digest, of_children, rendered
 from ..operators import edges as ed, filters, match as mt, units as un
 from ..operators.fingerprint import FingerprintConfig, fingerprint
-from ..operators.index import build_index
+from ..operators.index import build_index, write_index
 from ..operators.merkle import NO_SOURCE, source_aware
 from ..sources.sinks import write_profile, write_provenance, write_report, write_unit_hashes
 from ..storage import materialize, scope
@@ -77,23 +77,29 @@ def enrich(profile: dict[str, DataFrame], classes: DataFrame, apps: DataFrame) -
 
 
 def run(spark: SparkSession, mode: str, source: str, target: str, **options) -> None:
-    """One program by name, from a folder of tables to a folder of tables."""
+    """One program by name, from a folder of tables to a folder of tables.
+
+    Options: tables in place of the source's and resume for PARSE, cumulative
+    for CLUSTER, libs and candidates for STORE, libs and found for INDEX,
+    index for MATCH.
+    """
     mode = mode.upper()
     if mode == "PARSE":
         done = spark.read.parquet(f"{target}/apps") if options.get("resume") else None
         with scope():
-            write_profile(parse(read_input(spark, source), done), target)
+            write_profile(parse(options.get("tables") or read_input(spark, source), done), target)
         return
     profile = {n: spark.read.parquet(f"{source}/{n}") for n in ("apps", "packages", "classes", "methods", "edges")}
-    if mode == "CLUSTER":
-        write_unit_hashes(cluster(profile, options.get("cumulative", False)), target)
-    elif mode == "STORE":
-        write_provenance(store(options["libs"], options["candidates"], profile), target)
-    elif mode == "MATCH":
-        write_report(match(profile, options["index"]), target)
-    elif mode == "INDEX":
-        from ..operators.index import write_index
-
-        write_index(build_index(profile, options["libs"]), target)
-    else:
-        raise ValueError(f"no program {mode}")
+    with scope():
+        if mode == "CLUSTER":
+            write_unit_hashes(cluster(profile, options.get("cumulative", False)), target)
+        elif mode == "STORE":
+            write_provenance(store(options["libs"], options["candidates"], profile), target)
+        elif mode == "MATCH":
+            write_report(match(profile, options["index"]), target)
+        elif mode == "INDEX":
+            if "found" in options:  # the libraries lie within apps
+                profile = library_profile(options["found"], options["libs"], profile)
+            write_index(build_index(profile, options["libs"]), target)
+        else:
+            raise ValueError(f"no program {mode}")
