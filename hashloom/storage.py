@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 #: A side of a join is broadcast only when it has no more rows than this.
 BROADCAST_ROWS = 100_000
 
-#: Rows of a batch that goes to a Python worker.
-ARROW_ROWS = 500
+#: Bytes of a batch that goes to a Python worker; one row may have more.
+BATCH_BYTES = 2 << 20
+_BATCH, _USUAL = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 _scopes: list[list[DataFrame]] = []
 _shipped: set[str] = set()
@@ -123,17 +124,24 @@ def sized(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """df, whose texts go to Python workers by ARROW_ROWS rows at most, unless the session has a number of its own.
+    """df, whose rows go to Python workers BATCH_BYTES at a time, unless the session has a bound of its own.
 
     An executor holds a batch several times for each of its tasks, outside
-    the heap as well, and Spark's default of 10,000 texts can be any size.
+    the heap as well, and Spark's default is 64 MB. The bound is a setting of
+    the session, as Spark has it for no single plan: it holds for all that the
+    session sends to Python workers from then on, until usual_batches().
     """
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if conf.get(key) == "10000":
-        conf.set(key, str(ARROW_ROWS))
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH) == _USUAL:
+        conf.set(_BATCH, str(BATCH_BYTES))
     return df
 
 
+def usual_batches(spark: SparkSession) -> None:
+    """Give the session back Spark's own bound of a batch."""
+    spark.conf.unset(_BATCH)
+
+
 def quoted(name: str) -> str:
     """A column's name as an expression, whatever is in it."""
     return "`" + name.replace("`", "``") + "`"
