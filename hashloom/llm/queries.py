@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, exact, langid, licenses, mixing, neardup, packing, quality, sketch
+from . import bpe, chat, exact, langid, licenses, mixing, neardup, packing, phrases, quality, sketch
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -151,6 +151,41 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2,000 phrases of every language."""
+    return phrases.collocations(_read(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w, count(*) AS m FROM d GROUP BY ALL),
+s AS (
+  SELECT lang, m, 1 AS k, unnest(w) AS g FROM p
+  UNION ALL SELECT lang, m, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM p WHERE len(w) > 1
+  UNION ALL SELECT lang, m, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM p WHERE len(w) > 2),
+f AS MATERIALIZED (SELECT lang, k, g, sum(m)::BIGINT AS f FROM s GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+often AS MATERIALIZED (SELECT concat(lang, chr(10), g) AS part, f FROM f WHERE f >= 10),
+c AS (SELECT lang, k, g AS phrase, f AS a, string_split(g, ' ') AS w FROM f WHERE k > 1 AND f >= 10),
+x AS (
+  SELECT *, 1 AS cut, w[1] AS lg, array_to_string(w[2:], ' ') AS rg FROM c
+  UNION ALL SELECT *, 2, w[1] || ' ' || w[2], w[3] FROM c WHERE k = 3),
+y AS (
+  SELECT x.lang, x.k, phrase, a, cut, l.f AS l, r.f AS r, ((1000000::HUGEINT * a * a) // (l.f::HUGEINT * r.f))::BIGINT AS score
+  FROM x JOIN often l ON l.part = concat(x.lang, chr(10), lg) JOIN often r ON r.part = concat(x.lang, chr(10), rg)),
+z AS (SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+i AS (
+  SELECT lang, g, max(a) AS longer
+  FROM (SELECT lang, a, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS g FROM c WHERE k = 3) GROUP BY ALL),
+o AS (
+  SELECT z.*, row_number() OVER (PARTITION BY z.lang ORDER BY score DESC, a DESC, phrase) AS rank
+  FROM z LEFT JOIN i ON i.lang = z.lang AND i.g = z.phrase WHERE longer IS NULL OR 100 * longer < 50 * a)
+SELECT o.lang, rank, phrase, a, l, r, n, score FROM o JOIN n ON n.lang = o.lang WHERE rank <= 2000
+"""
+
+
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_source_mixing": op2_source_mixing,
@@ -162,5 +197,6 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_bpe": op9_bpe,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op11_phrase_collocations": op11_phrase_collocations,
 }
-ORACLES = {"op1_chat_formatting": OP1_SQL, "op2_source_mixing": OP2_SQL, "op4_exact_dedup": OP4_SQL}
+ORACLES = {"op1_chat_formatting": OP1_SQL, "op2_source_mixing": OP2_SQL, "op4_exact_dedup": OP4_SQL, "op11_phrase_collocations": OP11_SQL}
