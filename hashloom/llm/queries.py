@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, exact, langid, licenses, mixing, neardup, packing, phrases, quality, sketch
+from . import alignment, bpe, chat, exact, langid, licenses, mixing, neardup, packing, phrases, quality, sketch
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -151,6 +151,11 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens of two public tokenizers, aligned in every document."""
+    return alignment.align(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 2,000 phrases of every language."""
     return phrases.collocations(_read(spark, sf_dir, "documents"))
@@ -198,5 +203,6 @@ QUERIES = {
     "op9_bpe": op9_bpe,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
     "op11_phrase_collocations": op11_phrase_collocations,
+    "op12_tokenizer_alignment": op12_tokenizer_alignment,
 }
 ORACLES = {"op1_chat_formatting": OP1_SQL, "op2_source_mixing": OP2_SQL, "op4_exact_dedup": OP4_SQL, "op11_phrase_collocations": OP11_SQL}
