@@ -65,13 +65,17 @@ def texts(rng, n):
 
 def test_splits_change_no_token(own):
     assert own.splits
-    for t in texts(random.Random(3), 3000):
-        joined = ";".join(own.align(own.segments(" " + t)))
+    for t in [*texts(random.Random(3), 3000), "a b\nc d", "a\nb", "x", "x \n y", "\n\nq", "tail ", "tail\n", "tail\t", "a\tb c\n"]:
+        words = own.words(t)
+        assert "".join(map(own.segment, words)) == " " + t
+        made = own.align(words)
+        joined = ";".join(made) if all(made) else ""
         assert joined == ";".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in whole(own, t)), t
 
 
 def test_documents_against_whole_texts(spark, own, monkeypatch):
-    monkeypatch.setattr(alignment, "PARSED", 3)
+    monkeypatch.setattr(alignment, "PACKED", 30)
+    monkeypatch.setattr(alignment, "BATCH", 7)
     rng = random.Random(8)
     rows = [(i // 2 - 5, t) for i, t in enumerate(texts(rng, 80) + ["", None, " ", "  x  ", "a▁b", "no tokens ▁", "x" * 5000, " " * 3000, "same words here", "same words here"])] + [(None, "nobody")]
     docs = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], "doc_id long, text string, pair string, block int").repartition(4)
@@ -97,8 +101,11 @@ def test_small_blocks(spark, own):
 
 
 def test_without_safe_splits_texts_are_whole(own, monkeypatch):
-    monkeypatch.setattr(own, "splits", False)
-    assert own.segments(" a b") == [" a b"]
+    with monkeypatch.context() as m:
+        m.setattr(own, "splits", False)
+        assert [own.segment(w) for w in own.words("a b")] == [" a b"]
+        one = own.align(own.words("a b"))
+    assert one == [";".join(own.align(["a", "b"]))]
     with open(A, encoding="utf-8") as f, open(B, "rb") as g:
         told, pieces = alignment.json.loads(f.read()), g.read()
     assert not own.splits_are_safe(told | {"normalizer": {"type": "NFC"}}, pieces)
