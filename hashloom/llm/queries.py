@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import alignment, bpe, chat, exact, langid, licenses, mixing, neardup, packing, phrases, quality, sketch
+from . import alignment, bpe, chat, exact, langid, licenses, mixing, neardup, packing, phrases, quality, sketch, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -151,6 +151,14 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity, learned from labels of documents that are not held out."""
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    out = toxicity.held_out(F.col("doc_id"))
+    found = toxicity.score(docs, toxicity.train(docs.filter(~out), labels.filter(~out)))
+    return found.select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
 def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tokens of two public tokenizers, aligned in every document."""
     return alignment.align(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
@@ -204,5 +212,6 @@ QUERIES = {
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
     "op11_phrase_collocations": op11_phrase_collocations,
     "op12_tokenizer_alignment": op12_tokenizer_alignment,
+    "op13_toxicity": op13_toxicity,
 }
 ORACLES = {"op1_chat_formatting": OP1_SQL, "op2_source_mixing": OP2_SQL, "op4_exact_dedup": OP4_SQL, "op11_phrase_collocations": OP11_SQL}

@@ -78,10 +78,15 @@ def _cut(buf: np.ndarray, docs: np.ndarray, is_word: np.ndarray, lo: int) -> int
     return end
 
 
-def words(texts: pa.Array, is_word: np.ndarray = SPACED, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all words in order, offsets: document i has words offsets[i] to offsets[i + 1])."""
+def words(texts: pa.Array, is_word: np.ndarray = SPACED, fold: bool = True, heads: tuple[int, ...] | None = None) -> tuple[np.ndarray, ...]:
+    """(hashes of all words in order, offsets: document i has words offsets[i] to offsets[i + 1]).
+
+    With heads, numbers of bytes: (hashes of the words and, below them, of so
+    many first bytes of each, the words' sizes in bytes, offsets).
+    """
     buf, docs = text_bytes(texts)
-    value, hashes, begins, lo = _FOLDED if fold else _VALUE, [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    value, hashes, begins, lo = _FOLDED if fold else _VALUE, [np.zeros((1 + len(heads or ()), 0), np.uint64)], [np.zeros(0, np.int64)], 0
+    sizes = [np.zeros(0, np.int64)]
     while lo < len(buf):
         hi = _cut(buf, docs, is_word, lo)
         part = buf[lo:hi]
@@ -96,10 +101,13 @@ def words(texts: pa.Array, is_word: np.ndarray = SPACED, fold: bool = True) -> t
         up, down = _powers(max(PIECE, hi - lo))
         sums = np.zeros(len(part) + 1, np.uint64)
         np.cumsum(value[part] * up[: len(part)], out=sums[1:])
-        hashes.append(mix64((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64) * _K[0]))
+        ends = [b, *(np.minimum(b, a + n) for n in heads or ())]
+        hashes.append(np.stack([mix64((sums[e] - sums[a]) * down[a] + (e - a).astype(np.uint64) * _K[0]) for e in ends]))
         begins.append(a + lo)
+        sizes.append(b - a)
         lo = hi
-    return np.concatenate(hashes), np.searchsorted(np.concatenate(begins), docs)
+    found, at = np.concatenate(hashes, axis=1), np.searchsorted(np.concatenate(begins), docs)
+    return (found[0], at) if heads is None else (found, np.concatenate(sizes), at)
 
 
 def shingles(h: np.ndarray, at: np.ndarray, k: int, short: bool = True) -> tuple[np.ndarray, np.ndarray]:
