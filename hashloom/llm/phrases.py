@@ -44,10 +44,11 @@ TOP = 2000
 BITS = 27
 #: What DuckDB holds in memory for one bucket.
 BUCKET_MEMORY = "256MB"
-#: N-grams that are worked on at a time.
-GRAMS = 1 << 18
-#: Salts among which a language's phrases are ranked before they are ranked together.
-SALTS = 16
+#: N-grams that are summed at a time, and bytes of pieces that they come from.
+GRAMS = 1 << 20
+GATHERED = 6 << 20
+#: Steps of a language's scores, by their logarithm, of which the lower ones are left out of its ranking.
+STEPS = 64
 
 _SEPARATE = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n" * 9 + b" ")
 
@@ -116,6 +117,19 @@ def grams(batch: pa.RecordBatch, sizes: tuple[int, ...], bitmap: np.ndarray | No
             yield from found.to_batches()
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], sizes: tuple[int, ...], bitmap: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """grams() of pieces, GATHERED bytes or one batch at a time."""
+    held, many = [], 0
+    for batch in batches:
+        held.append(batch)
+        many += batch.nbytes
+        if many >= GATHERED:
+            yield from grams(pa.concat_batches(held), sizes, bitmap)
+            held, many = [], 0
+    if held:
+        yield from grams(pa.concat_batches(held), sizes, bitmap)
+
+
 def _counted(parts: DataFrame, least: int) -> DataFrame:
     """lang, g, f of the n-grams that parts (lang, g, m) hold at least so often: a bucket is a partition, and DuckDB counts it.
 
@@ -156,18 +170,14 @@ def counts(found: DataFrame, least: int = LEAST) -> DataFrame:
     """lang, g, k, f of the n-grams of one to three words that pieces (lang, piece, m) hold at least `least` times."""
 
     def low(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in chunks(batch, "piece", 1 << 21):
-                yield from grams(part, (1, 2))
+        yield from _gathered(batches, (1, 2))
 
     size = F.size(F.split("g", " "))
     short = materialize(_counted(found.mapInArrow(low, "lang string, g string, m long"), least).withColumn("k", size), "grams")
     shared = found.sparkSession.sparkContext.broadcast(_bitmap(short.filter("k = 2")))
 
     def high(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in chunks(batch, "piece", 1 << 21):
-                yield from grams(part, (3,), shared.value)
+        yield from _gathered(batches, (3,), shared.value)
 
     long = materialize(_counted(found.mapInArrow(high, "lang string, g string, m long"), least).withColumn("k", F.lit(3)), "grams")
     return short.unionByName(long)
@@ -209,9 +219,13 @@ def collocations(docs: DataFrame, least: int = LEAST, within: int = WITHIN, top:
     found = materialize(pieces(docs), "pieces")
     n_words = F.octet_length("piece") - F.octet_length(F.replace("piece", F.lit(" "), F.lit(""))) + 1
     sizes = sized(materialize(found.groupBy("lang").agg(F.sum(F.col("m") * n_words).alias("n")), "sizes"))
-    rows = scored(counts(found, least), within)
-    order = [F.desc("score"), F.desc("a"), "phrase"]
-    salted = Window.partitionBy("lang", "salt").orderBy(*order)
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS))).withColumn("rank", F.row_number().over(salted)).filter(F.col("rank") <= top).drop("salt", "rank")
-    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).filter(F.col("rank") <= top)
+    rows = materialize(scored(counts(found, least), within), "scored")
+    # a histogram tells from which step on a language has enough phrases, so that only these are ranked
+    step = F.floor(F.log2(F.col("score") + 1) * STEPS).cast("int")
+    steps = rows.groupBy("lang", step.alias("step")).count()
+    above = Window.partitionBy("lang").orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, -1)
+    enough = steps.withColumn("above", F.coalesce(F.sum("count").over(above), F.lit(0))).filter(F.col("above") < top).groupBy("lang").agg(F.min("step").alias("least_step"))
+    high = rows.join(sized(materialize(enough, "steps")), "lang").filter(step >= F.col("least_step")).drop("least_step")
+    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
+    rows = high.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= top)
     return rows.join(sizes, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
