@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import names as nm
 from ..functions.hashes import of_children
 from ..storage import materialize
+from .filters import is_top_level
 
 
 def build(names: DataFrame, name: str = "name", group: tuple[str, ...] = ()) -> DataFrame:
@@ -35,10 +36,18 @@ def root_of(names: DataFrame, roots: DataFrame, name: str = "name") -> DataFrame
 
 
 def siblings(names: DataFrame, name: str = "name") -> DataFrame:
-    """name, sibling: other names of the same parent (JN-11)."""
-    rows = names.select(F.col(name).alias("name")).distinct().withColumn("p", nm.parent(F.col("name")))
-    pairs = rows.join(rows.withColumnRenamed("name", "sibling"), "p")
-    return pairs.filter((F.col("name") != F.col("sibling")) & nm.near_depth(F.col("name"), F.col("sibling"))).select("name", "sibling")
+    """name, sibling: the other names that are children of a name's parent or of its grandparent (JN-11).
+
+    Names right below a top-level domain have none, and such a domain is
+    nobody's grandparent.
+    """
+    n, none = F.col("name"), F.lit(None).cast("string")
+    up = lambda c: F.when(c.contains("."), nm.package(c))
+    rows = names.select(F.col(name).alias("name")).distinct().withColumn("p", up(n))
+    below = rows.filter("p IS NOT NULL").select(n.alias("sibling"), F.col("p").alias("root"))
+    grand = F.when(F.col("p").isNotNull() & ~is_top_level(up(F.col("p"))), up(F.col("p"))).otherwise(none)
+    ask = rows.filter(F.col("p").isNotNull() & ~is_top_level(F.col("p"))).select("name", F.explode(F.array_compact(F.array("p", grand))).alias("root"))
+    return ask.join(below, "root").filter("name <> sibling").select("name", "sibling")
 
 
 def contained(small: DataFrame, large: DataFrame, group: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Merging looks at what earlier merges made, so it is a fold. Its state is one
 app's packages and never leaves that app, so apps are folded side by side.
-Components are visited by their smallest package.
+Components are visited in the order of their smallest packages.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .components import connected_components
 from .edges import called
-from .filters import is_top_level
+from .filters import TOP_LEVEL, is_top_level
 
 UNITS = "app_id string, unit_id string, packages array<string>"
 
@@ -33,73 +33,83 @@ def _is_family(packages: list[str]) -> bool:
 
 
 class Fold:
-    """The components of one app while they are merged."""
+    """The components of one app while they are merged.
+
+    Components are numbered by their smallest package and keep their numbers,
+    and are visited in that order. A package's number is what lookups go by;
+    after the first step that is not brought up to date for the packages of a
+    component that merges, but for its first one, so lookups by the others
+    find a component that is gone.
+    """
 
     def __init__(self, components: Iterable[Iterable[str]], alone: Iterable[str], called: Iterable[str]):
-        self.members = {}
-        self.of = {}
-        for own in [*components, *([p] for p in alone)]:
-            own = sorted(own)
-            self.members[own[0]] = own
-            self.of |= dict.fromkeys(own, own[0])
+        own = sorted(sorted(c) for c in [*components, *([p] for p in alone)])
+        self.members = dict(enumerate(own))
+        self.of = {p: k for k, packages in self.members.items() for p in packages}
         self.called = set(called) - set(alone)
+        self.single = {k for k, packages in self.members.items() if len(packages) == 1}
 
-    def merge(self, gone: str, into: str) -> None:
-        own = sorted({*self.members.pop(gone), *self.members.pop(into)})
-        self.members[own[0]] = own
-        self.of |= dict.fromkeys(own, own[0])
-
-    def largest(self, ids: Iterable[str]) -> str | None:
-        """The component with most packages, the first of equals."""
-        return min(ids, key=lambda c: (-len(self.members[c]), c), default=None)
+    def merge(self, gone: int, into: int) -> None:
+        own = self.members.pop(gone)
+        self.members[into] = sorted({*own, *self.members[into]})
+        self.of[own[0]] = into
+        self.single.discard(gone)
 
-    def singletons(self) -> list[str]:
-        return sorted(c for c, own in self.members.items() if len(own) == 1)
+    def largest(self, ids: Iterable[int]) -> int | None:
+        """The component with most packages, the first of equals, of those that are there."""
+        return min((c for c in ids if c in self.members), key=lambda c: (-len(self.members[c]), c), default=None)
 
     def into_parents(self) -> None:
         """Singletons join their children's largest component, then the nearest of three ancestors (GR-09)."""
-        for c in self.singletons():
-            if len(self.members.get(c, ())) != 1:
-                continue
-            below = {self.of[p] for p in self.of if _up(p, 1) == c and len(self.members[self.of[p]]) > 1}
-            into = self.largest(below - {c})
-            if into:
+        below: dict[str, set[int]] = {}
+        for p, k in self.of.items():
+            if k not in self.single and (above := _up(p, 1)):
+                below.setdefault(above, set()).add(k)
+        for c in sorted(self.single):
+            into = self.largest(below.get(self.members[c][0], ()))
+            if into is not None:
                 self.merge(c, into)
-        for c in self.singletons():
-            if len(self.members.get(c, ())) != 1:
-                continue
+        for c in sorted(self.single):
             for levels in (1, 2, 3):
-                above = _up(c, levels)
+                above = _up(self.members[c][0], levels)
+                if above is None or above in TOP_LEVEL:
+                    break
                 if above in self.of:
-                    if self.of[above] != c:
+                    if self.of[above] in self.members:
                         self.merge(c, self.of[above])
                     break
 
-    def uncalled(self) -> list[str]:
+    def uncalled(self) -> list[int]:
         """Components that nothing calls (GR-08)."""
         return sorted(c for c, own in self.members.items() if not self.called & set(own))
 
     def into_siblings(self) -> None:
-        """Uncalled components join their first package's parent, then the largest near relation (GR-10)."""
-        for c in self.uncalled():
-            above = _up(c, 1) if c in self.members else None
-            if above in self.of and self.of[above] != c:
+        """Uncalled components join their first package's parent, then the largest near relation (GR-10).
+
+        Near are the components of the children of the first package's parent
+        and grandparent, other than itself. The largest is chosen first; if it
+        is the component's own, or is called and a family, nothing happens.
+        """
+        uncalled = self.uncalled()
+        for c in uncalled:
+            above = _up(self.members[c][0], 1)
+            if above is not None and above not in TOP_LEVEL and self.of.get(above) in self.members:
                 self.merge(c, self.of[above])
-        for c in self.uncalled():
-            if c not in self.members:
-                continue
+        for c in [c for c in uncalled if c in self.members]:
             own = self.members[c]
-            if len(own) > 1 and _is_family(own) and _depth(c) <= 3:
+            if c not in self.single and _is_family(own) and _depth(own[0]) <= 3:
                 continue
-            roots = {_up(c, 1), _up(c, 2)} - {None}
-            near = {self.of[p] for p in self.of if abs(_depth(p) - _depth(c)) <= 1 and roots & {_up(p, 1), _up(p, 2)}}
-            near = {x for x in near - {c} if not (self.called & set(self.members[x]) and _is_family(self.members[x]))}
-            into = self.largest(near)
-            if into:
-                self.merge(c, into)
+            parent, grandparent = _up(own[0], 1), _up(own[0], 2)
+            if parent is None or parent in TOP_LEVEL:
+                continue
+            roots = {parent} if grandparent is None or grandparent in TOP_LEVEL else {parent, grandparent}
+            into = self.largest(self.of[p] for p in self.of if p != own[0] and _up(p, 1) in roots)
+            if into is None or into == c or (into not in uncalled and _is_family(self.members[into])):
+                continue
+            self.merge(c, into)
 
     def units(self) -> list[list[str]]:
-        return [self.members[c] for c in sorted(self.members)]
+        return sorted(self.members.values())
 
 
 def recover(components: Iterable[Iterable[str]], alone: Iterable[str], called: Iterable[str]) -> list[list[str]]:

@@ -56,13 +56,16 @@ def flt11_excluded(spark, sf_dir):
     return ft.without(read(spark, sf_dir, "customer").select("c_custkey", "c_name"), out, "c_custkey")
 
 
-@_query("""WITH s AS (SELECT n_nationkey, lower(n_name[1:2]) AS segment FROM nation UNION ALL SELECT 100 + n_nationkey, ['com', 'example', 'museum', 'gb', 'uk'][n_nationkey % 5 + 1] FROM nation)
-SELECT n_nationkey, segment, segment NOT IN ('ja', 'un', 'example', 'gb') AS top_level FROM s""")
+_LONGER = ("com", "example", "museum", "gov", "xxx", "comm", "", "name", "arpa")
+
+
+@_query(f"""WITH a AS (SELECT unnest(string_split('abcdefghijklmnopqrstuvwxyz', '')) AS c), s AS (SELECT x.c || y.c AS segment FROM a x, a y UNION ALL SELECT unnest({list(_LONGER)}))
+SELECT n_nationkey, segment, segment IN {ft.TOP_LEVEL} AS top_level FROM nation, s""")
 def flt14_top_level(spark, sf_dir):
-    n = read(spark, sf_dir, "nation")
-    more = F.element_at(F.array(*map(F.lit, ("com", "example", "museum", "gb", "uk"))), (F.col("n_nationkey") % 5 + 1).cast("int"))
-    rows = n.select("n_nationkey", F.lower(F.substring("n_name", 1, 2)).alias("segment")).unionByName(n.select((F.col("n_nationkey") + 100).alias("n_nationkey"), more.alias("segment")))
-    return rows.withColumn("top_level", ft.is_top_level(F.col("segment")))
+    """All words of two letters, and some longer ones."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = F.array(*[F.lit(x + y) for x in letters for y in letters], *map(F.lit, _LONGER))
+    return read(spark, sf_dir, "nation").select("n_nationkey", F.explode(words).alias("segment")).withColumn("top_level", ft.is_top_level(F.col("segment")))
 
 
 _CALLED = ("java.lang.String", "Ljavax/net/A;", "org.apache.http.A", "org.apachex.A", "Lorg/omg/A;", "org.omg.A", "Lcom/sun/A;", "javafx.A")
@@ -219,11 +222,6 @@ def df14_thin_slice(spark, sf_dir):
     return flow.forward_slice(_trade(spark, sf_dir).filter("(src + dst) % 7 <> 0"), spark.sql("SELECT CAST(-1 AS BIGINT) AS node"))
 
 
-for _name in ("df13_forward_slice", "df11_pruned_calls", "gr04_class_components"):
-    ORACLES[_name.replace("_", "_whole_", 1)] = CORE[_name]
-ORACLES["top02_whole_top6_per_name"] = CORE["top02_top6_per_name"].replace("<= 2)", "<= 6)")
-
-
 @_query(f"""WITH {_METHODS} SELECT app_id, md5(unhex(string_agg(DISTINCT hash, '' ORDER BY hash))) AS hash, count(*) AS n FROM mh GROUP BY app_id""")
 def agg06_distinct_methods(spark, sf_dir):
     """Each app's distinct method hashes."""
@@ -236,3 +234,9 @@ def agg06_distinct_methods(spark, sf_dir):
 def prj04_method_hashes(spark, sf_dir):
     t = decoded_apps(spark, sf_dir)
     return pj.method_hashes(fingerprint(t["classes"], t["methods"], t["framework_types"]))
+
+
+@_query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 > 0 THEN round(100.0::DOUBLE * o_custkey / (o_orderkey % 3 * 32), 2) END AS percentage FROM orders""")
+def fn23_percentages(spark, sf_dir):
+    """Shares of 32 and 64, which are exact; of nothing there is none."""
+    return read(spark, sf_dir, "orders").select("o_orderkey", rp.percentage(F.col("o_custkey"), F.col("o_orderkey") % 3 * 32).alias("percentage"))

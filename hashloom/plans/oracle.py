@@ -147,19 +147,25 @@ SELECT app_id, unit_id, md5(unhex(h || f)) AS source_hash FROM u""",
   '[' || string_agg(DISTINCT lang || '-' || n_chars % 5, ', ' ORDER BY lang || '-' || n_chars % 5) || ']' AS tree FROM documents GROUP BY source) SELECT *, md5(tree) AS tree_hash FROM u""",
     "jn02_vote_cascade": f"{_CASCADE} SELECT * FROM votes",
     "top02_top6_per_name": f"""{_CASCADE}, n AS (SELECT *, 'lib' || item_id % 3 AS name FROM votes),
-k AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY doc_id, name ORDER BY votes DESC, item_id) <= 2)
+k AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY doc_id, name ORDER BY votes DESC, item_id) <= 6)
 SELECT doc_id, item_id, votes, name, row_number() OVER (PARTITION BY doc_id ORDER BY votes DESC, item_id)::INT AS rk FROM k""",
+    "top02_top6_suppliers": """WITH v AS (SELECT o_custkey, l_suppkey, sum(l_quantity::BIGINT)::BIGINT AS votes FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL),
+n AS (SELECT v.*, 'region' || n_regionkey AS name FROM v JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey),
+k AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY o_custkey, name ORDER BY votes DESC, l_suppkey) <= 6)
+SELECT o_custkey, l_suppkey, votes, name, row_number() OVER (PARTITION BY o_custkey ORDER BY votes DESC, l_suppkey)::INT AS rk FROM k""",
     "jn07_overlap": f"""WITH d AS (SELECT doc_id, unnest({_SENT}) AS s FROM documents), b AS (SELECT item_id, unnest({_SENT}) AS s FROM benchmark)
 SELECT doc_id, item_id, count(*) AS shared FROM d JOIN b USING (s) GROUP BY ALL""",
     "jn08_containment": f"""WITH d AS (SELECT DISTINCT doc_id, unnest({_SENT}) AS s FROM documents), n AS (SELECT doc_id AS a, count(*) AS size FROM d GROUP BY 1),
 p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM d x JOIN d y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL)
 SELECT a, b, shared, shared / size AS ratio FROM p JOIN n USING (a) WHERE shared / size >= 0.7""",
-    "jn11_siblings": f"""WITH {_NAMES}, n AS (SELECT DISTINCT name, {_parent("name")} AS p FROM names)
-SELECT n.name, o.name AS sibling FROM n JOIN n o USING (p) WHERE n.name <> o.name AND abs({_depth("n.name")} - {_depth("o.name")}) <= 1""",
+    "jn11_siblings": f"""WITH {_NAMES}, n AS (SELECT DISTINCT name, string_split(name, '.') AS w FROM names),
+c AS (SELECT name AS sibling, array_to_string(w[:-2], '.') AS root FROM n WHERE len(w) > 1),
+q AS (SELECT name, array_to_string(w[:-2], '.') AS root FROM n WHERE len(w) > 2 UNION SELECT name, array_to_string(w[:-3], '.') FROM n WHERE len(w) > 3)
+SELECT DISTINCT q.name, sibling FROM q JOIN c USING (root) WHERE q.name <> sibling""",
     "jn13_first_app": """SELECT l_suppkey::VARCHAR AS lib_hash, arg_min(l_orderkey, pos::BIGINT * 1000000000 + l_orderkey) AS app_id FROM (
   SELECT l_suppkey, l_orderkey, min(l_linenumber) AS pos FROM lineitem GROUP BY ALL HAVING bool_or(l_returnflag = 'A')) GROUP BY l_suppkey""",
     "src17_range_lookup": """SELECT o_orderkey, o_totalprice, (SELECT min(b) FROM (VALUES (1000.0::DOUBLE), (5000), (20000), (50000), (100000), (200000), (400000)) t(b) WHERE b >= o_totalprice) AS bound FROM orders""",
-    "set03_difference": "SELECT c_custkey AS key, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "set03_difference": "SELECT c_custkey AS key, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)",
     "set04_bags": f"""WITH d AS (SELECT doc_id, {_SENT} AS a FROM documents), j AS (SELECT d.doc_id, d.a, e.a AS b FROM d JOIN d e ON e.doc_id = d.doc_id + 1)
 SELECT doc_id, len(list_filter(a, lambda x: list_contains(b, x)))::BIGINT AS shared, list_sort(list_distinct(a)) = list_sort(list_distinct(b)) AS same, len(list_distinct(list_concat(a, b)))::BIGINT AS either FROM j""",
     "set06_roots": f"""WITH {_NAMES}, n AS (SELECT name FROM names UNION SELECT {_parent("name")} AS p FROM names WHERE length(p) % 2 = 0)
@@ -204,3 +210,18 @@ SELECT *, CASE kind WHEN 'Activity' THEN method IN ('onStart()V', 'onDestroy()V'
 WHERE p_partkey % 4 IN (2, 3) OR (p_partkey % 4 = 0 AND p_size % 3 <> 0)""",
     "str00_windowed_counts": "SELECT epoch(time_bucket(INTERVAL 1 HOUR, ts))::BIGINT AS window_start, event_type, count(*) AS n, sum(round(value * 100)::BIGINT)::BIGINT AS total FROM events GROUP BY ALL",
 }
+
+
+def _merkle_trie(depth: int) -> str:
+    """The digests of a trie, from its deepest level up."""
+    own = "CASE WHEN own > 0 THEN md5(prefix) END"
+    levels = []
+    for k in range(depth, 0, -1):
+        up = f"LEFT JOIN (SELECT parent AS prefix, md5(unhex(string_agg(node_hash, '' ORDER BY node_hash))) AS inside FROM l{k + 1} GROUP BY 1) USING (prefix)" if k < depth else ""
+        inside = "inside" if k < depth else "NULL::VARCHAR"
+        levels.append(f"l{k} AS (SELECT prefix, parent, CASE WHEN {inside} IS NULL THEN coalesce({own}, md5('')) WHEN own = 0 THEN {inside} ELSE md5(unhex({own} || {inside})) END AS node_hash FROM (SELECT * FROM trie WHERE depth = {k}) {up})")
+    return f"WITH {_TRIE}, " + ",\n".join(levels) + "\n" + " UNION ALL ".join(f"SELECT prefix, node_hash FROM l{k}" for k in range(1, depth + 1))
+
+
+#: Names of pages are less deep than this.
+ORACLES["agg22_trie_hashes"] = _merkle_trie(12)

@@ -18,56 +18,233 @@ DEX, ODEX = b"dex\n", b"dey\n"
 PACKED, SPARSE, VALUES = 0x0100, 0x0200, 0x0300
 
 
+# The opcodes of dex files, their names, and their lengths in 16-bit units.
+OPCODES = """
+00 nop 1
+01 move 1
+02 move/from16 2
+03 move/16 3
+04 move-wide 1
+05 move-wide/from16 2
+06 move-wide/16 3
+07 move-object 1
+08 move-object/from16 2
+09 move-object/16 3
+0a move-result 1
+0b move-result-wide 1
+0c move-result-object 1
+0d move-exception 1
+0e return-void 1
+0f return 1
+10 return-wide 1
+11 return-object 1
+12 const/4 1
+13 const/16 2
+14 const 3
+15 const/high16 2
+16 const-wide/16 2
+17 const-wide/32 3
+18 const-wide 5
+19 const-wide/high16 2
+1a const-string 2
+1b const-string/jumbo 3
+1c const-class 2
+1d monitor-enter 1
+1e monitor-exit 1
+1f check-cast 2
+20 instance-of 2
+21 array-length 1
+22 new-instance 2
+23 new-array 2
+24 filled-new-array 3
+25 filled-new-array/range 3
+26 fill-array-data 3
+27 throw 1
+28 goto 1
+29 goto/16 2
+2a goto/32 3
+2b packed-switch 3
+2c sparse-switch 3
+2d cmpl-float 2
+2e cmpg-float 2
+2f cmpl-double 2
+30 cmpg-double 2
+31 cmp-long 2
+32 if-eq 2
+33 if-ne 2
+34 if-lt 2
+35 if-ge 2
+36 if-gt 2
+37 if-le 2
+38 if-eqz 2
+39 if-nez 2
+3a if-ltz 2
+3b if-gez 2
+3c if-gtz 2
+3d if-lez 2
+44 aget 2
+45 aget-wide 2
+46 aget-object 2
+47 aget-boolean 2
+48 aget-byte 2
+49 aget-char 2
+4a aget-short 2
+4b aput 2
+4c aput-wide 2
+4d aput-object 2
+4e aput-boolean 2
+4f aput-byte 2
+50 aput-char 2
+51 aput-short 2
+52 iget 2
+53 iget-wide 2
+54 iget-object 2
+55 iget-boolean 2
+56 iget-byte 2
+57 iget-char 2
+58 iget-short 2
+59 iput 2
+5a iput-wide 2
+5b iput-object 2
+5c iput-boolean 2
+5d iput-byte 2
+5e iput-char 2
+5f iput-short 2
+60 sget 2
+61 sget-wide 2
+62 sget-object 2
+63 sget-boolean 2
+64 sget-byte 2
+65 sget-char 2
+66 sget-short 2
+67 sput 2
+68 sput-wide 2
+69 sput-object 2
+6a sput-boolean 2
+6b sput-byte 2
+6c sput-char 2
+6d sput-short 2
+6e invoke-virtual 3
+6f invoke-super 3
+70 invoke-direct 3
+71 invoke-static 3
+72 invoke-interface 3
+74 invoke-virtual/range 3
+75 invoke-super/range 3
+76 invoke-direct/range 3
+77 invoke-static/range 3
+78 invoke-interface/range 3
+7b neg-int 1
+7c not-int 1
+7d neg-long 1
+7e not-long 1
+7f neg-float 1
+80 neg-double 1
+81 int-to-long 1
+82 int-to-float 1
+83 int-to-double 1
+84 long-to-int 1
+85 long-to-float 1
+86 long-to-double 1
+87 float-to-int 1
+88 float-to-long 1
+89 float-to-double 1
+8a double-to-int 1
+8b double-to-long 1
+8c double-to-float 1
+8d int-to-byte 1
+8e int-to-char 1
+8f int-to-short 1
+90 add-int 2
+91 sub-int 2
+92 mul-int 2
+93 div-int 2
+94 rem-int 2
+95 and-int 2
+96 or-int 2
+97 xor-int 2
+98 shl-int 2
+99 shr-int 2
+9a ushr-int 2
+9b add-long 2
+9c sub-long 2
+9d mul-long 2
+9e div-long 2
+9f rem-long 2
+a0 and-long 2
+a1 or-long 2
+a2 xor-long 2
+a3 shl-long 2
+a4 shr-long 2
+a5 ushr-long 2
+a6 add-float 2
+a7 sub-float 2
+a8 mul-float 2
+a9 div-float 2
+aa rem-float 2
+ab add-double 2
+ac sub-double 2
+ad mul-double 2
+ae div-double 2
+af rem-double 2
+b0 add-int/2addr 1
+b1 sub-int/2addr 1
+b2 mul-int/2addr 1
+b3 div-int/2addr 1
+b4 rem-int/2addr 1
+b5 and-int/2addr 1
+b6 or-int/2addr 1
+b7 xor-int/2addr 1
+b8 shl-int/2addr 1
+b9 shr-int/2addr 1
+ba ushr-int/2addr 1
+bb add-long/2addr 1
+bc sub-long/2addr 1
+bd mul-long/2addr 1
+be div-long/2addr 1
+bf rem-long/2addr 1
+c0 and-long/2addr 1
+c1 or-long/2addr 1
+c2 xor-long/2addr 1
+c3 shl-long/2addr 1
+c4 shr-long/2addr 1
+c5 ushr-long/2addr 1
+c6 add-float/2addr 1
+c7 sub-float/2addr 1
+c8 mul-float/2addr 1
+c9 div-float/2addr 1
+ca rem-float/2addr 1
+cb add-double/2addr 1
+cc sub-double/2addr 1
+cd mul-double/2addr 1
+ce div-double/2addr 1
+cf rem-double/2addr 1
+d0 add-int/lit16 2
+d1 rsub-int 2
+d2 mul-int/lit16 2
+d3 div-int/lit16 2
+d4 rem-int/lit16 2
+d5 and-int/lit16 2
+d6 or-int/lit16 2
+d7 xor-int/lit16 2
+d8 add-int/lit8 2
+d9 rsub-int/lit8 2
+da mul-int/lit8 2
+db div-int/lit8 2
+dc rem-int/lit8 2
+dd and-int/lit8 2
+de or-int/lit8 2
+df xor-int/lit8 2
+e0 shl-int/lit8 2
+e1 shr-int/lit8 2
+e2 ushr-int/lit8 2
+"""
+
+
 @lru_cache(1)
 def instructions() -> dict[int, tuple[str, int]]:
-    """Of each opcode its name and length in 16-bit units, built from the families that the opcodes come in."""
-    out: dict[int, tuple[str, int]] = {}
-
-    def put(first: int, names: list[str], units: int) -> None:
-        out.update((first + i, (n, units)) for i, n in enumerate(names))
-
-    wide = ("", "-wide", "-object")
-    for i, kind in enumerate(wide):
-        for j, (width, units) in enumerate((("", 1), ("/from16", 2), ("/16", 3))):
-            put(1 + 3 * i + j, [f"move{kind}{width}"], units)
-    put(0x00, ["nop"], 1)
-    put(0x0A, [*(f"move-result{k}" for k in wide), "move-exception", "return-void", *(f"return{k}" for k in wide), "const/4"], 1)
-    put(0x13, ["const/16"], 2)
-    put(0x14, ["const"], 3)
-    put(0x15, ["const/high16", "const-wide/16"], 2)
-    put(0x17, ["const-wide/32"], 3)
-    put(0x18, ["const-wide"], 5)
-    put(0x19, ["const-wide/high16", "const-string"], 2)
-    put(0x1B, ["const-string/jumbo"], 3)
-    put(0x1C, ["const-class"], 2)
-    put(0x1D, ["monitor-enter", "monitor-exit"], 1)
-    put(0x1F, ["check-cast", "instance-of"], 2)
-    put(0x21, ["array-length"], 1)
-    put(0x22, ["new-instance", "new-array"], 2)
-    put(0x24, ["filled-new-array", "filled-new-array/range", "fill-array-data"], 3)
-    put(0x27, ["throw", "goto"], 1)
-    put(0x29, ["goto/16"], 2)
-    put(0x2A, ["goto/32", "packed-switch", "sparse-switch"], 3)
-    put(0x2D, [*(f"cmp{bias}-{t}" for t in ("float", "double") for bias in "lg"), "cmp-long"], 2)
-    tests = ("eq", "ne", "lt", "ge", "gt", "le")
-    put(0x32, [*(f"if-{t}" for t in tests), *(f"if-{t}z" for t in tests)], 2)
-    kinds = ("", "-wide", "-object", "-boolean", "-byte", "-char", "-short")
-    put(0x44, [f"{where}{way}{k}" for where in "ais" for way in ("get", "put") for k in kinds], 2)
-    calls = [f"invoke-{k}" for k in ("virtual", "super", "direct", "static", "interface")]
-    put(0x6E, calls, 3)
-    put(0x74, [f"{c}/range" for c in calls], 3)
-    numbers = ("int", "long", "float", "double")
-    put(0x7B, ["neg-int", "not-int", "neg-long", "not-long", "neg-float", "neg-double"], 1)
-    put(0x81, [*(f"{a}-to-{b}" for a in numbers for b in numbers if a != b), *(f"int-to-{b}" for b in ("byte", "char", "short"))], 1)
-    whole = ("add", "sub", "mul", "div", "rem", "and", "or", "xor", "shl", "shr", "ushr")
-    two = [*(f"{o}-{t}" for t in ("int", "long") for o in whole), *(f"{o}-{t}" for t in ("float", "double") for o in whole[:5])]
-    put(0x90, two, 2)
-    put(0xB0, [f"{n}/2addr" for n in two], 1)
-    literal = ["rsub" if o == "sub" else o for o in whole]
-    # the only one of its kind without a width in its name
-    put(0xD0, ["rsub-int" if o == "rsub" else f"{o}-int/lit16" for o in literal[:8]], 2)
-    put(0xD8, [f"{o}-int/lit8" for o in literal], 2)
-    return out
+    """Of each opcode its name and length."""
+    return {int(op, 16): (name, int(units)) for op, name, units in map(str.split, OPCODES.split("\n")[1:-1])}
 
 
 CALLS = frozenset((*range(0x6E, 0x73), *range(0x74, 0x79)))

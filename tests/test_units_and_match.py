@@ -22,6 +22,98 @@ def test_uncalled_join_siblings():
     assert un.recover([["com.a.u", "com.a.v"], ["org.w.x", "org.w.y"]], [], ["org.w.x"]) == [["com.a.u", "com.a.v"], ["org.w.x", "org.w.y"]]
 
 
+def test_siblings_are_chosen_before_they_are_refused():
+    # (a) the largest near component is a called family, so nothing happens, though another one is near
+    family = ["x.a.c", "x.a.c.d", "x.a.c.e"]
+    assert un.recover([family, ["x.a.f", "x.a.g"]], ["x.a.b"], ["x.a.c", "x.a.f"]) == [["x.a.b"], family, ["x.a.f", "x.a.g"]]
+    # (b) a cousin is no child of the parent or the grandparent
+    assert un.recover([], ["k.b.c", "k.x.y"], []) == [["k.b.c"], ["k.x.y"]]
+    # (c) its own component is the largest near one
+    large, small = ["p.q.a", "p.q.b", "p.q.c", "p.q.d"], ["p.q.x", "p.q.y"]
+    assert un.recover([large, small], [], ["p.q.x"]) == [large, small]
+    # names below a top-level domain have no near relations, and a domain is nobody's grandparent
+    assert un.recover([], ["com.a", "com.b"], []) == [["com.a"], ["com.b"]]
+    assert un.recover([["com.b", "com.c"]], ["com.a.x"], []) == [["com.a.x"], ["com.b", "com.c"]]
+
+
+def plain_units(components, alone, called):
+    """The rules of unit recovery, one sentence after the other, on lists of numbered sets."""
+    sets = sorted([set(c) for c in components] + [{a} for a in alone], key=min)
+    called = set(called) - set(alone)
+    home = {p: k for k, s in enumerate(sets) for p in s}
+    was_single = [len(s) == 1 for s in sets]
+    parent = lambda n: n.rpartition(".")[0]
+    tld = {"com", "org", "net", "io"}
+
+    def move(k, into):
+        home[min(sets[k])] = into
+        sets[into] |= sets[k]
+        sets[k] = None
+
+    def largest(ids):
+        best = None
+        for k in sorted(set(ids)):
+            if sets[k] is not None and (best is None or len(sets[k]) > len(sets[best])):
+                best = k
+        return best
+
+    for k in range(len(sets)):
+        if was_single[k]:
+            (own,) = sets[k]
+            into = largest(home[p] for p in home if parent(p) == own and not was_single[home[p]])
+            if into is not None:
+                move(k, into)
+    for k in range(len(sets)):
+        if was_single[k] and sets[k] is not None:
+            up = min(sets[k])
+            for _ in range(3):
+                up = parent(up)
+                if not up or up in tld:
+                    break
+                if up in home:
+                    if sets[home[up]] is not None:
+                        move(k, home[up])
+                    break
+    quiet = [k for k, s in enumerate(sets) if s is not None and not s & called]
+    for k in quiet:
+        up = parent(min(sets[k]))
+        if up and up not in tld and up in home and sets[home[up]] is not None:
+            move(k, home[up])
+    for k in quiet:
+        if sets[k] is None:
+            continue
+        first, last = min(sets[k]), max(sets[k])
+        single = was_single[k]
+        if not single and len(first.split(".")) <= 3 and last.startswith(first + "."):
+            continue
+        up = parent(first)
+        if not up or up in tld:
+            continue
+        roots = [r for r in (up, parent(up)) if r and r not in tld]
+        into = largest(home[p] for p in home if p != first and parent(p) in roots)
+        if into is None or into == k:
+            continue
+        a, z = min(sets[into]), max(sets[into])
+        if into not in quiet and z.startswith(a + "."):
+            continue
+        move(k, into)
+    return sorted(sorted(s) for s in sets if s is not None)
+
+
+def test_units_against_the_rules():
+    rng = random.Random(11)
+    for _ in range(3000):
+        names = sorted({".".join([rng.choice(["com", "x", "io"]), *(rng.choice("abc") for _ in range(rng.randint(0, 4)))]) for _ in range(rng.randint(2, 18))} - {"com", "io"})
+        rng.shuffle(names)
+        parts = []
+        while len(names) > 6 and rng.random() < 0.8:
+            n = rng.randint(2, 5)
+            parts.append(names[:n])
+            names = names[n:]
+        called = rng.sample(names + sum(parts, []), rng.randint(0, 5) if len(names) + len(parts) > 5 else 0)
+        assert un.recover(parts, names, called) == plain_units(parts, names, called), (parts, names, called)
+
+
 def test_units_are_a_partition():
     rng = random.Random(7)
     for _ in range(50):
