@@ -9,6 +9,7 @@ from pyspark.sql import SparkSession, functions as F
 from .operators.index import read_index
 from .plans.programs import run
 from .sources import archives, lists
+from .sources.sinks import read_provenance
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -22,9 +23,13 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--apps", help="list of apps and their libraries, for STORE")
     p.add_argument("--found", help="what STORE wrote, for INDEX")
     p.add_argument("--index", help="what INDEX wrote, for MATCH")
+    p.add_argument("--run", help="name of the run, under which nothing is written twice, for PARSE, CLUSTER and STORE")
+    p.add_argument("--state", help="folder that counts units over all runs, for CLUSTER with --run")
     a = p.parse_args(argv)
+    if a.state and not a.run:
+        p.error("--state needs --run")
     spark = SparkSession.builder.appName(f"hashloom {a.mode}").getOrCreate()
-    options = {"resume": a.resume}
+    options = {"resume": a.resume, "run": a.run} | ({"state": a.state} if a.state else {})
     if a.framework:
         options["tables"] = archives.decoded_apps(spark, a.source, archives.framework_types(spark, a.framework))
     if a.libs:
@@ -32,7 +37,7 @@ def main(argv: list[str] | None = None) -> None:
     if a.apps:
         options["candidates"] = lists.app_libraries(spark, a.apps)
     if a.found:
-        options["found"] = spark.read.parquet(a.found)
+        options["found"] = read_provenance(spark, a.found)
     if a.index:
         options["index"] = read_index(spark, a.index)
     run(spark, a.mode, a.source, a.target, **options)

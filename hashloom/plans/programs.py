@@ -9,7 +9,8 @@ from ..operators import edges as ed, filters, match as mt, units as un
 from ..operators.fingerprint import FingerprintConfig, fingerprint
 from ..operators.index import build_index, write_index
 from ..operators.merkle import NO_SOURCE, source_aware
-from ..sources.sinks import write_profile, write_provenance, write_report, write_unit_hashes
+from ..sources.runs import UnitState
+from ..sources.sinks import read_profile, write_profile, write_provenance, write_report, write_unit_hashes
 from ..storage import materialize, scope
 
 INPUT = ("apps", "classes", "methods", "framework_types")
@@ -79,22 +80,27 @@ def enrich(profile: dict[str, DataFrame], classes: DataFrame, apps: DataFrame) -
 def run(spark: SparkSession, mode: str, source: str, target: str, **options) -> None:
     """One program by name, from a folder of tables to a folder of tables.
 
-    Options: tables in place of the source's and resume for PARSE, cumulative
-    for CLUSTER, libs and candidates for STORE, libs and found for INDEX,
+    Options: run, a name under which nothing is written twice, for PARSE,
+    CLUSTER and STORE; tables in place of the source's and resume for PARSE;
+    cumulative and state, a folder that counts units over all runs, for
+    CLUSTER; libs and candidates for STORE, libs and found for INDEX,
     index for MATCH.
     """
     mode = mode.upper()
     if mode == "PARSE":
-        done = spark.read.parquet(f"{target}/apps") if options.get("resume") else None
+        done = read_profile(spark, target).get("apps") if options.get("resume") else None
         with scope():
-            write_profile(parse(options.get("tables") or read_input(spark, source), done), target)
+            write_profile(parse(options.get("tables") or read_input(spark, source), done), target, options.get("run"))
         return
-    profile = {n: spark.read.parquet(f"{source}/{n}") for n in ("apps", "packages", "classes", "methods", "edges")}
+    profile = read_profile(spark, source)
     with scope():
         if mode == "CLUSTER":
-            write_unit_hashes(cluster(profile, options.get("cumulative", False)), target)
+            found = materialize(cluster(profile, options.get("cumulative", False)), "units")
+            write_unit_hashes(found, target, options.get("run"))
+            if "state" in options:
+                UnitState(spark, options["state"]).add(options["run"], found.select("app_id", "unit_hash", "tree_hash", "tree"))
         elif mode == "STORE":
-            write_provenance(store(options["libs"], options["candidates"], profile), target)
+            write_provenance(store(options["libs"], options["candidates"], profile), target, options.get("run"))
         elif mode == "MATCH":
             write_report(match(profile, options["index"]), target)
         elif mode == "INDEX":

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .sinks import read_profile
+
 
 def libraries(spark: SparkSession, path: str) -> DataFrame:
     """lib_hash, representative, packages of lines ``hash[,representative],pkg/pkg/...`` (SRC-14)."""
@@ -35,5 +37,5 @@ def files(spark: SparkSession, path: str, suffix: str, deep: bool = False, conte
 
 
 def profile(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The node and edge tables that a PARSE run wrote (SRC-11)."""
-    return {n: spark.read.parquet(f"{path}/{n}") for n in ("apps", "packages", "classes", "methods", "edges")}
+    """The node and edge tables that PARSE runs wrote (SRC-11)."""
+    return read_profile(spark, path)

@@ -8,6 +8,7 @@ import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -19,7 +20,8 @@ BROADCAST_ROWS = 100_000
 BATCH_BYTES = 2 << 20
 _BATCH, _USUAL = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
-_scopes: list[list[DataFrame]] = []
+#: Tables of the scopes that are open in this thread or task.
+_scopes: ContextVar[tuple[list[DataFrame], ...]] = ContextVar("scopes", default=())
 _shipped: set[str] = set()
 
 
@@ -38,6 +40,13 @@ def is_local(spark: SparkSession) -> bool:
     return master == "local" or master.startswith("local[")
 
 
+def check_warehouse(spark: SparkSession) -> None:
+    """On a cluster tables of the session need a warehouse that all executors share: its setting must name another place than Spark's own, the working folder."""
+    told = spark.sparkContext.getConf().get("spark.sql.warehouse.dir", None) or spark.sparkContext.getConf().get("spark.hadoop.hive.metastore.warehouse.dir", None)
+    if not told and not is_local(spark):
+        raise ValueError("spark.sql.warehouse.dir is not set: on a cluster it has to name a folder that all executors share")
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors of a cluster, once a session's context; in local mode workers find it as the driver does."""
     context = spark.sparkContext
@@ -66,8 +75,8 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
-    if _scopes:
-        _scopes[-1].append(out)
+    if _scopes.get():
+        _scopes.get()[-1].append(out)
     return out
 
 
@@ -83,12 +92,14 @@ def discard(*tables: DataFrame) -> None:
 
 @contextmanager
 def scope() -> Iterator[None]:
-    """Tables materialized inside are deleted at the end, so results have to be written or collected within."""
-    _scopes.append([])
+    """Tables materialized inside, by this thread, are deleted at the end, so results have to be written or collected within."""
+    own: list[DataFrame] = []
+    before = _scopes.set((*_scopes.get(), own))
     try:
         yield
     finally:
-        discard(*_scopes.pop())
+        _scopes.reset(before)
+        discard(*own)
 
 
 def tidy(tag: str) -> Callable:
@@ -97,15 +108,17 @@ def tidy(tag: str) -> Callable:
     def wrap(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
         @wraps(operator)
         def run(*args, **kwargs) -> DataFrame:
-            _scopes.append([])
+            own: list[DataFrame] = []
+            before = _scopes.set((*_scopes.get(), own))
             try:
                 made = operator(*args, **kwargs)
             except BaseException:
-                discard(*_scopes.pop())
+                discard(*own)
                 raise
-            inside = _scopes.pop()
+            finally:
+                _scopes.reset(before)
             out = materialize(made, tag)
-            discard(*inside)
+            discard(*own)
             return out
 
         return run

@@ -7,6 +7,8 @@ from hashloom.__main__ import main
 from hashloom.operators.units import recover
 from hashloom.plans import programs
 from hashloom.plans.queries import _profile, program_cluster
+from hashloom.sources.runs import UnitState
+from hashloom.sources.sinks import read_profile, read_provenance, read_unit_hashes
 from hashloom.storage import scope
 from test_bytecode import FOO, app, dex_of
 
@@ -35,21 +37,23 @@ def test_from_packages_to_a_report(spark, tmp_path):
         z.writestr("java/lang/Object.class", b"")
     at = lambda n: str(tmp_path / n)
     main(["PARSE", at("apks"), at("profile"), "--framework", at("fw")])
-    apps = {r.package_name: r.app_id for r in spark.read.parquet(at("profile/apps")).collect()}
+    apps = {r.package_name: r.app_id for r in read_profile(spark, at("profile"))["apps"].collect()}
     assert set(apps) == {"com.first", "com.second", "com.third"}
-    (lib,) = [r.hash for r in spark.read.parquet(at("profile/packages")).filter(f"app_id = '{apps['com.first']}' AND package = 'net.lib.core'").collect()]
+    (lib,) = [r.hash for r in read_profile(spark, at("profile"))["packages"].filter(f"app_id = '{apps['com.first']}' AND package = 'net.lib.core'").collect()]
     lib_hash = of([lib])
     (tmp_path / "libs.csv").write_text(f"{lib_hash},net.lib.core\n")
     (tmp_path / "apks.csv").write_text(f"{apps['com.third']}---{lib_hash}\n{apps['com.first']}---{lib_hash}\n")
     main(["STORE", at("profile"), at("found"), "--libs", at("libs.csv"), "--apps", at("apks.csv")])
-    assert [tuple(r) for r in spark.read.parquet(at("found")).collect()] == [(lib_hash, apps["com.first"])]
+    assert [tuple(r) for r in read_provenance(spark, at("found")).collect()] == [(lib_hash, apps["com.first"])]
     main(["INDEX", at("profile"), at("index"), "--libs", at("libs.csv"), "--found", at("found")])
     main(["MATCH", at("profile"), at("report"), "--index", at("index")])
     found = {(r.app_id, r.value) for r in spark.read.text(at("report")).collect()}
     assert {a for a, _ in found} == {apps["com.first"], apps["com.second"]}
     assert all(line.endswith("---->net.lib.core") for _, line in found)
-    main(["CLUSTER", at("profile"), at("units")])
-    assert spark.read.parquet(at("units")).filter(f"unit_hash = '{lib_hash}'").count() == 2
+    for _ in range(2):
+        main(["CLUSTER", at("profile"), at("units"), "--run", "one", "--state", at("state")])
+    assert read_unit_hashes(spark, at("units")).filter(f"unit_hash = '{lib_hash}'").count() == 2
+    assert [r.n for r in UnitState(spark, at("state")).counts().filter(f"unit_hash = '{lib_hash}'").collect()] == [2]
 
 
 def test_cluster_by_plain_loops(spark, sf_dir):
