@@ -69,3 +69,29 @@ def test_an_index_for_one_call_goes_with_it(spark, odd):
     before = {t.name for t in spark.catalog.listTables()}
     exact.exact_dedup(odd).collect()
     assert {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_a_batch_twice_changes_nothing(spark):
+    rows = [(1, "a"), (2, "a"), (3, "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    index = exact.DigestIndex(spark, buckets=4)
+    first = sorted(map(tuple, exact.exact_dedup(docs, index, "one").collect()))
+    assert sorted(map(tuple, exact.exact_dedup(docs, index, "one").collect())) == first
+    assert {r[2] for r in first} == {1, 2}
+    # a batch that was added in part before it broke
+    more = spark.createDataFrame([(4, "b"), (5, "c"), (6, "c")], "doc_id long, text string")
+    index.add(exact._digests(more.filter("doc_id = 4"), None), "two")
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact.exact_dedup(more, index, "two").collect()}
+    assert got == {4: (3, 2, False), 5: (5, 2, True), 6: (5, 2, False)}
+    index.drop()
+
+
+def test_an_own_index_is_filled_in_ranges(spark, odd, monkeypatch):
+    """Later ranges meet an index that is not empty, and the result is that of one batch."""
+    added = []
+    plain = exact.DigestIndex.add
+    monkeypatch.setattr(exact.DigestIndex, "add", lambda self, digests, batch=None: (added.append((self.rows().count(), digests.count())), plain(self, digests, batch))[1])
+    got = sorted(map(str, exact.exact_dedup(odd).collect()))
+    assert [n for _, n in added] != [odd.count()] and sum(n for _, n in added) == odd.count() and added[-1][0] > 0
+    monkeypatch.setattr(exact, "BATCHES", 1)
+    assert sorted(map(str, exact.exact_dedup(odd).collect())) == got
