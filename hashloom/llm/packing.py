@@ -118,7 +118,7 @@ def ranked(text: bytes, pattern: str) -> tiktoken.Encoding:
 
 
 #: Maximal runs of white space that are split by hand, as the splitter keeps a state for each of their characters.
-LONG_RUN = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{10000,}")
+LONG_RUN = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{64,}")
 
 
 def encode_text(own: tiktoken.Encoding, text: str) -> list[int]:
@@ -175,15 +175,15 @@ def pack(docs: DataFrame, tokenize: Callable[[list[str]], list[np.ndarray]], end
     return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PACKED)
 
 
-FLAT = "shard long, first_pack long, n_rows int, matrix binary, segments array<int>, cu_seqlens array<int>, doc_ids array<long>, doc_starts array<long>"
+FLAT = "shard long, first_pack long, n_rows int, matrix binary, segments array<int>, cu_seqlens array<int>, position_resets array<int>, doc_ids array<long>, doc_starts array<long>"
 
 
 def flat(packed: DataFrame) -> DataFrame:
     """FLAT rows of packed rows: adjoining packs of a shard as one matrix of ids, row after row.
 
-    segments counts the segments of each row; cu_seqlens, doc_ids and
-    doc_starts follow each other for all rows, cu_seqlens with one more value
-    a row than it has segments. A matrix is a shard's at most; one that a
+    segments counts the segments of each row; cu_seqlens, position_resets,
+    doc_ids and doc_starts follow each other for all rows, cu_seqlens with one
+    more value a row than it has segments. A matrix is a shard's at most; one that a
     partition boundary cuts comes in two.
     """
 
@@ -192,8 +192,8 @@ def flat(packed: DataFrame) -> DataFrame:
 
         def made() -> pa.RecordBatch:
             joined = lambda name: [x for r in held for x in r[name]]
-            row = (held[0]["shard"], held[0]["pack"], len(held), b"".join(r["ids"] for r in held), [len(r["doc_ids"]) for r in held], joined("cu_seqlens"), joined("doc_ids"), joined("doc_starts"))
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            row = (held[0]["shard"], held[0]["pack"], len(held), b"".join(r["ids"] for r in held), [len(r["doc_ids"]) for r in held], joined("cu_seqlens"), joined("position_resets"), joined("doc_ids"), joined("doc_starts"))
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()))
             return pa.record_batch([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], [x.split()[0] for x in FLAT.split(", ")])
 
         for batch in batches:
@@ -208,15 +208,15 @@ def flat(packed: DataFrame) -> DataFrame:
     return packed.mapInArrow(run, FLAT)
 
 
-def unflat(row, length: int, dtype: str) -> list[tuple[np.ndarray, list[int], list[int | None], list[int]]]:
-    """(ids, cu_seqlens, doc_ids, doc_starts) of each packed row of a FLAT row."""
+def unflat(row, length: int, dtype: str) -> list[tuple[np.ndarray, list[int], list[int], list[int | None], list[int]]]:
+    """(ids, cu_seqlens, position_resets, doc_ids, doc_starts) of each packed row of a FLAT row."""
     ids, out, at = np.frombuffer(bytes(row.matrix), dtype).reshape(row.n_rows, length), [], 0
     for k, n in enumerate(row.segments):
-        out.append((ids[k], row.cu_seqlens[at + k : at + k + n + 1], row.doc_ids[at : at + n], row.doc_starts[at : at + n]))
+        out.append((ids[k], row.cu_seqlens[at + k : at + k + n + 1], row.position_resets[at : at + n], row.doc_ids[at : at + n], row.doc_starts[at : at + n]))
         at += n
     return out
 
 
 def write_packed(packed: DataFrame, path: str) -> None:
-    """A Parquet folder of flat id matrices with their segments (FLAT)."""
+    """A Parquet folder of flat id matrices with their segments and position resets (FLAT)."""
     flat(packed).write.mode("overwrite").parquet(path)

@@ -1,5 +1,7 @@
 """Lossless packing."""
 
+import time
+
 import numpy as np
 import public_tokenizers
 import pytest
@@ -71,7 +73,7 @@ def test_long_runs():
     rng, path = np.random.default_rng(4), public_tokenizers.path("byte_bpe_50k.tiktoken")
     with open(path, "rb") as f:
         own = packing.ranked(f.read(), public_tokenizers.PATTERN)
-    for n in (9_999, 10_000, 10_001, 20_000):  # the same as the tokenizer, where that can do it
+    for n in (63, 64, 65, 9_999, 10_000, 10_001, 20_000):  # the same as the tokenizer, where that can do it
         for kind in (" ", "\n", "　", "\n ", "\x1c"):
             for before, after in (("", ""), ("a", ""), ("", "b"), ("a'", "'s b"), (" . ", "1"), ("a", "\x1cb")):
                 t = before + kind * n + after
@@ -81,11 +83,22 @@ def test_long_runs():
         assert own.decode(packing.encode_text(own, t)) == t
 
 
+def test_many_runs_take_time_in_proportion():
+    """1 MB of runs that are long, but not very long."""
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        own = packing.ranked(f.read(), public_tokenizers.PATTERN)
+    for n in (60, 70, 500, 9_999):
+        t = ("x" + " " * n) * (1_000_000 // n)
+        began = time.process_time()
+        assert own.decode(packing.encode_text(own, t)) == t
+        assert time.process_time() - began < 1.5, n
+
+
 def test_flat_matrices_come_back(spark, documents, tmp_path):
     tokenize, end = packing.rank_file(documents, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     packed = packing.pack(documents, tokenize, end, 256, 10_000)
     packing.write_packed(packed, str(tmp_path / "packed"))
     rows = spark.read.parquet(str(tmp_path / "packed")).collect()
-    got = {(r.shard, r.first_pack + k): (ids.tobytes(), cu, ids_of, starts) for r in rows for k, (ids, cu, ids_of, starts) in enumerate(packing.unflat(r, 256, "<u2"))}
-    assert got == {(r.shard, r.pack): (bytes(r.ids), r.cu_seqlens, r.doc_ids, r.doc_starts) for r in packed.collect()}
+    got = {(r.shard, r.first_pack + k): (ids.tobytes(), cu, resets, ids_of, starts) for r in rows for k, (ids, cu, resets, ids_of, starts) in enumerate(packing.unflat(r, 256, "<u2"))}
+    assert got == {(r.shard, r.pack): (bytes(r.ids), r.cu_seqlens, r.position_resets, r.doc_ids, r.doc_starts) for r in packed.collect()}
     assert len(rows) < len(got)
