@@ -9,8 +9,8 @@ it. Texts are cut at white space, and each distinct piece is encoded once.
 Defined cases: a null text is empty and has no ids; the two added tokens are
 recognised in texts, as the library does by default; ids that the vocabulary
 lacks decode to nothing; repeated rows are encoded alike; an empty table gives
-an empty table; other columns of the input are ignored. Characters that later
-editions of Unicode than the library's made letters count as letters here.
+an empty table; other columns of the input are ignored. Letters, numbers
+and lower case are those of the edition of Unicode that the library has.
 """
 
 from __future__ import annotations
@@ -27,6 +27,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
+from tokenizers import Regex
+from tokenizers.normalizers import Lowercase
+from tokenizers.pre_tokenizers import Split
 
 from ..storage import small_batches
 from .shingles import chunks
@@ -38,7 +41,7 @@ ENTRY, LONGEST = 200, 64
 #: Pairs of tokens whose meeting a task remembers.
 MEETINGS = 200_000
 # What the vocabulary's file names as its splitting of words, and white space.
-WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}--STRAYS]+|[\p{N}--STRAYS]|[[^\s\p{L}\p{N}]||STRAYS]+"
 ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 SPACES = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 NOT_SPACES = re.compile("[\x1c-\x1f]")
@@ -197,14 +200,30 @@ def vocabulary(text: str) -> Vocabulary:
     return Vocabulary(text)
 
 
+@lru_cache(1)
+def splitting() -> regex.Pattern:
+    """WORDS by the edition of Unicode that the library has: what is a letter or a number in a later one only is neither."""
+    known = "".join(regex.findall(r"[\p{L}\p{N}]", "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))))
+    strays = "".join(w for w, _ in Split(Regex(r"[\p{L}\p{N}]+"), "removed").pre_tokenize_str(known))
+    own = "[" + "".join(map(regex.escape, strays or "\0")) + "]"  # a zero is no letter anyway
+    return regex.compile(WORDS.replace("STRAYS", own), regex.V1)
+
+
+@lru_cache(1)
+def lowered() -> dict[int, str]:
+    """Lower-case letters that the library knows and Python does not."""
+    new = [c for c in regex.findall(r"\p{Lu}", "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))) if unicodedata.category(c) == "Cn"]
+    return {ord(c): low for c, low in zip(new, Lowercase().normalize_str(" ".join(new)).split(" "), strict=True) if low != c} if new else {}
+
+
 def words_of(piece: str) -> list[bytes]:
     """The words of a piece without white space, in the vocabulary's normal form."""
     if piece.isascii():
         piece = piece.lower()
         return [piece.encode()] if piece.isalpha() else [w.encode() for w in ASCII_WORDS.findall(piece)]
     piece = unicodedata.normalize("NFC", piece)
-    piece = "".join(c.lower() for c in piece) if "Σ" in piece else piece.lower()
-    return [w.encode() for w in WORDS.findall(piece)]
+    piece = ("".join(c.lower() for c in piece) if "Σ" in piece else piece.lower()).translate(lowered())
+    return [w.encode() for w in splitting().findall(piece)]
 
 
 def pieces_of(text: str) -> list[str]:
