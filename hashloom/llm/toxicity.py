@@ -167,8 +167,7 @@ def _sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, swapped: float = SWAPS, most: int = LABELLED) -> Model:
     """The model learned from docs (doc_id, text) and labels (doc_id, toxic)."""
-    h = F.pmod(F.xxhash64("text", "k"), F.lit(1 << 30))
-    known = materialize(_sample(docs, labels, most).orderBy(h, "k", "y").limit(most), "labelled")
+    known = materialize(_sample(docs, labels, most), "labelled")
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,7 +202,7 @@ def train(docs: DataFrame, labels: DataFrame, swapped: float = SWAPS, most: int
         model = Model(shared.value, np.zeros(1))
         for batch in batches:
             for part in chunks(batch, "text"):
-                yield pa.record_batch([part.column("y"), *packed(*model.rows(part.column("text")), part.num_rows)], ["y", "columns", "values"])
+                yield pa.record_batch([part.column("k"), part.column("y"), *packed(*model.rows(part.column("text")), part.num_rows)], ["k", "y", "columns", "values"])
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(shared.value, np.zeros(1))
@@ -215,10 +214,10 @@ def train(docs: DataFrame, labels: DataFrame, swapped: float = SWAPS, most: int
                     value = np.where(text % 2, -value, value)
                     yield pa.record_batch([pa.array([a + "\n" + b for a, b in found]), *packed(text // 2, column, value, len(found))], ["s", "columns", "values"])
 
-    got = known.mapInArrow(rows, "y int, columns binary, values binary").collect()
+    # no more than the sample, also where ids repeat
+    got = known.mapInArrow(rows, "k long, y int, columns binary, values binary").orderBy(F.xxhash64("k"), "k", "y", "columns", "values").limit(most).collect()
     told = known.mapInArrow(pairs, "s string, columns binary, values binary").filter("length(columns) > 0").orderBy(F.xxhash64("s"), "s").limit(PAIRS).drop("s").collect()
     sparse = lambda r: (np.repeat(np.arange(len(r)), [len(x.columns) // 4 for x in r]), np.frombuffer(b"".join(bytes(x.columns) for x in r), np.int32), np.frombuffer(b"".join(bytes(x["values"]) for x in r)))
-    got.sort(key=lambda r: (r.y, bytes(r.columns), bytes(r["values"])))  # the same sums in every run
     return Model(features, fit(2 * len(features), *sparse(got), np.array([float(r.y) for r in got]), *sparse(told), swapped=swapped))
 
 
