@@ -17,13 +17,18 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from ..functions.names import dotted
 from . import manifest
 from .bytecode import DEX, NONE, ODEX, Dex  # noqa: F401
+from .classfile import ClassFile
 from .lists import files
 
 CODE = "array<struct<pc:int,opcode:string,kind:string,ref_class:string,arg_types:array<string>,field_type:string>>"
 METHODS = f"array<struct<method_idx:int,name:string,access_flags:int,param_types:array<string>,return_type:string,code:{CODE}>>"
-SCANNED = f"path string, app_id string, entry string, class_desc string, super_desc string, access_flags int, source_file string, methods {METHODS}, error string"
+FIELDS = "array<struct<name:string,type:string,access_flags:int>>"
+SCANNED = f"path string, app_id string, entry string, class_desc string, super_desc string, access_flags int, source_file string, interfaces array<string>, fields {FIELDS}, methods {METHODS}, error string"
+# Fixed value: the flag of interfaces.
+INTERFACE = 0x200
 #: Classes that go to Spark at once.
 CLASSES_AT_ONCE = 200
 
@@ -33,24 +38,38 @@ def dex_classes(data: bytes) -> list[tuple[str, str | None, int, str | None]]:
     return [c[:4] for c in Dex(data).classes()]
 
 
+def entry_names(z: zipfile.ZipFile) -> list[str]:
+    """The entries of an archive that hold classes: dex files at its root, and class files, in order."""
+    names = sorted(z.namelist())
+    of_class = [n for n in names if n.endswith(".class") and not n.endswith("module-info.class") and not n.startswith("META-INF/")]
+    return [n for n in names if n.endswith(".dex") and "/" not in n] + of_class
+
+
+def dex_entry(data: bytes, code: bool, wanted: set[str] | None = None) -> Iterator[dict]:
+    """The classes of a dex file, or those that are wanted, with their methods on demand."""
+    dex = Dex(data)
+    for cls, above, flags, source, members, interfaces in dex.classes():
+        if wanted is None or cls in wanted:
+            yield {"class_desc": cls, "super_desc": above, "access_flags": flags, "source_file": source, "interfaces": interfaces, "methods": dex.class_methods(members) if code else None}
+
+
 def archive_classes(content: bytes, code: bool = False) -> Iterator[dict]:
-    """The classes of an app package, a jar or a dex file, with their methods on demand; of two classes with one name the first stays."""
+    """The classes of an app package, a jar or a dex file, with their methods on demand; of two classes with one name the first stays.
+
+    An empty class file stands for a class of the entry's name.
+    """
     seen: set[str] = set()
-    if content[:4] in (DEX, ODEX):
-        entries, z = [""], None
-    else:
-        z = zipfile.ZipFile(io.BytesIO(content))
-        names = sorted(z.namelist())
-        entries = [n for n in names if n.endswith(".dex") and "/" not in n]
-        for n in names:
-            if n.endswith(".class"):
-                yield {"entry": n, "class_desc": f"L{n[: -len('.class')]};", "access_flags": 0}
-    for entry in entries:
-        dex = Dex(z.read(entry) if z else content)
-        for cls, above, flags, source, members in dex.classes():
-            if cls not in seen:
-                seen.add(cls)
-                yield {"entry": entry, "class_desc": cls, "super_desc": above, "access_flags": flags, "source_file": source, "methods": dex.class_methods(members) if code else None}
+    z = None if content[:4] in (DEX, ODEX) else zipfile.ZipFile(io.BytesIO(content))
+    for entry in entry_names(z) if z else [""]:
+        data = z.read(entry) if z else content
+        if entry.endswith(".class"):
+            rows = [ClassFile(data).row(code) if data else {"class_desc": f"L{entry[: -len('.class')]};", "access_flags": 0}]
+        else:
+            rows = dex_entry(data, code)
+        for row in rows:
+            if row["class_desc"] not in seen:
+                seen.add(row["class_desc"])
+                yield {"entry": entry} | row
 
 
 def scan(spark: SparkSession, path: str, suffix: str = ".apk", deep: bool = False, code: bool = False) -> DataFrame:
@@ -78,7 +97,7 @@ def scan(spark: SparkSession, path: str, suffix: str = ".apk", deep: bool = Fals
 
 def classes(spark: SparkSession, path: str, suffix: str = ".apk", deep: bool = False) -> DataFrame:
     """path, app_id, entry, class_desc, super_desc, access_flags, source_file of the archives that can be read."""
-    return scan(spark, path, suffix, deep).filter("error IS NULL").drop("methods", "error")
+    return scan(spark, path, suffix, deep).filter("error IS NULL").drop("interfaces", "fields", "methods", "error")
 
 
 def failures(scanned: DataFrame) -> DataFrame:
@@ -104,6 +123,16 @@ def decoded_apps(spark: SparkSession, path: str, framework: DataFrame, suffix: s
     return {"apps": apps, "classes": own.dropDuplicates(["app_id", "class_desc"]), "methods": methods(scanned).dropDuplicates(["app_id", "class_desc", "method_idx"]), "framework_types": framework}
 
 
+def hierarchy(scanned: DataFrame) -> DataFrame:
+    """type_name, super_name, is_interface of scanned classes: a row for the super and for each interface, dotted (CH-01).
+
+    A type without either has one row, with a null.
+    """
+    above = F.array_compact(F.concat(F.array("super_desc"), F.coalesce("interfaces", F.array().cast("array<string>"))))
+    rows = scanned.filter("error IS NULL").select(dotted(F.col("class_desc")).alias("type_name"), (F.col("access_flags").bitwiseAND(INTERFACE) != 0).alias("is_interface"), F.explode_outer(above).alias("up"))
+    return rows.select("type_name", dotted(F.col("up")).alias("super_name"), "is_interface").distinct()
+
+
 def framework_types(spark: SparkSession, path: str, suffix: str = ".jar") -> DataFrame:
     """type_desc of all classes of framework archives (SRC-05, SRC-19)."""
     return classes(spark, path, suffix, deep=True).select(F.col("class_desc").alias("type_desc")).distinct()

@@ -298,10 +298,10 @@ class Dex:
         n = struct.unpack_from("<I", self.data, at)[0] if at else 0
         return [self.types[i] for i in struct.unpack_from(f"<{n}H", self.data, at + 4)] if n else []
 
-    def classes(self) -> Iterator[tuple[str, str | None, int, str | None, int]]:
-        """(descriptor, super, flags, source file, offset of the class's data) of each definition."""
-        for cls, flags, above, _, source, _, members, _ in self._section(96, "<8I"):
-            yield self.types[cls], None if above == NONE else self.types[above], flags, None if source == NONE else self.strings[source], members
+    def classes(self) -> Iterator[tuple[str, str | None, int, str | None, int, list[str]]]:
+        """(descriptor, super, flags, source file, offset of the class's data, interfaces) of each definition."""
+        for cls, flags, above, interfaces, source, _, members, _ in self._section(96, "<8I"):
+            yield self.types[cls], None if above == NONE else self.types[above], flags, None if source == NONE else self.strings[source], members, self._type_list(interfaces)
 
     def declared(self, members: int) -> Iterator[tuple[int, int, int]]:
         """(method id, flags, offset of the code or 0) of the methods in a class's data."""
