@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..storage import check_warehouse
 
 
 def build_index(nodes: dict[str, DataFrame], libs: DataFrame) -> dict[str, DataFrame]:
@@ -37,6 +39,34 @@ def read_index(spark, path: str) -> dict[str, DataFrame]:
     return {n: spark.read.parquet(f"{path}/{n}") for n in names}
 
 
+#: What the tables of a bucketed index are dealt and sorted by.
+BUCKETED = {"index_package": "hash", "index_class": "hash", "index_method": "hash", "lib_classes": "lib_hash", "class_methods": "class_key", "libs": "lib_hash"}
+
+
+def save_index(index: dict[str, DataFrame], name: str, buckets: int = 64) -> None:
+    """The index as tables of the warehouse, `name_table` each, in place of those there (SRC-18).
+
+    Postings are bucketed and sorted by hash, all levels into as many buckets,
+    so that a join with them shuffles the rows of apps only, once for rows
+    that are bucketed alike. Bloom filters of the key in the files' footers
+    leave out files and row groups where single hashes are looked up.
+    """
+    for table, key in BUCKETED.items():
+        df = index[table]
+        check_warehouse(df.sparkSession)
+        rows = df.repartition(buckets, key)  # one file a bucket
+        rows.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).option(f"parquet.bloom.filter.enabled#{key}", "true").saveAsTable(f"{name}_{table}")
+
+
+def load_index(spark: SparkSession, name: str) -> dict[str, DataFrame]:
+    return {table: spark.table(f"{name}_{table}") for table in BUCKETED}
+
+
+def postings_of(index: dict[str, DataFrame], level: str, hashes: list[str]) -> DataFrame:
+    """hash, lib_hash of some hashes: a point read that the buckets and the Bloom filters narrow."""
+    return index[f"index_{level}"].filter(F.col("hash").isin(hashes))
+
+
 def apps_of_units(units: DataFrame) -> DataFrame:
     """unit_hash, apps (sorted), n_apps (AGG-09, AGG-10)."""
     return units.groupBy("unit_hash").agg(F.sort_array(F.collect_list("app_id")).alias("apps"), F.count("*").alias("n_apps"))

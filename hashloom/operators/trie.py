@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import names as nm
 from ..functions.hashes import of_children
-from ..storage import materialize
+from ..storage import materialize, sized
 from .filters import is_top_level
 
 
@@ -65,6 +65,65 @@ def shapes(trie: DataFrame, group: tuple[str, ...] = ()) -> DataFrame:
     return merkle_trie(leaf, group, own_hash=None).withColumnRenamed("node_hash", "shape")
 
 
+def dominated(trie: DataFrame, pattern: DataFrame) -> DataFrame:
+    """prefix, node: pairs of a trie's node and a pattern's node that it matches by structure (TR-05).
+
+    Both are tries of one group (prefix, parent, depth). A node matches if it
+    has at least as many children and as many childless children, and if
+    either all children on both sides are childless and equal in number, or
+    each of the pattern's children is matched by one of its own; childless
+    nodes match childless ones only. Levels go up from the pattern's deepest.
+    """
+
+    def counted(t: DataFrame, name: str) -> DataFrame:
+        t = t.select(F.col("prefix").alias(name), F.col("parent").alias("up"), "depth")
+        inner = t.select(F.col("up").alias(name)).distinct()
+        leaf = t.join(inner.withColumn("inner", F.lit(True)), name, "left").withColumn("leaf", F.col("inner").isNull())
+        sizes = leaf.groupBy(F.col("up").alias(name)).agg(F.count("*").alias("children"), F.count_if("leaf").alias("leaves"))
+        rows = leaf.join(sizes, name, "left").select(name, F.col("up").alias(f"{name}_up"), F.col("depth").alias(f"{name}_depth"), *[F.coalesce(c, F.lit(0)).alias(f"{name}_{c}") for c in ("children", "leaves")])
+        return materialize(rows, "counted")
+
+    g, t = counted(trie, "g"), sized(counted(pattern, "t"))
+    fits = (F.col("g_children") >= F.col("t_children")) & (F.col("g_leaves") >= F.col("t_leaves"))
+    flat = (F.col("g_children") == F.col("t_children")) & (F.col("g_leaves") == F.col("t_leaves")) & (F.col("g_children") == F.col("g_leaves"))
+    out, below = None, None
+    for level in range(t.agg(F.max("t_depth")).first()[0] or 0, 0, -1):
+        # a pattern's level is matched against all depths of the trie, by counts
+        here = t.filter(F.col("t_depth") == level)
+        pairs = g.join(here, fits)
+        done = pairs.filter(flat).select("g", "g_up", "t", "t_up")
+        if below is not None:
+            hits = below.select(F.col("g_up").alias("g"), F.col("t_up").alias("t"), F.col("t").alias("child")).distinct().groupBy("g", "t").agg(F.count("*").alias("hits"))
+            more = pairs.filter(~flat & (F.col("t_children") > 0)).join(hits, ["g", "t"]).filter(F.col("hits") == F.col("t_children"))
+            done = done.unionByName(more.select("g", "g_up", "t", "t_up"))
+        below = materialize(done, "dominated")
+        out = below if out is None else out.unionByName(below)
+    empty = trie.sparkSession.createDataFrame([], "prefix string, node string")
+    return empty if out is None else out.select(F.col("g").alias("prefix"), F.col("t").alias("node"))
+
+
+def structural_matches(trie: DataFrame, pattern: DataFrame) -> DataFrame:
+    """prefix, round: subtrees of a trie that match a pattern with one root, none inside another (TR-05).
+
+    A round takes the matching nodes that no other matching node lies above,
+    and leaves out what overlaps with what was taken, until none is left:
+    as subtrees overlap only where one holds the other, the first round takes
+    all, and the highest match wins.
+    """
+    root = pattern.filter("depth = 1").select(F.col("prefix").alias("node"))
+    left = materialize(dominated(trie, pattern).join(F.broadcast(root), "node", "left_semi").select("prefix").distinct(), "matches")
+    out, k = left.limit(0).withColumn("round", F.lit(0)), 0
+    while not left.isEmpty():
+        k += 1
+        above = left.select("prefix", F.explode(nm.prefixes(F.col("prefix"))).alias("up")).filter("up <> prefix")
+        inside = materialize(above.join(left.select(F.col("prefix").alias("up")), "up", "left_semi").select("prefix").distinct(), "inside")
+        taken = left.join(inside, "prefix", "left_anti")
+        out = out.unionByName(taken.withColumn("round", F.lit(k)))
+        held = above.join(taken.select(F.col("prefix").alias("up")), "up", "left_semi").select("prefix").distinct()
+        left = materialize(left.join(taken, "prefix", "left_anti").join(held, "prefix", "left_anti"), "matches")
+    return out
+
+
 def merkle_trie(trie: DataFrame, group: tuple[str, ...] = (), own_hash: str | None = "hash") -> DataFrame:
     """group, prefix, node_hash: bottom-up digests of trees (AGG-22, TR-06).
 
