@@ -240,3 +240,64 @@ def prj04_method_hashes(spark, sf_dir):
 def fn23_percentages(spark, sf_dir):
     """Shares of 32 and 64, which are exact; of nothing there is none."""
     return read(spark, sf_dir, "orders").select("o_orderkey", rp.percentage(F.col("o_custkey"), F.col("o_orderkey") % 3 * 32).alias("percentage"))
+
+
+@_query(f"""WITH {_TRIE}, leaf AS (SELECT prefix, parent FROM trie WHERE prefix NOT IN (SELECT parent FROM trie)),
+hit AS (SELECT parent AS prefix FROM leaf WHERE parent <> '' GROUP BY parent HAVING count(*) >= 2)
+SELECT prefix FROM hit WHERE NOT EXISTS (SELECT 1 FROM hit above WHERE starts_with(hit.prefix, above.prefix || '.'))""")
+def tr05_structural_matches(spark, sf_dir):
+    """Where the tree of page names has the structure of a node with two childless children."""
+    pattern = tr.build(spark.sql("SELECT * FROM VALUES ('p.a'), ('p.b') AS t(name)"))
+    return tr.structural_matches(tr.build(page_names(spark, sf_dir)), pattern).select("prefix")
+
+
+def _trading_types(spark, sf_dir):
+    """Suppliers as types below their nations and regions, customers as types alone; what they ship and buy as methods.
+
+    A customer's buy makes the suppliers of its order lines and has its region
+    ship; a supplier's ship, its own or else its nation's, makes the customers
+    of its returned lines, and has them buy. Entry is the first customer who
+    orders.
+    """
+    li, o, s, c, n = (read(spark, sf_dir, t) for t in ("lineitem", "orders", "supplier", "customer", "nation"))
+    of = lambda letter, key: F.concat(F.lit(letter), F.col(key).cast("string"))
+    types = s.select(of("s", "s_suppkey").alias("type_name"), of("n", "s_nationkey").alias("super_name")).union(n.select(of("n", "n_nationkey"), of("r", "n_regionkey"))).union(c.select(of("c", "c_custkey"), F.lit(None).cast("string")))
+    ships = F.concat(F.when(F.col("s_suppkey") % 3 != 0, of("s", "s_suppkey")).otherwise(of("n", "s_nationkey")), F.lit(".ship"))
+    dispatch = s.select(of("s", "s_suppkey").alias("type_name"), F.lit("ship").alias("selector"), ships.alias("target"))
+    dispatch = dispatch.union(n.select(of("n", "n_nationkey"), F.lit("ship"), F.concat(of("n", "n_nationkey"), F.lit(".ship")))).union(c.select(of("c", "c_custkey"), F.lit("buy"), F.concat(of("c", "c_custkey"), F.lit(".buy"))))
+    lines = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "l_suppkey", "l_returnflag").distinct()
+    back = lines.filter("l_returnflag = 'R'").join(s, F.col("l_suppkey") == F.col("s_suppkey"))
+    buys = F.concat(of("c", "o_custkey"), F.lit(".buy"))
+    home = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_regionkey")
+    calls = lines.select("o_custkey").distinct().join(home, F.col("o_custkey") == F.col("c_custkey")).select(buys.alias("method"), of("r", "n_regionkey").alias("receiver"), F.lit("ship").alias("selector"))
+    calls = calls.union(back.select(ships, of("c", "o_custkey"), F.lit("buy"))).distinct()
+    news = lines.select(buys.alias("method"), of("s", "l_suppkey").alias("type_name")).union(back.select(ships, of("c", "o_custkey"))).distinct()
+    entries = o.agg(F.concat(F.lit("c"), F.min("o_custkey").cast("string"), F.lit(".buy")).alias("method"))
+    reach = materialize(hi.closure(types).unionByName(c.select(of("c", "c_custkey").alias("type_name"), of("c", "c_custkey").alias("super_name"), F.lit(0).cast("long").alias("distance"))).distinct(), "types")
+    return entries, calls, dispatch, reach, news
+
+
+_SITES = """l AS (SELECT DISTINCT o_custkey AS c, l_suppkey AS s, l_returnflag AS f FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+ship AS (SELECT s_suppkey AS s, n_nationkey AS n, n_regionkey AS r, CASE WHEN s_suppkey % 3 <> 0 THEN 's' || s_suppkey ELSE 'n' || s_nationkey END || '.ship' AS m FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+runs AS (SELECT r, m FROM ship UNION SELECT n_regionkey, 'n' || n_nationkey || '.ship' FROM nation),
+sites AS (SELECT DISTINCT 'c' || c || '.buy' AS src, m AS dst FROM (SELECT DISTINCT c FROM l) JOIN customer ON c = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN runs ON r = n_regionkey
+  UNION SELECT DISTINCT m, 'c' || l.c || '.buy' FROM l JOIN ship USING (s) WHERE f = 'R')"""
+
+
+@_query(f"""WITH RECURSIVE {_SITES}, live AS (SELECT 'c' || min(o_custkey) || '.buy' AS m FROM orders UNION SELECT dst FROM live JOIN sites ON m = src)
+SELECT src, dst FROM sites WHERE src IN (SELECT m FROM live)""")
+def df06_calls_from_entries(spark, sf_dir):
+    """What the first customer who orders may set going, by types alone."""
+    from ..operators.flow import call_graph
+
+    return call_graph(*_trading_types(spark, sf_dir)[:4])
+
+
+def df07_calls_of_made_types(spark, sf_dir):
+    """The same with the types that are made on the way; SQL has no recursion of two kinds of facts."""
+    from ..operators.flow import call_graph
+
+    return call_graph(*_trading_types(spark, sf_dir))
+
+
+QUERIES["df07_calls_of_made_types"] = df07_calls_of_made_types
