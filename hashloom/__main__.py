@@ -23,13 +23,14 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--apps", help="list of apps and their libraries, for STORE")
     p.add_argument("--found", help="what STORE wrote, for INDEX")
     p.add_argument("--index", help="what INDEX wrote, for MATCH")
+    p.add_argument("--passes", nargs="*", choices=["class", "method"], default=[], help="passes over what MATCH leaves")
     p.add_argument("--run", help="name of the run, under which nothing is written twice, for PARSE, CLUSTER and STORE")
     p.add_argument("--state", help="folder that counts units over all runs, for CLUSTER with --run")
     a = p.parse_args(argv)
     if a.state and not a.run:
         p.error("--state needs --run")
     spark = SparkSession.builder.appName(f"hashloom {a.mode}").getOrCreate()
-    options = {"resume": a.resume, "run": a.run} | ({"state": a.state} if a.state else {})
+    options = {"resume": a.resume, "run": a.run, "passes": tuple(a.passes)} | ({"state": a.state} if a.state else {})
     if a.framework:
         options["tables"] = archives.decoded_apps(spark, a.source, archives.framework_types(spark, a.framework))
     if a.libs:

@@ -80,11 +80,12 @@ def containment(left: DataFrame, right: DataFrame, a: str, b: str, element: str,
     return both.withColumn("ratio", F.col("shared") / F.col("size")).filter(F.col("ratio") >= least).drop("size")
 
 
-def class_overlaps(candidates: DataFrame, units: DataFrame, nodes: dict[str, DataFrame], index: dict[str, DataFrame]) -> DataFrame:
+def class_overlaps(candidates: DataFrame, units: DataFrame, nodes: dict[str, DataFrame], index: dict[str, DataFrame], share: float = CLASS_SHARE, above: bool = False) -> DataFrame:
     """app_id, unit_id, lib_hash, package, class_name, class_key, shared: verified pairs of app and library classes.
 
     A library class qualifies with at least as many methods, and with the
-    simple hashes of CLASS_SHARE of the app class's methods; the share's
+    simple hashes of that share of the app class's methods, or of more than
+    that if above is set; the share's
     divisor counts all methods, its dividend those that candidate_method lets
     through.
     """
@@ -100,13 +101,27 @@ def class_overlaps(candidates: DataFrame, units: DataFrame, nodes: dict[str, Dat
     pairs = shared.join(n_own, cls).join(n_lib, "class_key").filter("n_lib >= n_own")
     mine = eligible.groupBy(*cls).agg(F.collect_list("simple_hash").alias("mine"))
     pairs = pairs.join(mine, cls).withColumn("both", F.size(F.filter("mine", lambda s: F.array_contains("simple", s))))
-    return pairs.filter(F.col("both") / F.col("n_own") >= CLASS_SHARE).select(*cls, "lib_hash", "class_key", "shared")
+    ratio = F.col("both") / F.col("n_own")
+    return pairs.filter(ratio > share if above else ratio >= share).select(*cls, "lib_hash", "class_key", "shared")
 
 
 REPORT = "app_id string, unit_id string, lib_hash string, name string, matched long, classes long, fully boolean"
 
 
+MATCHED = "app_id string, package string, class_name string"
+
+
 def report_app(rows: pd.DataFrame) -> pd.DataFrame:
+    """REPORT rows of one app."""
+    return _fold_app(rows)[0]
+
+
+def matched_app(rows: pd.DataFrame) -> pd.DataFrame:
+    """MATCHED rows of one app: the classes that its libraries have taken."""
+    return _fold_app(rows)[1]
+
+
+def _fold_app(rows: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
     """The libraries found in one app: a fold over its units, then its shortlist, in order.
 
     rows has kind, and by kind: unit (unit_id, package, class_name): a class of a
@@ -157,11 +172,17 @@ def report_app(rows: pd.DataFrame) -> pd.DataFrame:
                 out.append((rows.app_id.iloc[0], unit, c.lib_hash, c.name, matched, int(c.classes), len(checked) == len(packages)))
                 if packages and len(checked) / len(packages) >= UNIT_SHARE:
                     break
-    return pd.DataFrame(out, columns=[x.split()[0] for x in REPORT.split(", ")])
+    taken = [(rows.app_id.iloc[0], p, k) for p, k in sorted(done_classes)]
+    return pd.DataFrame(out, columns=[x.split()[0] for x in REPORT.split(", ")]), pd.DataFrame(taken, columns=[x.split()[0] for x in MATCHED.split(", ")])
 
 
 def match_apps(units: DataFrame, nodes: dict[str, DataFrame], index: dict[str, DataFrame]) -> DataFrame:
     """REPORT rows of all apps: votes and pairs are joins, the report a fold of each app."""
+    return _told(units, nodes, index).groupBy("app_id").applyInPandas(report_app, REPORT)
+
+
+def _told(units: DataFrame, nodes: dict[str, DataFrame], index: dict[str, DataFrame]) -> DataFrame:
+    """What the fold of an app goes by."""
     votes = unit_votes(units, nodes, index)
     n_classes = index["lib_classes"].groupBy("lib_hash").agg(F.count("*").alias("classes"))
     best = shortlist(votes, index["libs"], ["app_id", "unit_id"]).join(n_classes, "lib_hash")
@@ -178,7 +199,107 @@ def match_apps(units: DataFrame, nodes: dict[str, DataFrame], index: dict[str, D
     rows = tagged(c.drop("name"), "unit")
     for df, kind in ((hit, "package"), (class_hit, "class"), (class_overlaps(best, units, nodes, index), "pair"), (best, "candidate")):
         rows = rows.unionByName(tagged(df, kind))
-    return rows.groupBy("app_id").applyInPandas(report_app, REPORT)
+    return rows
+
+
+#: The global passes' least shares of a class and of a library: both have to be exceeded.
+GLOBAL_CLASS_SHARE, GLOBAL_LIB_SHARE = 0.9, 0.2
+FOUND = "found"
+GLOBAL = "app_id string, lib_hash string, name string, matched long, classes long, package string, class_name string"
+
+
+def global_app(rows: pd.DataFrame) -> pd.DataFrame:
+    """GLOBAL rows of one app in one pass: a row a class that a found library takes.
+
+    rows has kind, and by kind: hit (package, class_name, lib_hash), a class
+    whose hash libraries have; pair, a verified pair with shared; candidate:
+    name, rk, classes, and FOUND as class_key if its name was found before. A
+    class with hits counts for the libraries that it hits only. Once something
+    is found, a candidate is passed over if the name before it ends in its own.
+    """
+    by = {k: g for k, g in rows.groupby("kind")}
+    get = lambda k: by.get(k, rows.iloc[:0])
+    hits: dict[tuple[str, str], set[str]] = {}
+    for r in get("hit").itertuples():
+        hits.setdefault((r.package, r.class_name), set()).add(r.lib_hash)
+    pairs: dict[str, dict[tuple[str, str], list[str]]] = {}
+    for r in get("pair").sort_values(["shared", "class_key"], ascending=[False, True]).itertuples():
+        if (r.package, r.class_name) not in hits:
+            pairs.setdefault(r.lib_hash, {}).setdefault((r.package, r.class_name), []).append(r.class_key)
+    gone, out, name, once = set(), [], "", False
+    for c in get("candidate").sort_values("rk").itertuples():
+        if once and name.endswith(c.name):
+            continue
+        name, taken, mine = c.name, set(), []
+        if c.class_key == FOUND:
+            continue
+        for k in sorted({k for k, libs in hits.items() if c.lib_hash in libs} | set(pairs.get(c.lib_hash, ()))):
+            if k in gone:
+                continue
+            if k not in hits:
+                key = next((x for x in pairs[c.lib_hash][k] if x not in taken), None)
+                if key is None:
+                    continue
+                taken.add(key)
+            mine.append(k)
+        if c.classes and len(mine) / c.classes > GLOBAL_LIB_SHARE:
+            once = True
+            gone |= set(mine)
+            out += [(rows.app_id.iloc[0], c.lib_hash, c.name, len(mine), int(c.classes), p, k) for p, k in mine]
+    return pd.DataFrame(out, columns=[x.split()[0] for x in GLOBAL.split(", ")])
+
+
+def global_pass(level: str, taken: DataFrame, found: DataFrame, nodes: dict[str, DataFrame], index: dict[str, DataFrame]) -> DataFrame:
+    """GLOBAL rows of what libraries are found among the classes that nothing has taken yet (section 2.13 H).
+
+    level is class or method: which hashes vote, those of all classes with
+    more than one method, or of the methods of such classes that are neither
+    interfaces nor abstract. taken: (app_id, package, class_name); found:
+    (app_id, name), which are not looked for again.
+    """
+    cls = ["app_id", "package", "class_name"]
+    left = materialize(nodes["classes"].join(taken.select(*cls).distinct(), cls, "left_anti"), "left")
+    plain = left.filter(F.col("access_flags").bitwiseAND(0x600) == 0)
+    if level == "class":
+        votes = left.filter("n_methods > 1").join(index["index_class"], "hash").groupBy("app_id", "lib_hash").agg(F.sum("n_methods").alias("votes"))
+    else:
+        own = nodes["methods"].join(plain.filter("n_methods > 1").select(*cls), cls, "left_semi")
+        votes = own.join(index["index_method"], "hash").groupBy("app_id", "lib_hash").agg(F.count("*").alias("votes"))
+    n_classes = index["lib_classes"].groupBy("lib_hash").agg(F.count("*").alias("classes"))
+    known = found.select("app_id", "name").distinct().withColumn("class_key", F.lit(FOUND))
+    best = shortlist(votes, index["libs"], ["app_id"]).join(known, ["app_id", "name"], "left")
+    best = materialize(best.join(n_classes, "lib_hash", "left").withColumn("unit_id", F.lit("")), "best")
+    # all that is left of an app is one unit
+    units = plain.groupBy("app_id").agg(F.collect_set("package").alias("packages")).withColumn("unit_id", F.lit(""))
+    own = {"methods": nodes["methods"].join(plain.select(*cls), cls, "left_semi")}
+    pairs = class_overlaps(best.filter("class_key IS NULL").select("app_id", "unit_id", "lib_hash"), units, own, index, GLOBAL_CLASS_SHARE, above=True)
+    hits = plain.join(index["index_class"], "hash").select(*cls, "lib_hash").distinct()
+    columns = {"package": "string", "class_name": "string", "lib_hash": "string", "class_key": "string", "name": "string", "shared": "long", "rk": "int", "classes": "long"}
+
+    def tagged(df: DataFrame, kind: str) -> DataFrame:
+        return df.select("app_id", F.lit(kind).alias("kind"), *[(F.col(n) if n in df.columns else F.lit(None)).cast(t).alias(n) for n, t in columns.items()])
+
+    rows = tagged(hits, "hit").unionByName(tagged(pairs, "pair")).unionByName(tagged(best, "candidate"))
+    return rows.groupBy("app_id").applyInPandas(global_app, GLOBAL)
+
+
+def match_globally(units: DataFrame, nodes: dict[str, DataFrame], index: dict[str, DataFrame], passes: tuple[str, ...] = ("class", "method")) -> DataFrame:
+    """REPORT rows of match_apps, and those of the passes over what it leaves, whose unit_id is the pass's name in brackets.
+
+    Each pass leaves out the classes that those before have taken and the
+    names that they have found.
+    """
+    told = materialize(_told(units, nodes, index), "told")
+    report = materialize(told.groupBy("app_id").applyInPandas(report_app, REPORT), "report")
+    taken = materialize(told.groupBy("app_id").applyInPandas(matched_app, MATCHED), "taken")
+    for level in passes:
+        more = materialize(global_pass(level, taken, report, nodes, index), "global")
+        lines = more.groupBy("app_id", "lib_hash", "name", "matched", "classes").agg(F.lit(f"[{level}]").alias("unit_id"))
+        report = report.unionByName(lines.withColumn("fully", F.lit(False)).select(report.columns))
+        taken = taken.unionByName(more.select(*taken.columns))
+    return report
+
+
 
 
 def exact_units(unit_hashes: DataFrame, libs: DataFrame) -> DataFrame:

@@ -64,10 +64,10 @@ def library_profile(found: DataFrame, libs: DataFrame, profile: dict[str, DataFr
     return {n: take(n) for n in ("packages", "classes", "methods")}
 
 
-def match(profile: dict[str, DataFrame], index: dict[str, DataFrame], split=None, split_prefixes: tuple[str, ...] = ()) -> DataFrame:
-    """The libraries found in every app (MATCH)."""
+def match(profile: dict[str, DataFrame], index: dict[str, DataFrame], split=None, split_prefixes: tuple[str, ...] = (), passes: tuple[str, ...] = ()) -> DataFrame:
+    """The libraries found in every app (MATCH); passes, off by default, look among what is left of it (class, method)."""
     units = materialize(candidate_units(profile, split, split_prefixes), "units")
-    return mt.match_apps(units, profile, index)
+    return mt.match_globally(units, profile, index, passes) if passes else mt.match_apps(units, profile, index)
 
 
 def enrich(profile: dict[str, DataFrame], classes: DataFrame, apps: DataFrame) -> dict[str, DataFrame]:
@@ -83,7 +83,7 @@ def run(spark: SparkSession, mode: str, source: str, target: str, **options) ->
     Options: run, a name under which nothing is written twice, for PARSE,
     CLUSTER and STORE; tables in place of the source's and resume for PARSE;
     cumulative and state, a folder that counts units over all runs, for
-    CLUSTER; libs and candidates for STORE, libs and found for INDEX,
+    CLUSTER; passes for MATCH; libs and candidates for STORE, libs and found for INDEX,
     index for MATCH.
     """
     mode = mode.upper()
@@ -102,7 +102,7 @@ def run(spark: SparkSession, mode: str, source: str, target: str, **options) ->
         elif mode == "STORE":
             write_provenance(store(options["libs"], options["candidates"], profile), target, options.get("run"))
         elif mode == "MATCH":
-            write_report(match(profile, options["index"]), target)
+            write_report(match(profile, options["index"], passes=options.get("passes", ())), target)
         elif mode == "INDEX":
             if "found" in options:  # the libraries lie within apps
                 profile = library_profile(options["found"], options["libs"], profile)
