@@ -41,7 +41,9 @@ ENTRY, LONGEST = 200, 64
 #: Pairs of tokens whose meeting a task remembers.
 MEETINGS = 200_000
 # What the vocabulary's file names as its splitting of words, and white space.
-WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}--STRAYS]+|[\p{N}--STRAYS]|[[^\s\p{L}\p{N}]||STRAYS]+"
+WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: The same, where some letters and numbers (STRAYS) are neither.
+FEWER_LETTERS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}--STRAYS]+|[\p{N}--STRAYS]|[[^\s\p{L}\p{N}]||STRAYS]+"
 ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 SPACES = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 NOT_SPACES = re.compile("[\x1c-\x1f]")
@@ -201,19 +203,19 @@ def vocabulary(text: str) -> Vocabulary:
 
 
 @lru_cache(1)
-def splitting() -> regex.Pattern:
-    """WORDS by the edition of Unicode that the library has: what is a letter or a number in a later one only is neither."""
-    known = "".join(regex.findall(r"[\p{L}\p{N}]", "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))))
-    strays = "".join(w for w, _ in Split(Regex(r"[\p{L}\p{N}]+"), "removed").pre_tokenize_str(known))
-    own = "[" + "".join(map(regex.escape, strays or "\0")) + "]"  # a zero is no letter anyway
-    return regex.compile(WORDS.replace("STRAYS", own), regex.V1)
+def editions() -> tuple[frozenset[str], dict[int, str], regex.Pattern]:
+    """Where the library's edition of Unicode is another than that of WORDS or of Python.
 
-
-@lru_cache(1)
-def lowered() -> dict[int, str]:
-    """Lower-case letters that the library knows and Python does not."""
-    new = [c for c in regex.findall(r"\p{Lu}", "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))) if unicodedata.category(c) == "Cn"]
-    return {ord(c): low for c, low in zip(new, Lowercase().normalize_str(" ".join(new)).split(" "), strict=True) if low != c} if new else {}
+    Characters that one of them takes otherwise; lower-case letters that
+    Python does not know; and WORDS where letters and numbers of a later
+    edition only are neither.
+    """
+    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+    known = "".join(regex.findall(r"[\p{L}\p{N}]", every))
+    strays = "".join(w for w, _ in Split(Regex(r"[\p{L}\p{N}]+"), "removed").pre_tokenize_str(known)) or "\0"  # a zero is no letter anyway
+    new = [c for c in regex.findall(r"\p{Lu}", every) if unicodedata.category(c) == "Cn"]
+    lower = {ord(c): low for c, low in zip(new, Lowercase().normalize_str(" ".join(new)).split(" "), strict=True) if low != c} if new else {}
+    return frozenset(strays) | set(map(chr, lower)), lower, regex.compile(FEWER_LETTERS.replace("STRAYS", "[" + "".join(map(regex.escape, strays)) + "]"), regex.V1)
 
 
 def words_of(piece: str) -> list[bytes]:
@@ -222,8 +224,11 @@ def words_of(piece: str) -> list[bytes]:
         piece = piece.lower()
         return [piece.encode()] if piece.isalpha() else [w.encode() for w in ASCII_WORDS.findall(piece)]
     piece = unicodedata.normalize("NFC", piece)
-    piece = ("".join(c.lower() for c in piece) if "Σ" in piece else piece.lower()).translate(lowered())
-    return [w.encode() for w in splitting().findall(piece)]
+    piece = "".join(c.lower() for c in piece) if "Σ" in piece else piece.lower()
+    told_otherwise, lower, words = editions()
+    if not told_otherwise.isdisjoint(piece):
+        return [w.encode() for w in words.findall(piece.translate(lower))]
+    return [w.encode() for w in WORDS.findall(piece)]
 
 
 def pieces_of(text: str) -> list[str]:
