@@ -31,8 +31,8 @@ def trade(lines):
 def test_slice_and_pruned_calls(lines, spark, sf_dir):
     edges = trade(lines)
     want = flood(edges, -1)
-    assert {tuple(r) for r in QUERIES["df13_whole_forward_slice"](spark, sf_dir).collect()} == set(want.items())
-    got = [(r.src, r.dst) for r in QUERIES["df11_whole_pruned_calls"](spark, sf_dir).collect()]
+    assert {tuple(r) for r in QUERIES["df13_forward_slice"](spark, sf_dir).collect()} == set(want.items())
+    got = [(r.src, r.dst) for r in QUERIES["df11_pruned_calls"](spark, sf_dir).collect()]
     assert sorted(got) == sorted(e for e in edges if e[0] in want)
 
 
@@ -43,5 +43,5 @@ def test_every_line_enters_the_components(lines, spark, sf_dir):
     for node in sorted({a for a, _ in both}):
         if node not in want:
             want |= dict.fromkeys(flood(both, node), node[1])
-    got = QUERIES["gr04_whole_class_components"](spark, sf_dir).collect()
+    got = QUERIES["gr04_class_components"](spark, sf_dir).collect()
     assert sorted((r.app_id, r.class_name, r.component) for r in got) == sorted((*n, c) for n, c in want.items())
