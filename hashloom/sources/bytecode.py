@@ -247,10 +247,92 @@ def instructions() -> dict[int, tuple[str, int]]:
     return {int(op, 16): (name, int(units)) for op, name, units in map(str.split, OPCODES.split("\n")[1:-1])}
 
 
+# Opcodes that jump, that choose by a table, that end the flow, and beginnings of the names of those that may throw.
+GOTO, GOTO_16, GOTO_32, SWITCHES, TESTS = 0x28, 0x29, 0x2A, (0x2B, 0x2C), range(0x32, 0x3E)
+ENDS = frozenset((*range(0x0E, 0x12), 0x27, GOTO, GOTO_16, GOTO_32))
+MAY_THROW = ("const-string", "const-class", "monitor", "check-cast", "instance-of", "array-length", "new-", "filled-new-array", "throw", "aget", "aput", "iget", "iput", "sget", "sput", "invoke", "div-int", "rem-int", "div-long", "rem-long")
 CALLS = frozenset((*range(0x6E, 0x73), *range(0x74, 0x79)))
 READS = frozenset((*range(0x52, 0x59), *range(0x60, 0x67)))
 
 
+def sleb(data: bytes, at: int) -> tuple[int, int]:
+    """(value, end) of the signed variable-length number at an offset."""
+    begin = at
+    value, at = uleb(data, at)
+    bits = 7 * (at - begin)
+    return value - (1 << bits) if value >> (bits - 1) & 1 else value, at
+
+
+def _signed(low: int, high: int | None = None) -> int:
+    """A number of one 16-bit unit, or of two."""
+    value, bits = (low, 16) if high is None else (low | high << 16, 32)
+    return value - (1 << bits) if value >> (bits - 1) else value
+
+
+def handlers(data: bytes, at: int) -> list[tuple[int, int, list[int]]]:
+    """(first pc, pc behind the last, pcs of the handlers) of the tries of the code item at an offset."""
+    n_tries, n = struct.unpack_from("<H", data, at + 6)[0], struct.unpack_from("<I", data, at + 12)[0]
+    if not n_tries:
+        return []
+    tries = at + 16 + 2 * (n + n % 2)
+    lists, out = tries + 8 * n_tries, []
+    for i in range(n_tries):
+        begin, size, offset = struct.unpack_from("<IHH", data, tries + 8 * i)
+        many, where = sleb(data, lists + offset)
+        found = []
+        for _ in range(abs(many)):
+            _, where = uleb(data, where)
+            to, where = uleb(data, where)
+            found.append(to)
+        if many <= 0:
+            found.append(uleb(data, where)[0])
+        out.append((begin, begin + size, found))
+    return out
+
+
+def flow(data: bytes, at: int) -> list[dict]:
+    """The instructions of a code item as (pc, opcode, ends, targets, handlers): where each jumps to, and where it goes if it throws.
+
+    A switch jumps to what its table names, and goes on as well.
+    """
+    n = struct.unpack_from("<I", data, at + 12)[0]
+    units, tries, out = struct.unpack_from(f"<{n}H", data, at + 16), handlers(data, at), []
+    for pc, op, name in _walked(units):
+        if op == GOTO:
+            targets = [pc + (units[pc] >> 8) - (256 if units[pc] >> 15 else 0)]
+        elif op == GOTO_16 or op in TESTS:
+            targets = [pc + _signed(units[pc + 1])]
+        elif op == GOTO_32:
+            targets = [pc + _signed(units[pc + 1], units[pc + 2])]
+        elif op in SWITCHES:
+            table = pc + _signed(units[pc + 1], units[pc + 2])
+            size = units[table + 1]
+            first = table + (4 if units[table] == PACKED else 2 + 2 * size)
+            targets = [pc + _signed(units[first + 2 * k], units[first + 2 * k + 1]) for k in range(size)]
+        else:
+            targets = []
+        caught = [h for begin, end, own in tries if begin <= pc < end for h in own] if name.startswith(MAY_THROW) else []
+        out.append({"pc": pc, "opcode": name, "ends": op in ENDS, "targets": sorted(set(targets)), "handlers": sorted(set(caught))})
+    return out
+
+
+def _walked(units: tuple[int, ...]) -> Iterator[tuple[int, int, str]]:
+    """(pc, opcode, name) of each instruction; tables are none."""
+    known, pc = instructions(), 0
+    while pc < len(units):
+        unit = units[pc]
+        if unit in (PACKED, SPARSE):
+            pc += 4 + 2 * units[pc + 1] if unit == PACKED else 2 + 4 * units[pc + 1]
+        elif unit == VALUES:
+            pc += 4 + (units[pc + 1] * (units[pc + 2] | units[pc + 3] << 16) + 1) // 2
+        else:
+            op = unit & 0xFF
+            if op not in known:
+                raise ValueError(f"no opcode {op:#x}")
+            yield pc, op, known[op][0]
+            pc += known[op][1]
+
+
 def uleb(data: bytes, at: int) -> tuple[int, int]:
     """(value, end) of the variable-length number at an offset."""
     value = shift = 0
@@ -327,19 +409,8 @@ class Dex:
         if not at:
             return None
         n = struct.unpack_from("<I", self.data, at + 12)[0]
-        units, known, out, pc = struct.unpack_from(f"<{n}H", self.data, at + 16), instructions(), [], 0
-        while pc < n:
-            unit = units[pc]
-            if unit in (PACKED, SPARSE):
-                pc += 4 + 2 * units[pc + 1] if unit == PACKED else 2 + 4 * units[pc + 1]
-                continue
-            if unit == VALUES:
-                pc += 4 + (units[pc + 1] * (units[pc + 2] | units[pc + 3] << 16) + 1) // 2
-                continue
-            op = unit & 0xFF
-            if op not in known:
-                raise ValueError(f"no opcode {op:#x}")
-            name, length = known[op]
+        units, out = struct.unpack_from(f"<{n}H", self.data, at + 16), []
+        for pc, op, name in _walked(units):
             one = {"pc": pc, "opcode": name, "kind": "other", "ref_class": None, "arg_types": None, "field_type": None}
             if op in CALLS:
                 cls, proto, _ = self.methods[units[pc + 1]]
@@ -349,7 +420,6 @@ class Dex:
                 cls, kind = self.fields[units[pc + 1]]
                 one |= {"kind": "getfield", "ref_class": cls, "field_type": kind}
             out.append(one)
-            pc += length
         return out
 
     def class_methods(self, members: int) -> list[dict]:
@@ -360,3 +430,9 @@ class Dex:
             arguments, returned = self.protos[proto]
             out.append({"method_idx": i, "name": name, "access_flags": flags, "param_types": arguments, "return_type": returned, "code": self.code(at)})
         return out
+
+    def class_flows(self, members: int) -> Iterator[tuple[int, list[dict]]]:
+        """(number, flow) of the methods with code that a class declares."""
+        for i, (_, _, at) in enumerate(self.declared(members)):
+            if at:
+                yield i, flow(self.data, at)

@@ -150,3 +150,43 @@ def test_framework_types_in_the_expression_or_joined(spark, sf_dir, inline):
     rows = [tuple(r) for r in method_nodes(t["methods"], t["framework_types"], inline=inline).orderBy("class_desc", "method_idx").collect()]
     assert len(rows) == t["methods"].count()
     assert rows == [tuple(r) for r in method_nodes(t["methods"], t["framework_types"]).orderBy("class_desc", "method_idx").collect()]
+
+
+def edges_of(spark, path):
+    from hashloom.operators.flow import block_leaders, method_flow
+
+    code = archives.flows(spark, path).filter("error IS NULL")
+    edges = method_flow(code)
+    of = lambda df, *c: sorted(tuple(r) for r in df.select("method_idx", *c).collect())
+    return of(edges, "src", "dst", "exceptional"), of(block_leaders(code, edges), "pc")
+
+
+def test_flow_of_built_methods(spark, tmp_path):
+    """A loop, a switch with its table, and jumps of all widths."""
+    loop = [0x0012, 0x0038, 5, 0x00D8, 0x01FF, 0xFB28, 0x000E]  # 0 const; 1 if-eqz +5; 3 add; 5 goto -5; 6 return
+    switch = [0x002B, 10, 0, 0x0029, 4, 0x0000, 0x0000, 0x002A, 0xFFFE, 0xFFFF, bytecode.PACKED, 2, 0, 0, 5, 0, 7, 0]
+    app(tmp_path / "a.apk", dex_of([("La/A;", None, 1, None, [("f", (), "V", 1, loop), ("g", (), "V", 1, switch)])]))
+    edges, leaders = edges_of(spark, str(tmp_path))
+    assert [e[1:3] for e in edges if e[0] == 0] == [(0, 1), (1, 3), (1, 6), (3, 5), (5, 0)]
+    assert [e[1:3] for e in edges if e[0] == 1] == [(0, 3), (0, 5), (0, 7), (3, 7), (5, 6), (6, 7), (7, 5)]
+    assert leaders == [(0, 0), (0, 3), (0, 6), (1, 0), (1, 3), (1, 5), (1, 7)]
+    assert not any(e[3] for e in edges)
+
+
+def test_flow_with_handlers():
+    """Tries of a code item: typed handlers, one for all, and instructions that cannot throw."""
+    units = [0x0012, 0x001D, 0x000E, 0x000D, 0x000E]  # const; monitor-enter; return; move-exception; return
+    lists = number(2) + bytes([0x7F]) + number(5) + number(3) + number(2) + bytes([0x01]) + number(6) + number(3)
+    data = struct.pack("<4H2I5HH", 1, 0, 0, 2, 0, 5, *units, 0) + struct.pack("<IHH", 0, 2, 1) + struct.pack("<IHH", 1, 1, 5) + lists
+    assert bytecode.handlers(data, 0) == [(0, 2, [3, 2]), (1, 2, [3])]
+    rows = bytecode.flow(data, 0)
+    assert [(r["pc"], r["handlers"]) for r in rows] == [(0, []), (1, [2, 3]), (2, []), (3, []), (4, [])]
+    assert [bytecode.sleb(bytes(b), 0)[0] for b in ([0x7F], [0x00], [0x01], [0x80, 0x7F], [0x3F], [0x40])] == [-1, 0, 1, -128, 63, -64]
+
+
+def test_flows_of_broken_archives(spark, tmp_path):
+    app(tmp_path / "good.apk", dex_of(GOLDEN))
+    (tmp_path / "no.apk").write_bytes(b"no archive at all")
+    rows = archives.flows(spark, str(tmp_path)).collect()
+    assert [r.path.rsplit("/")[-1] for r in rows if r.error] == ["no.apk"]
+    assert {r.opcode for r in rows if not r.error} == {"const/4", "invoke-virtual", "iget-object", "return-object", "return-void"}
