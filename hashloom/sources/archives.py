@@ -10,7 +10,7 @@ from __future__ import annotations
 import hashlib
 import io
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -103,19 +103,48 @@ def flows(spark: SparkSession, path: str, suffix: str = ".apk", deep: bool = Fal
 
     Of two classes with one name the first counts.
     """
-    schema = to_arrow_schema(StructType.fromDDL(FLOWS))
+
+    def rows(dex: Dex, members: int) -> Iterator[dict]:
+        for i, own in dex.class_flows(members):
+            yield from ({"method_idx": i} | one for one in own)
+
+    return _of_dex_classes(spark, path, suffix, deep, FLOWS, lambda dex: lambda members: rows(dex, members))
+
+
+THROWN = "path string, app_id string, class_desc string, method_idx int, thrown array<string>, error string"
+
+
+def throws(spark: SparkSession, path: str, suffix: str = ".apk", deep: bool = False) -> DataFrame:
+    """THROWN rows: the types that methods say they throw, a row a method that has any, or a row with the error of an archive that cannot be read (FN-30)."""
+
+    def of(dex: Dex):
+        told = dex.thrown()
+        return lambda members: ({"method_idx": i, "thrown": types} for i, types in dex.class_throws(members, told))
+
+    return _of_dex_classes(spark, path, suffix, deep, THROWN, of)
+
+
+def thrown_types(found: DataFrame) -> DataFrame:
+    """app_id, class_desc, method_idx, type_name: a row a thrown type, dotted, of throws()."""
+    return found.filter("error IS NULL").select("app_id", "class_desc", "method_idx", F.explode("thrown").alias("t")).withColumn("type_name", dotted(F.col("t"))).drop("t").distinct()
+
+
+def _of_dex_classes(spark: SparkSession, path: str, suffix: str, deep: bool, ddl: str, reader: Callable[[Dex], Callable[[int], Iterator[dict]]]) -> DataFrame:
+    """Rows of ddl that a reader makes of each class of the dex files of each archive; of two classes with one name the first counts."""
+    schema = to_arrow_schema(StructType.fromDDL(ddl))
 
     def of(content: bytes) -> Iterator[dict]:
         seen: set[str] = set()
         z = None if content[:4] in (DEX, ODEX) else zipfile.ZipFile(io.BytesIO(content))
         for entry in entry_names(z) if z else [""]:
-            if not entry.endswith(".class"):
-                dex = Dex(z.read(entry) if z else content)
-                for cls, *_, members, _ in dex.classes():
-                    if cls not in seen:
-                        seen.add(cls)
-                        for i, own in dex.class_flows(members):
-                            yield from ({"class_desc": cls, "method_idx": i} | one for one in own)
+            if entry.endswith(".class"):
+                continue
+            dex = Dex(z.read(entry) if z else content)
+            read = reader(dex)
+            for cls, *_, members, _ in dex.classes():
+                if cls not in seen:
+                    seen.add(cls)
+                    yield from ({"class_desc": cls} | one for one in read(members))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,7 +158,7 @@ def flows(spark: SparkSession, path: str, suffix: str = ".apk", deep: bool = Fal
                 for lo in range(0, len(rows), 10_000):
                     yield pa.RecordBatch.from_pylist(rows[lo : lo + 10_000], schema)
 
-    return files(spark, path, suffix, deep, content=True).select("path", "content").mapInArrow(run, FLOWS)
+    return files(spark, path, suffix, deep, content=True).select("path", "content").mapInArrow(run, ddl)
 
 
 def classes(spark: SparkSession, path: str, suffix: str = ".apk", deep: bool = False) -> DataFrame:

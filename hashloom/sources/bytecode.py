@@ -14,6 +14,9 @@ from functools import lru_cache
 NONE = 0xFFFFFFFF
 # What dex files, and dex files optimized for a device, begin with.
 DEX, ODEX = b"dex\n", b"dey\n"
+# The annotation of what a method throws, and the kinds of encoded values that are not a number of bytes.
+THROWS = "Ldalvik/annotation/Throws;"
+ARRAY, ANNOTATION, NULL, BOOLEAN, TYPE = 0x1C, 0x1D, 0x1E, 0x1F, 0x18
 #: Units that begin a table of a switch or of an array's values, which is no instruction.
 PACKED, SPARSE, VALUES = 0x0100, 0x0200, 0x0300
 
@@ -431,6 +434,62 @@ class Dex:
             out.append({"method_idx": i, "name": name, "access_flags": flags, "param_types": arguments, "return_type": returned, "code": self.code(at)})
         return out
 
+    def _value(self, at: int) -> tuple[int, object, int]:
+        """(kind, value, end) of the encoded value at an offset; a type is its name, an array a list of (kind, value)."""
+        head = self.data[at]
+        kind, size, at = head & 0x1F, (head >> 5) + 1, at + 1
+        if kind == ARRAY:
+            n, at = uleb(self.data, at)
+            out = []
+            for _ in range(n):
+                one, value, at = self._value(at)
+                out.append((one, value))
+            return kind, out, at
+        if kind == ANNOTATION:
+            found, at = self._annotation(at)
+            return kind, found, at
+        if kind in (NULL, BOOLEAN):
+            return kind, None if kind == NULL else bool(size - 1), at
+        number = int.from_bytes(self.data[at : at + size], "little")
+        return kind, self.types[number] if kind == TYPE else number, at + size
+
+    def _annotation(self, at: int) -> tuple[tuple[str, dict[str, tuple[int, object]]], int]:
+        """((type, values by name), end) of the encoded annotation at an offset."""
+        of, at = uleb(self.data, at)
+        n, at = uleb(self.data, at)
+        values = {}
+        for _ in range(n):
+            name, at = uleb(self.data, at)
+            kind, value, at = self._value(at)
+            values[self.strings[name]] = kind, value
+        return (self.types[of], values), at
+
+    def method_annotations(self) -> Iterator[tuple[int, str, dict[str, tuple[int, object]]]]:
+        """(method id, type, values by name) of the annotations of all methods."""
+        for *_, directory, _, _ in self._section(96, "<8I"):
+            if not directory:
+                continue
+            _, n_fields, n_methods, _ = struct.unpack_from("<4I", self.data, directory)
+            for i in range(n_methods):
+                method, own = struct.unpack_from("<II", self.data, directory + 16 + 8 * (n_fields + i))
+                for (at,) in struct.iter_unpack("<I", self.data[own + 4 : own + 4 + 4 * struct.unpack_from("<I", self.data, own)[0]]):
+                    (of, values), _ = self._annotation(at + 1)  # behind the visibility
+                    yield method, of, values
+
+    def thrown(self) -> dict[int, list[str]]:
+        """The types that each method id says it throws (FN-30)."""
+        out: dict[int, list[str]] = {}
+        for method, of, values in self.method_annotations():
+            if of == THROWS and values.get("value", (None, None))[0] == ARRAY:
+                out.setdefault(method, []).extend(v for kind, v in values["value"][1] if kind == TYPE)
+        return out
+
+    def class_throws(self, members: int, thrown: dict[int, list[str]]) -> Iterator[tuple[int, list[str]]]:
+        """(number, thrown types) of the methods of a class that throw any."""
+        for i, (k, _, _) in enumerate(self.declared(members)):
+            if k in thrown:
+                yield i, thrown[k]
+
     def class_flows(self, members: int) -> Iterator[tuple[int, list[dict]]]:
         """(number, flow) of the methods with code that a class declares."""
         for i, (_, _, at) in enumerate(self.declared(members)):

@@ -190,3 +190,33 @@ def test_flows_of_broken_archives(spark, tmp_path):
     rows = archives.flows(spark, str(tmp_path)).collect()
     assert [r.path.rsplit("/")[-1] for r in rows if r.error] == ["no.apk"]
     assert {r.opcode for r in rows if not r.error} == {"const/4", "invoke-virtual", "iget-object", "return-object", "return-void"}
+
+
+def test_thrown_types_of_a_built_method(spark, tmp_path):
+    """An annotation directory behind a dex file: one method throws two types, and another annotation is passed over."""
+    io, other = "Ljava/io/IOException;", "Lcom/x/Wrong;"
+    named = [("f", (io, other, bytecode.THROWS, "Lcom/x/Note;"), "V", 1, [0x000E]), ("value", (), "V", 1, [0x000E])]
+    data = bytearray(dex_of([("Lcom/x/A;", O, 1, None, named)]))
+    dex = bytecode.Dex(bytes(data))
+    k = next(i for i, (_, p, n) in enumerate(dex.methods) if n == "f")
+    t, name = dex.types.index, dex.strings.index("value")
+    values = bytes([0x1C]) + number(2) + b"".join(bytes([0x18]) + number(t(x)) for x in (io, other))
+    notes = [bytes([0]) + number(t("Lcom/x/Note;")) + number(3) + number(name) + bytes([0x1E]) + number(name) + bytes([0x3F]) + number(name) + bytes([0x24, 5, 1]), bytes([2]) + number(t(bytecode.THROWS)) + number(1) + number(name) + values]
+    at = []
+    for n in notes:
+        at.append(len(data))
+        data += n
+    data += b"\0" * (-len(data) % 4)
+    own = len(data)
+    data += struct.pack("<3I", 2, *at)
+    directory = len(data)
+    data += struct.pack("<4I", 0, 1, 1, 0) + struct.pack("<II", 0, 0) + struct.pack("<II", k, own)
+    (defs,) = struct.unpack_from("<I", data, 100)
+    struct.pack_into("<I", data, defs + 20, directory)
+    assert bytecode.Dex(bytes(data)).thrown() == {k: [io, other]}
+    app(tmp_path / "a.apk", bytes(data))
+    (tmp_path / "no.apk").write_bytes(b"no archive at all")
+    found = archives.throws(spark, str(tmp_path))
+    assert sorted((r.class_desc, r.type_name) for r in archives.thrown_types(found).collect()) == [("Lcom/x/A;", "com.x.Wrong"), ("Lcom/x/A;", "java.io.IOException")]
+    assert [r.path.rsplit("/")[-1] for r in archives.failures(found).collect()] == ["no.apk"]
+    assert bytecode.Dex(dex_of(GOLDEN)).thrown() == {}
