@@ -40,3 +40,32 @@ def test_call_graph_writes_no_edges(spark):
     news = rows("method string, type_name string", [("m0", "t5"), ("t5.f", "u"), ("m1", "t7")])
     got = [tuple(r) for r in flow.call_graph(entries, calls, dispatch, reach, news).collect()]
     assert sorted(got) == sorted({(m, t) for m in ("m0", "m1") for t in ("t5.f", "t7.f")} | {("t5.f", "m1")})
+
+
+def _pages(spark, at, urls):
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"{at}/pages.parquet")
+
+
+def test_relationships_of_names_without_parents(spark, tmp_path):
+    """Also of a name that is spelled as the mark of having no parent."""
+    import duckdb
+
+    from compare import lines
+    from hashloom.plans.oracle import ORACLES
+    from hashloom.plans.queries import QUERIES
+
+    _pages(spark, tmp_path, ["http://<none>/", "http://x/", "http://y/", "http://x/a", "http://x/b", "http://x/a/b", "http://<none>/z", "http://x/a", "ftp"])
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    told = con.execute(ORACLES["fn12_relationships"])
+    df = QUERIES["fn12_relationships"](spark, str(tmp_path))
+    assert lines(df.columns, df.collect()) == lines([d[0] for d in told.description], told.fetchall())
+
+
+def test_pairs_of_a_hot_parent_are_dealt(spark, tmp_path):
+    from hashloom.plans.queries import QUERIES
+
+    _pages(spark, tmp_path, [f"http://a.example.org/en/{i}" for i in range(4500)])
+    for name in ("fn12_relationships", "jn11_siblings"):
+        sizes = [r["count"] for r in QUERIES[name](spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == (4500 * 4501 if name[0] == "f" else 4500 * 4499) and max(sizes) < sum(sizes) * 0.8
