@@ -13,8 +13,10 @@ def dependency_edges(classes: DataFrame, methods: DataFrame) -> DataFrame:
     kept = app_classes(classes)
     pkg = lambda c: nm.package(nm.dotted(F.col(c)))
     supers = kept.filter("super_desc IS NOT NULL").select("app_id", pkg("class_desc").alias("src"), pkg("super_desc").alias("dst"), F.lit("inherit").alias("kind"))
-    code = app_methods(methods).join(kept.select("app_id", "class_desc"), ["app_id", "class_desc"], "left_semi").select("app_id", "class_desc", F.explode("code").alias("i"))
-    uses = code.filter(F.col("i.kind").isin("invoke", "getfield")).select("app_id", pkg("class_desc").alias("src"), pkg("i.ref_class").alias("dst"), F.col("i.kind").alias("kind"))
+    # what is used is shuffled to the kept classes, not the code; Spark pushes a semi-join below that
+    used = F.transform(F.filter("code", lambda i: i["kind"].isin("invoke", "getfield")), lambda i: F.struct(nm.package(nm.dotted(i["ref_class"])).alias("dst"), i["kind"].alias("kind")))
+    code = app_methods(methods).select("app_id", "class_desc", used.alias("used")).join(kept.select("app_id", "class_desc").distinct(), ["app_id", "class_desc"])
+    uses = code.select("app_id", pkg("class_desc").alias("src"), F.inline("used"))
     return known_destinations(weigh(supers.unionByName(uses)), kept.select("app_id", pkg("class_desc").alias("package")))
 
 

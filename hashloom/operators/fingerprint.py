@@ -134,12 +134,13 @@ def _by_join(rows: DataFrame, types: DataFrame) -> DataFrame:
 def fingerprint(classes: DataFrame, methods: DataFrame, framework: DataFrame, config: FingerprintConfig = FingerprintConfig(), keep: Callable[[DataFrame, str], DataFrame] = lambda df, _: df) -> dict[str, DataFrame]:
     """methods, classes, packages, apps: nodes with hashes, classes without methods left out (FLT-08).
 
-    Each level is made of the one below; with materialize as keep, levels are
+    Methods are hashed before those of other classes go, as hashes are shuffled
+    for less than code. Each level is made of the one below; with materialize as keep, levels are
     written one after the other and none is computed twice.
     """
     kept = app_classes(classes, config.inner_classes, config.support_classes)
-    own = methods.join(kept.select("app_id", "class_desc"), ["app_id", "class_desc"], "left_semi")
-    m = keep(method_nodes(own, framework, config), "methods")
+    # an inner join, as Spark pushes a semi-join below the hashing
+    m = keep(method_nodes(methods, framework, config).join(kept.select("app_id", "class_desc").distinct(), ["app_id", "class_desc"]), "methods")
     one = m.withColumn("n_methods", F.lit(1).cast("long"))
     c = merkle(one, ["app_id", "package", "class_name", "class_desc"], "hash", config.distinct, config.algorithm, {"n_methods": "n_methods"})
     c = c.join(kept.select("app_id", "class_desc", "access_flags", "source_file"), ["app_id", "class_desc"]).withColumn("n_classes", F.lit(1).cast("long"))
