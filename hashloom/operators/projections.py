@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .components import connected_components
 from .filters import app_prefix, is_resource
 from ..functions import names as nm
+from ..storage import materialize, sized
 
 # The methods that the platform calls by itself, by a class's category.
 LIFECYCLE = {
@@ -92,12 +93,21 @@ def library(nodes: dict[str, DataFrame], key: str = "app_id") -> DataFrame:
 
 
 def class_components(edges: DataFrame, apps: DataFrame) -> DataFrame:
-    """app_id, class_name, component of class edges (app_id, src, dst) outside the app itself (GR-04)."""
+    """app_id, class_name, component of class edges (app_id, src, dst) outside the app itself (GR-04).
+
+    Rounds go by numbers of the classes, which are shorter than their names.
+    """
     rows = edges.join(apps.select("app_id", app_prefix(F.col("package_name")).alias("own")), "app_id")
     rows = rows.filter(~F.col("src").startswith(F.col("own")) & ~F.col("dst").startswith(F.col("own")))
     key = lambda c: F.concat_ws("\0", "app_id", c)
-    parts = connected_components(rows.select(key("src").alias("a"), key("dst").alias("b")))
-    return parts.select(F.split("node", "\0")[0].alias("app_id"), F.split("node", "\0")[1].alias("class_name"), F.split("component", "\0")[1].alias("component"))
+    pairs = materialize(rows.select(key("src").alias("a"), key("dst").alias("b")), "pairs")
+    named = materialize(pairs.select(F.col("a").alias("name")).union(pairs.select("b")).distinct().withColumn("id", F.monotonically_increasing_id()), "named")
+    of = lambda end: sized(named.withColumnsRenamed({"name": end, "id": f"{end}_id"}))
+    numbered = materialize(pairs.join(of("a"), "a").join(of("b"), "b").select("a_id", "b_id"), "numbered")
+    parts = connected_components(numbered, "a_id", "b_id").join(named.withColumnRenamed("id", "node"), "node")
+    first = parts.groupBy("component").agg(F.min("name").alias("first"))
+    made = parts.join(first, "component")
+    return made.select(F.split("name", "\0")[0].alias("app_id"), F.split("name", "\0")[1].alias("class_name"), F.split("first", "\0")[1].alias("component"))
 
 
 def class_edges(classes: DataFrame, methods: DataFrame) -> DataFrame:

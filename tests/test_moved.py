@@ -55,3 +55,19 @@ def test_code_is_not_shuffled_to_its_classes(spark):
         assert not shuffled and "md5" in below
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_component_rounds_go_by_numbers(spark):
+    import glob
+
+    from hashloom.operators import projections as pj
+    from hashloom.storage import shared_dir
+
+    links = lambda: set(glob.glob(f"{shared_dir(spark).removeprefix('file://')}/hashloom/links-*"))
+    before = links()
+    e = spark.sql("SELECT * FROM VALUES ('1', 'b.z', 'b.y'), ('1', 'b.y', 'a.x'), ('1', 'q', 'q'), ('2', 'b.y', 'c'), ('1', 'own.p.k', 'q') AS t(app_id, src, dst)")
+    apps = spark.sql("SELECT * FROM VALUES ('1', 'own.p'), ('2', 'own.p') AS t(app_id, package_name)")
+    got = sorted(map(tuple, pj.class_components(e, apps).collect()))
+    assert got == sorted([("1", n, "a.x") for n in ("b.z", "b.y", "a.x")] + [("1", "q", "q"), ("2", "b.y", "b.y"), ("2", "c", "b.y")])
+    new = links() - before
+    assert new and all(t == "bigint" for p in new for _, t in spark.read.parquet(p).dtypes)
