@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..storage import discard, materialize
+from ..storage import discard, materialize, sized
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -39,9 +39,24 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
 
 def components_of_groups(rows: DataFrame, node: str, group: str) -> DataFrame:
-    """Components of the nodes that share a group: a star in each group, so edges are as many as rows."""
-    centre = rows.groupBy(group).agg(F.min(node).alias("centre"))
-    return connected_components(rows.join(centre, group).select(F.col(node).alias("a"), F.col("centre").alias("b")))
+    """Components of the nodes that share a group: a star in each group that has several nodes, each edge once."""
+    rows = rows.filter(F.col(node).isNotNull())
+    nodes = rows.select(F.col(node).alias("node")).distinct()
+    shared = rows.groupBy(group).agg(F.min(node).alias("centre"), F.max(node).alias("last")).filter("centre < last").select(group, "centre")
+    edges = rows.join(sized(materialize(shared, "shared")), group).select(F.col(node).alias("a"), F.col("centre").alias("b")).filter("a <> b").distinct()
+    parts = connected_components(materialize(edges, "edges"))
+    return nodes.join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def singletons_of_groups(rows: DataFrame, node: str, group: str) -> DataFrame:
+    """Nodes alone in their component of components_of_groups (GR-07): all their rows are in groups of their own.
+
+    Rows may repeat. No component has to be made for that.
+    """
+    rows = rows.filter(F.col(node).isNotNull()).select(F.col(node).alias("node"), F.col(group).alias("group"))
+    own = rows.groupBy("group").agg(F.min("node").alias("node"), F.max("node").alias("last"), F.count("*").alias("n"))
+    own = own.filter("node = last AND group IS NOT NULL").groupBy("node").agg(F.sum("n").alias("alone"))
+    return rows.groupBy("node").agg(F.count("*").alias("n")).join(own, "node").filter("n = alone").select("node")
 
 
 def component_sizes(components: DataFrame) -> DataFrame:
