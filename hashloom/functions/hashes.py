@@ -26,7 +26,7 @@ def of_children(hashes: Column, algorithm: str = "md5", distinct: bool = False)
     Lower-case hex sorts as the unsigned bytes do, so the order of children does not matter.
     """
     hashes = F.array_distinct(hashes) if distinct else hashes
-    return digest(F.unhex(F.array_join(F.array_sort(hashes), "")), algorithm)
+    return digest(F.unhex(F.array_join(F.sort_array(hashes), "")), algorithm)
 
 
 def same_start(a: Column, b: Column, n: int = 16) -> Column:
@@ -36,4 +36,4 @@ def same_start(a: Column, b: Column, n: int = 16) -> Column:
 
 def rendered(values: Column) -> Column:
     """A set of texts as [a, b, c], sorted (AGG-16)."""
-    return F.concat(F.lit("["), F.array_join(F.array_sort(F.array_distinct(values)), ", "), F.lit("]"))
+    return F.concat(F.lit("["), F.array_join(F.sort_array(F.array_distinct(values)), ", "), F.lit("]"))

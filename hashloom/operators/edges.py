@@ -10,13 +10,24 @@ from .filters import app_classes, app_methods, app_prefix, is_top_level, known_d
 
 def dependency_edges(classes: DataFrame, methods: DataFrame) -> DataFrame:
     """app_id, src, dst, call_count, getfield_count, inherits (GR-01, AGG-07), ends known packages only (FLT-09)."""
+    # what is used is shuffled to the kept classes, not the code; Spark pushes a semi-join below that
+    used = app_methods(methods).select("app_id", "class_desc", *used_packages(F.col("code")))
+    return edges_of_uses(classes, used.join(app_classes(classes).select("app_id", "class_desc").distinct(), ["app_id", "class_desc"]))
+
+
+def used_packages(code: Column) -> tuple[Column, Column]:
+    """invoked and read: the packages of what a method's code calls and reads, one an instruction."""
+    of = lambda kind, name: F.transform(F.filter(code, lambda i: i["kind"] == kind), lambda i: nm.package(nm.dotted(i["ref_class"]))).alias(name)
+    return of("invoke", "invoked"), of("getfield", "read")
+
+
+def edges_of_uses(classes: DataFrame, used: DataFrame) -> DataFrame:
+    """dependency_edges of classes and of what methods of the kept ones use: used has app_id, class_desc, invoked, read."""
     kept = app_classes(classes)
     pkg = lambda c: nm.package(nm.dotted(F.col(c)))
     supers = kept.filter("super_desc IS NOT NULL").select("app_id", pkg("class_desc").alias("src"), pkg("super_desc").alias("dst"), F.lit("inherit").alias("kind"))
-    # what is used is shuffled to the kept classes, not the code; Spark pushes a semi-join below that
-    used = F.transform(F.filter("code", lambda i: i["kind"].isin("invoke", "getfield")), lambda i: F.struct(nm.package(nm.dotted(i["ref_class"])).alias("dst"), i["kind"].alias("kind")))
-    code = app_methods(methods).select("app_id", "class_desc", used.alias("used")).join(kept.select("app_id", "class_desc").distinct(), ["app_id", "class_desc"])
-    uses = code.select("app_id", pkg("class_desc").alias("src"), F.inline("used"))
+    as_kind = lambda c, kind: F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda dst: F.struct(dst.alias("dst"), F.lit(kind).alias("kind")))
+    uses = used.select("app_id", pkg("class_desc").alias("src"), F.inline(F.concat(as_kind("invoked", "invoke"), as_kind("read", "getfield"))))
     return known_destinations(weigh(supers.unionByName(uses)), kept.select("app_id", pkg("class_desc").alias("package")))
 
 

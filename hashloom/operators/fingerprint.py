@@ -16,7 +16,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import names as nm
 from ..functions.hashes import digest, rendered
-from .filters import app_classes, app_methods, hashed_methods
+from ..functions.flags import public_only
+from .edges import used_packages
+from .filters import CONSTRUCTORS, app_classes, app_methods, hashed_methods
 from ..storage import sized
 from .merkle import merkle
 
@@ -39,12 +41,12 @@ class FingerprintConfig:
 
 def bare(type_name: Column) -> Column:
     """A type without its end mark."""
-    return F.regexp_replace(type_name, ";$", "")
+    return nm.unended(type_name)
 
 
 def element(type_name: Column) -> Column:
     """An array's element type, any other type itself."""
-    return F.regexp_replace(bare(type_name), r"^\[+", "")
+    return F.when(type_name.startswith("["), F.regexp_replace(bare(type_name), r"^\[+", "")).otherwise(bare(type_name))
 
 
 def fuzzy(type_name: Column, known: Column, field: bool | Column = False) -> Column:
@@ -57,16 +59,24 @@ def fuzzy(type_name: Column, known: Column, field: bool | Column = False) -> Col
     return F.when(own | known, bare(type_name)).otherwise(F.lit(UNKNOWN))
 
 
-def method_nodes(methods: DataFrame, framework: DataFrame, config: FingerprintConfig = FingerprintConfig(), inline: int = INLINE_TYPES) -> DataFrame:
+def method_nodes(methods: DataFrame, framework: DataFrame, config: FingerprintConfig = FingerprintConfig(), inline: int = INLINE_TYPES, uses: bool = False) -> DataFrame:
     """app_id, class_desc, package, class_name, method_idx, access_flags, hash, simple_hash.
 
     Up to so many framework types are a set in the expression, and each
-    method's hashes are made within its row; more types are joined.
+    method's hashes are made within its row; more types are joined. uses keeps
+    all methods that people wrote, and adds hashed, whether a method is one of
+    those otherwise returned, and what its code uses (invoked, read).
     """
-    rows = hashed_methods(app_methods(methods, config.public_only))
+    rows, more = hashed_methods(app_methods(methods, config.public_only)), []
+    if uses:
+        hashed = ~F.col("name").isin(*CONSTRUCTORS)
+        hashed = hashed & public_only(F.col("access_flags")) if config.public_only else hashed
+        rows = app_methods(methods).select("*", F.coalesce(hashed, F.lit(False)).alias("hashed"), *used_packages(F.col("code")))
+        more = ["hashed", "invoked", "read"]
     types = framework.select(element(F.col("type_desc")).alias("known_type")).filter("known_type IS NOT NULL").distinct()
     few = [r.known_type for r in types.limit(inline + 1).collect()]
-    made = _within_rows(rows, few) if len(few) <= inline else _by_join(rows, types)
+    made = _within_rows(rows, few, more) if len(few) <= inline else _by_join(rows, types)
+    made = made.join(rows.select(*METHOD, *more), METHOD) if more and len(few) > inline else made
     name = nm.dotted(F.col("class_desc"))
     return made.select(
         "app_id",
@@ -77,22 +87,27 @@ def method_nodes(methods: DataFrame, framework: DataFrame, config: FingerprintCo
         "access_flags",
         digest(F.concat("code_text", "descriptor"), config.algorithm).alias("hash"),
         digest(F.concat("descriptor", rendered(F.col("calls"))), config.algorithm).alias("simple_hash"),
+        *more,
     )
 
 
-def _within_rows(rows: DataFrame, known: list[str]) -> DataFrame:
-    """METHOD, access_flags, descriptor, code_text, calls of methods, with these framework types."""
+def _within_rows(rows: DataFrame, known: list[str], more: list[str]) -> DataFrame:
+    """METHOD, access_flags, descriptor, code_text, calls and more of methods, with these framework types."""
     is_known = lambda t: F.coalesce(element(t).isin(known), F.lit(False)) if known else F.lit(False)
     args = lambda ts: F.concat(F.lit("("), F.array_join(F.transform(F.coalesce(ts, F.array().cast("array<string>")), lambda t: fuzzy(t, is_known(t))), ""), F.lit(")"))
     code = F.coalesce(F.col("code"), F.array().cast(rows.schema["code"].dataType))
 
-    def text(i: Column) -> Column:
+    def told(i: Column) -> Column:
         read = F.concat(F.lit("["), fuzzy(i["field_type"], is_known(i["field_type"]), True), F.lit("]"))
-        return F.concat(F.coalesce(i["opcode"], F.lit(UNKNOWN)), F.when(i["kind"] == "invoke", args(i["arg_types"])).when(i["kind"] == "getfield", read).otherwise(F.lit("")))
+        call = F.when(i["kind"] == "invoke", args(i["arg_types"]))
+        return F.struct(F.coalesce(i["opcode"], F.lit(UNKNOWN)).alias("opcode"), call.alias("call"), F.when(i["kind"] == "getfield", read).alias("read"))
 
-    calls = F.array_distinct(F.transform(F.filter(code, lambda i: i["kind"] == "invoke"), lambda i: args(i["arg_types"])))
     descriptor = F.concat(args(F.col("param_types")), fuzzy(F.col("return_type"), is_known(F.col("return_type"))))
-    return rows.select(*METHOD, "access_flags", descriptor.alias("descriptor"), F.array_join(F.transform(code, text), "").alias("code_text"), calls.alias("calls"))
+    # types are told once an instruction, for both of its texts
+    made = rows.select(*METHOD, "access_flags", *more, descriptor.alias("descriptor"), F.transform(code, told).alias("told"))
+    text = F.array_join(F.transform("told", lambda i: F.concat(i["opcode"], F.coalesce(i["call"], i["read"], F.lit("")))), "")
+    calls = F.array_distinct(F.filter(F.col("told")["call"], lambda c: c.isNotNull()))
+    return made.select(*METHOD, "access_flags", *more, "descriptor", text.alias("code_text"), calls.alias("calls"))
 
 
 def _by_join(rows: DataFrame, types: DataFrame) -> DataFrame:
@@ -131,16 +146,22 @@ def _by_join(rows: DataFrame, types: DataFrame) -> DataFrame:
     return made.select(*METHOD, "access_flags", "descriptor", F.array_join(F.col("code.text"), "").alias("code_text"), "calls")
 
 
-def fingerprint(classes: DataFrame, methods: DataFrame, framework: DataFrame, config: FingerprintConfig = FingerprintConfig(), keep: Callable[[DataFrame, str], DataFrame] = lambda df, _: df) -> dict[str, DataFrame]:
+def fingerprint(classes: DataFrame, methods: DataFrame, framework: DataFrame, config: FingerprintConfig = FingerprintConfig(), keep: Callable[[DataFrame, str], DataFrame] = lambda df, _: df, uses: bool = False) -> dict[str, DataFrame]:
     """methods, classes, packages, apps: nodes with hashes, classes without methods left out (FLT-08).
 
     Methods are hashed before those of other classes go, as hashes are shuffled
     for less than code. Each level is made of the one below; with materialize as keep, levels are
-    written one after the other and none is computed twice.
+    written one after the other and none is computed twice. uses adds a table
+    of that name for edges_of_uses, so that code is read once for both.
     """
     kept = app_classes(classes, config.inner_classes, config.support_classes)
     # an inner join, as Spark pushes a semi-join below the hashing
-    m = keep(method_nodes(methods, framework, config).join(kept.select("app_id", "class_desc").distinct(), ["app_id", "class_desc"]), "methods")
+    known = (app_classes(classes) if uses else kept).select("app_id", "class_desc").distinct()
+    m = keep(method_nodes(methods, framework, config, uses=uses).join(known, ["app_id", "class_desc"]), "methods")
+    used = m.select("app_id", "class_desc", "invoked", "read") if uses else None
+    if uses:
+        m = m.filter("hashed").drop("hashed", "invoked", "read")
+        m = m if config.inner_classes and config.support_classes else m.join(kept.select("app_id", "class_desc"), ["app_id", "class_desc"], "left_semi")
     one = m.withColumn("n_methods", F.lit(1).cast("long"))
     c = merkle(one, ["app_id", "package", "class_name", "class_desc"], "hash", config.distinct, config.algorithm, {"n_methods": "n_methods"})
     c = c.join(kept.select("app_id", "class_desc", "access_flags", "source_file"), ["app_id", "class_desc"]).withColumn("n_classes", F.lit(1).cast("long"))
@@ -148,4 +169,4 @@ def fingerprint(classes: DataFrame, methods: DataFrame, framework: DataFrame, co
     p = merkle(c, ["app_id", "package"], "hash", config.distinct, config.algorithm, {"n_classes": "n_classes", "n_methods": "n_methods"})
     p = keep(p, "packages")
     a = merkle(p, ["app_id"], "hash", config.distinct, config.algorithm, {"n_classes": "n_classes", "n_methods": "n_methods"})
-    return {"methods": m, "classes": c.drop("n_classes"), "packages": p, "apps": a}
+    return {"methods": m, "classes": c.drop("n_classes"), "packages": p, "apps": a} | ({"uses": used} if uses else {})

@@ -26,9 +26,9 @@ def parse(tables: dict[str, DataFrame], done: DataFrame | None = None, config: F
     apps = filters.not_yet_done(tables["apps"], "app_id", done) if done is not None else tables["apps"]
     mine = lambda n: tables[n].join(apps.select("app_id"), "app_id", "left_semi")
     classes, methods = mine("classes"), mine("methods")
-    nodes = fingerprint(classes, methods, tables["framework_types"], config, materialize)
+    nodes = fingerprint(classes, methods, tables["framework_types"], config, materialize, uses=True)
     hashed = apps.join(nodes["apps"].select("app_id", "hash"), "app_id")
-    return {"apps": hashed, "packages": nodes["packages"], "classes": nodes["classes"], "methods": nodes["methods"], "edges": ed.dependency_edges(classes, methods)}
+    return {"apps": hashed, "packages": nodes["packages"], "classes": nodes["classes"], "methods": nodes["methods"], "edges": ed.edges_of_uses(classes, nodes["uses"])}
 
 
 def candidate_units(profile: dict[str, DataFrame], split=None, split_prefixes: tuple[str, ...] = ()) -> DataFrame:

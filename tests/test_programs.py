@@ -105,3 +105,32 @@ def test_a_scope_leaves_nothing(spark, sf_dir):
     jvm = spark._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     assert not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def test_parse_reads_code_once(spark, sf_dir, monkeypatch):
+    """Hashes and edges come from one written table, which has no code; edges are those of dependency_edges."""
+    from hashloom.operators import edges as ed
+    from hashloom.plans import queries
+    from hashloom.plans.tables import decoded_apps
+
+    kept, write = [], programs.materialize
+    for module in (programs, queries):
+        monkeypatch.setattr(module, "materialize", lambda df, tag: kept.append(df) or write(df, tag))
+    made, t = _profile(spark, sf_dir), decoded_apps(spark, sf_dir)
+    assert not any("code" in df.columns for df in kept)
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    assert rows(made["edges"]) == rows(ed.dependency_edges(t["classes"], t["methods"]))
+
+
+def test_names_by_string_functions(spark):
+    from pyspark.sql import functions as F
+
+    from hashloom.functions import names as nm
+    from hashloom.operators.fingerprint import bare, element
+
+    n = F.col("n")
+    df = spark.createDataFrame([(x,) for x in ("", "a", "a.b", "a.b.c", ".a", "a.", "a..b", "La/b/C;", "LL;", "L", ";", ";;", "[[Lx/Y;", "[I", "I", "é.ü.😀x", None)], "n string")
+    dotted = F.translate(F.regexp_replace(F.regexp_replace(n, "^L", ""), ";$", ""), "/", ".")
+    old = [F.regexp_replace(n, r"\.?[^.]*$", ""), dotted, F.regexp_replace(n, ";$", ""), F.regexp_replace(F.regexp_replace(n, ";$", ""), r"^\[+", "")]
+    for r in df.select(F.array(*old).alias("old"), F.array(nm.package(n), nm.dotted(n), bare(n), element(n)).alias("new")).collect():
+        assert r.old == r.new
