@@ -1,0 +1,70 @@
+"""Pairs that the fold looks for itself: the same report as by pairs that are joined, from rows that grow with the classes."""
+
+import random
+
+import pandas as pd
+
+from hashloom.operators import match as mt
+
+from test_kinds import COLUMNS, plain
+
+
+def unlike(spark, n, seed=1):
+    """An app of two units and two libraries of n classes each; no two classes have the same methods, and most share some."""
+    rng, df = random.Random(seed), spark.createDataFrame
+    some = lambda: [f"m{rng.randrange(12)}" for _ in range(rng.randint(2, 7))]
+    own = [(f"p{i % 3}", f"C{i}", some() + [f"own{i}"] * (i % 4 == 0)) for i in range(2 * n)]
+    theirs = [(f"l{i % 2}", f"l{i % 2}:K{i}", some() + [f"their{i}"]) for i in range(2 * n)]
+    simple = lambda h: f"s{int(h[1:]) % 7}" if h[0] == "m" else h
+    classes = df([("app", p, c, f"c{p}{c}", 1, len(hs)) for p, c, hs in own], "app_id string, package string, class_name string, hash string, access_flags int, n_methods long")
+    methods = df([("app", p, c, h, simple(h), 0x1001 if rng.random() < 0.1 else 1) for p, c, hs in own for h in hs], "app_id string, package string, class_name string, hash string, simple_hash string, access_flags int")
+    nodes = {"classes": classes, "methods": methods, "packages": df([("app", f"p{i}", f"own{i}", 1) for i in range(3)], "app_id string, package string, hash string, n_methods long")}
+    postings = "hash string, lib_hash string"
+    index = {
+        "index_package": df([("theirs", "l0")], postings),
+        "index_class": df([(f"c{own[0][0]}{own[0][1]}", "l0"), ("their", "l1")], postings),
+        "index_method": df([(h, lib) for lib, _, hs in theirs for h in hs] + [(f"own{i}", "l1") for i in range(0, 2 * n, 4)], postings),
+        "lib_classes": df([x[:2] for x in theirs], "lib_hash string, class_key string"),
+        "class_methods": df([(key, h, simple(h)) for _, key, hs in theirs for h in hs], "class_key string, hash string, simple_hash string"),
+        "libs": df([("l0", "one"), ("l1", "two")], "lib_hash string, name string"),
+    }
+    return df([("app", "u", ["p0", "p1"]), ("app", "v", ["p2"])], "app_id string, unit_id string, packages array<string>"), nodes, index
+
+
+def test_rows_grow_with_classes(spark):
+    told = mt._told(*unlike(spark, 40), most=500)
+    rows = {r.kind: r["count"] for r in told.groupBy("kind").count().collect()}
+    assert "pair" not in rows and rows["own"] == rows["unit"] <= 80 and rows["their"] == 80
+
+
+def test_the_report_of_joined_pairs(spark):
+    tables = unlike(spark, 25)
+    want = sorted(map(tuple, mt.match_apps(*tables).collect()))
+    assert want and sum(r[4] for r in want) > 10
+    for most in (0, 25 * 20):  # all by the fold, and one unit's only
+        assert sorted(map(tuple, mt.match_apps(*tables, most=most).collect())) == want
+
+
+def test_the_fold_looks_as_plain_loops_do():
+    rng = random.Random(7)
+    for _ in range(60):
+        kinds, keys, n, m = rng.randint(1, 6), rng.randint(1, 6), rng.randint(1, 25), rng.randint(1, 25)
+        bag = lambda: [rng.randrange(8) for _ in range(rng.randint(1, 5))]
+        mine, their = [(bag(), bag()) for _ in range(kinds)], [(bag(), sorted(set(bag()))) for _ in range(keys)]
+        order, at = [(i, f"k{rng.randrange(kinds)}") for i in range(n)], [rng.randrange(keys) for _ in range(m)]
+        add = lambda rows, kind, **v: rows.append({**dict.fromkeys([*COLUMNS, "places", "hashes", "simples"]), "app_id": "app", "kind": kind, **v})
+        rows, pairs = [], []
+        for k, (hs, ss) in enumerate(mine):
+            if places := [i for i, x in order if x == f"k{k}"]:
+                add(rows, "unit", unit_id="u", package="p", class_name=f"k{k}", places=places)
+                add(rows, "own", unit_id="u", package="p", class_name=f"k{k}", shared=len(hs), hashes=pd.array(hs).to_numpy("int64"), simples=pd.array(ss[: len(hs)]).to_numpy("int64"))
+        for j, (hs, ss) in enumerate(their):
+            if places := [i for i, x in enumerate(at) if x == j]:
+                add(rows, "their", lib_hash="l", class_key=f"l:{j}", places=places, shared=len(hs), hashes=hs, simples=ss)
+                for k, (own, simples) in enumerate(mine):
+                    shared = sum(own.count(h) for h in hs)
+                    if shared and len(hs) >= len(own) and sum(s in ss for s in simples[: len(own)]) / len(own) >= mt.CLASS_SHARE:
+                        pairs.append((f"k{k}", "l", shared, [(i, f"l:{j}") for i in places]))
+        want = plain(order, set(), pairs, ["l"])["l"]
+        add(rows, "candidate", unit_id="u", lib_hash="l", name="l", rk=1, classes=want or 1)
+        assert [r.matched for r in mt.report_app(pd.DataFrame(rows)).itertuples()] == ([want] if want else [])
